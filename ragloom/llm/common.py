@@ -79,9 +79,8 @@ def _powers(n: int) -> np.ndarray:
     return _POW
 
 
-def _hash_words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of each word of ``data`` (ASCII letters lower-cased).
-    ``cuts``: offsets at which words must break."""
+def _hash_words(data: np.ndarray, cuts: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of each word of ``data``. ``cuts``: offsets at which words must break."""
     text = ~_SEP[data]
     first = text.copy()
     first[1:] &= ~text[:-1]
@@ -95,12 +94,13 @@ def _hash_words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndar
     begin = np.searchsorted(body, starts)
     lens = np.diff(np.append(begin, len(body)))
     at = np.arange(len(body)) - np.repeat(begin, lens)
-    v = _BYTE[_LOWER[data[body]]] * _powers(int(lens.max()))[at]
+    v = _BYTE[_LOWER[data[body]] if lower else data[body]] * _powers(int(lens.max()))[at]
     return mix(np.add.reduceat(v, begin) + U64(_GOLD) * lens.astype(U64)), starts, starts + lens
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end, number of the text) of every word of consecutive texts in one buffer.
+def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end, number of the text) of every word of consecutive texts in one buffer;
+    lower: ASCII letters are lower-cased first.
 
     ``offsets`` has one more entry than there are texts. Works through the
     buffer in pieces of about CHUNK bytes, cut where no word is cut.
@@ -120,7 +120,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
                 break
             stop = min(end, stop + CHUNK)
         lo, hi = np.searchsorted(offsets, [pos, stop])
-        h, s, e = _hash_words(data[pos:stop], (offsets[lo:hi] - pos).astype(np.int64))
+        h, s, e = _hash_words(data[pos:stop], (offsets[lo:hi] - pos).astype(np.int64), lower)
         hs.append(h)
         ss.append(s + pos)
         es.append(e + pos)
