@@ -9,19 +9,70 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import html_extract, language_id, line_dedup, mixing, ngram_join, quality, warc
 from .common import table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
+def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.shingle_components(table(spark, sf_dir, "documents"))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(table(spark, sf_dir, "pages"), docs, docs)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extraction": op1_html_extraction,
+        "op5_warc_salvage": op5_warc_salvage,
+        "op6_quality_rules": op6_quality_rules,
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+        "op8_source_mixing": op8_source_mixing,
+        "op9_line_dedup": op9_line_dedup,
+        "op10_language_id": op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_dedup": OP9_SQL}
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, text, source, string_split(text, chr(10)) AS parts FROM documents),
+l AS (
+  SELECT doc_id, source, unnest(range(len(parts))) AS no, trim(unnest(parts), ' ' || chr(9) || chr(13)) AS line FROM d
+),
+b AS (SELECT line FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 10),
+g AS (SELECT l.doc_id, list(DISTINCT no) AS gone FROM l JOIN b USING (line) GROUP BY l.doc_id),
+t AS (
+  SELECT d.doc_id, d.text, len(d.parts) AS n, coalesce(len(g.gone), 0) AS k,
+         CASE WHEN g.gone IS NULL THEN d.text
+              ELSE coalesce(array_to_string([parts[i + 1] FOR i IN range(len(parts)) IF NOT list_contains(g.gone, i)], chr(10)), '') END AS cut
+  FROM d LEFT JOIN g USING (doc_id)
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_lines,
+       CAST(CASE WHEN length(cut) >= length(text) * 0.5 THEN k ELSE 0 END AS BIGINT) AS n_removed,
+       CASE WHEN length(cut) >= length(text) * 0.5 THEN cut ELSE text END AS text
+FROM t
+"""
