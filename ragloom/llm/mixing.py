@@ -65,7 +65,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
 def _pivot(seed: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         """p of the rows after rounding: 0 or 1, but for one row at most."""
-        rows = rows.sort_values(["key", "doc_id"], kind="stable", ignore_index=True)
+        # large documents first: what is left open at the end is then a small one
+        rows = rows.sort_values(["size", "key", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)
         size, p = rows["size"].to_numpy(np.float64), rows["p"].to_numpy(np.float64).copy()
         draw = mix(rows["key"].to_numpy(np.int64).view(U64) + U64(seed * 0x9E3779B97F4A7C15 % (1 << 64)) + rows["level"].to_numpy(np.int64).view(U64))
         draw = (draw >> U64(11)).astype(np.float64) / 2.0**53
