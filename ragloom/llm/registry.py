@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, language_id, line_dedup, mixing, ngram_join, quality, warc
+from . import decontaminate, html_extract, language_id, line_dedup, mixing, ngram_join, quality, warc
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -45,6 +49,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
+        "op2_decontamination": op2_decontamination,
         "op5_warc_salvage": op5_warc_salvage,
         "op6_quality_rules": op6_quality_rules,
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
@@ -55,7 +60,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": OP9_SQL}
+    return {"op2_decontamination": OP2_SQL, "op9_line_dedup": OP9_SQL}
+
+
+OP2_SQL = r"""
+WITH t AS (
+  SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark
+),
+w AS (
+  SELECT kind, id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM t
+),
+s AS (
+  SELECT DISTINCT kind, id, array_to_string(w[i : i + 4], ' ') AS g
+  FROM (SELECT kind, id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+),
+n AS (SELECT id AS item_id, g, count(*) OVER (PARTITION BY id) AS n_item FROM s WHERE kind = 1),
+h AS (SELECT s.id AS doc_id, item_id, n_item, count(*) AS n_hit FROM s JOIN n USING (g) WHERE kind = 0 GROUP BY ALL)
+SELECT doc_id, item_id, n_item, n_hit, n_hit / n_item AS containment FROM h WHERE n_hit >= 0.8 * n_item - 1e-9
+"""
 
 
 OP9_SQL = r"""
