@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, language_id, line_dedup, mixing, ngram_join, quality, warc
+from . import decontaminate, html_extract, language_id, line_dedup, mixing, ngram_join, pii, quality, substring_dedup, warc
 from .common import table
 
 
@@ -21,6 +21,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -50,6 +58,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
         "op2_decontamination": op2_decontamination,
+        "op3_substring_dedup": op3_substring_dedup,
+        "op4_pii": op4_pii,
         "op5_warc_salvage": op5_warc_salvage,
         "op6_quality_rules": op6_quality_rules,
         "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
