@@ -34,7 +34,7 @@ DATE = "2024-01-01T00:00:00Z"
 #: Records of an archive file at most; bounds what a reading task holds.
 PER_FILE = 2000
 _MAGIC = b"\x1f\x8b\x08"
-_LINE = re.compile(rb"(?:\A|(?<=\n))WARC/[01]\.\d\r?\n")
+_LINE = re.compile(rb"WARC/[01]\.\d\r?\n")
 _END = re.compile(rb"\r?\n\r?\n")
 
 
