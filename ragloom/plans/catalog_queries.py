@@ -342,6 +342,29 @@ def w6_project_lifetimes(spark, d):
     return lifecycle.project_lifetimes(p, a).select("project_id", F.unix_micros("lifetime_expires_at").alias("expires_at"))
 
 
+def _streamed(spark, d, transform, schema_of):
+    """The rows that a stream over the events (all that is there, then it ends) appends."""
+    from ..operators.trees import shared_folder
+
+    out = shared_folder(spark, "stream")
+    events = spark.readStream.schema(raw(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    rows = transform(events.withColumn("ts", F.col("ts").cast("timestamp")))
+    q = rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(schema_of).parquet(f"{out}/rows")
+
+
+def w3_idempotent_stream(spark, d):
+    """The keys that are processed: each job key once, however often it comes."""
+    key = F.concat_ws(":", F.col("user_id") % 40, "event_type")
+    return _streamed(spark, d, lambda e: streams.idempotent_stream(e.select("ts", key.alias("job_key")), "job_key").select("job_key"), "job_key string")
+
+
+def w4_context_dedupe(spark, d):
+    """Requests that are not answered from the cache, by their key; all come within one batch."""
+    return _streamed(spark, d, lambda e: streams.context_request_dedupe(e.select("ts", F.sha2(F.col("props"), 256).alias("cache_key"))).select("cache_key"), "cache_key string")
+
+
 QUERIES = {f.__name__: f for f in (
     f2_selectable_documents, f3_tenant_filter, f4_expired_projects, f5_role_permissions, f6_model_is_configured, f7_upload_gate, f8_ocr_needed, j1_hierarchy, j2_effective_model,
     j3_accessible_tenants, j4_already_ingested, j5_invalid_selection, j6_members_report, j7_owned_personal_tenants, a1_tenants_per_user, a2_workspaces_per_user,
@@ -349,5 +372,5 @@ QUERIES = {f.__name__: f for f in (
     a10_last_owner_guard, a11_job_outcomes, a12_audit_summary, a13_model_usage, k1_recent_chat, k2_prune_chat, k3_prompt_library, k4_prune_prompts, k5_last_used_prompt,
     k6_merge_prompt_usage, k7_latest_invitation, k7_invitation_status, k8_tree_order, u1_prompt_collection, u2_membership_diff, u3_selection_intersect, u4_descendants,
     u5_revoke_closure, u6_reindex_plan, u6_without_model, u7_project_delete_plan, w7_expiry_sweep, q1_admit_entries, q3_upload_outcomes, q3_audit_rows, w1_ingest_batch,
-    w2_job_outcome_windows, w5_retry_route, w6_project_lifetimes,
+    w2_job_outcome_windows, w3_idempotent_stream, w4_context_dedupe, w5_retry_route, w6_project_lifetimes,
 )}

@@ -134,6 +134,8 @@ SELECT project_id, count(*) AS documents, nullif({DOC_PLAN}, 0) AS keys, any_val
     "q3_audit_rows": f"{ctes('documents')}, {OUTCOMES} SELECT audit_event AS event_type, state, count(*) AS n FROM oc GROUP BY 1, 2",
     "w1_ingest_batch": f"{ctes('documents')} SELECT document_id, CASE WHEN state IN (5, 6) THEN 'skipped_security' ELSE 'completed' END AS result, CAST(CASE WHEN state IN (5, 6) THEN 4 ELSE 3 END AS INT) AS state, state NOT IN (5, 6) AND document_id % 3 <> 0 AS ingest FROM t_documents WHERE document_id IN (SELECT event_id FROM events)",
     "w2_job_outcome_windows": f"{ctes('jobs')} SELECT {US.format('time_bucket(INTERVAL 1 HOUR, ts)')} AS window_start, job_type, result, count(*) AS jobs FROM t_jobs GROUP BY 1, 2, 3",
+    "w3_idempotent_stream": "SELECT DISTINCT concat_ws(':', user_id % 40, event_type) AS job_key FROM events",
+    "w4_context_dedupe": "SELECT DISTINCT sha256(props) AS cache_key FROM events",
     "w5_retry_route": "WITH f AS (SELECT CASE WHEN event_id % 10 <> 0 THEN event_id END AS id, user_id % 6 AS retry FROM events) SELECT CASE WHEN id IS NULL THEN 'drop' WHEN retry < 3 THEN 'retry' ELSE 'dead_letter' END AS route, CAST(CASE WHEN id IS NOT NULL AND retry < 3 THEN retry + 1 END AS INT) AS next_retry, count(*) AS n FROM f GROUP BY 1, 2",
     "w6_project_lifetimes": """WITH a AS (SELECT user_id AS p, epoch_us(ts) AS t, min(epoch_us(ts)) OVER (PARTITION BY user_id) AS c, (user_id % 5) * 43200000000 AS h FROM events),
 b AS (SELECT *, t >= coalesce(lag(t) OVER (PARTITION BY p ORDER BY t), c) + h AS late FROM a WHERE h > 0), l AS (SELECT *, bool_or(late) OVER (PARTITION BY p ORDER BY t) AS lost FROM b)

@@ -90,6 +90,13 @@ def test_lifetime_event_at_expiry_does_not_extend(spark):
     assert got == {1: t + 2 * h, 2: t + 4.5 * h}
 
 
+def test_lifetime_sessions_have_the_same_boundary(spark):
+    t, h = dt.datetime(2024, 1, 1), dt.timedelta(hours=1)
+    a = spark.createDataFrame([(1, t, 2), (1, t + h, 2), (1, t + 3 * h, 2), (2, t, 1)], "project_id long, ts timestamp, hours int")
+    got = {(r["project_id"], r["session_start"]): (r["session_end"], r["events"]) for r in streams.lifetime_sessions(a).collect()}
+    assert got == {(1, t): (t + 3 * h, 2), (1, t + 3 * h): (t + 5 * h, 1), (2, t): (t + h, 1)}
+
+
 def test_revoke_closure_ends_on_cycles(spark):
     g = spark.createDataFrame([(1, 1, 2), (1, 2, 1), (1, 3, 2), (1, 4, 4), (2, 5, 1)], "tenant_id long, user_id long, granted_by long")
     s = spark.createDataFrame([(1, 1)], "tenant_id long, user_id long")
