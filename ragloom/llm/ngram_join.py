@@ -29,28 +29,28 @@ def _counter(h: np.ndarray) -> np.ndarray:
 
 
 def _scan(batches):
-    """(doc_id, n, fp) of each document, and at the end (slot, uses) of the task's shingle
+    """(doc_id, n, fp, bitmap) of each document, and at the end (slot, uses) of the task's shingle
     counts; a set counts once per task however many copies the task reads."""
     count, seen = np.zeros(COUNTERS, np.int64), set()
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("slot", pa.int32()), ("uses", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("bm", pa.binary()), ("slot", pa.int32()), ("uses", pa.int64())])
     for b in batches:
-        ids, n, fp = b.column(0), [], []
+        ids, n, fp, bm = b.column(0), [], [], []
         for _, h in text_shingles(b):
             f = fingerprint(h)
             n.append(len(h))
             fp.append(f)
-            if len(h) and f not in seen:
+            new = len(h) > 0 and f not in seen
+            bm.append(parity_bitmap(h) if new else None)
+            if new:
                 seen.add(f)
-                count += np.bincount(_counter(h), minlength=COUNTERS) if len(h) > COUNTERS // 8 else 0
-                if len(h) <= COUNTERS // 8:
-                    np.add.at(count, _counter(h), 1)
+                np.add.at(count, _counter(h), 1)
         none = pa.nulls(len(n))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int32()), pa.array(fp, pa.int64()), none.cast(pa.int32()), none.cast(pa.int64())], schema=schema)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(bm, pa.binary()), none.cast(pa.int32()), none.cast(pa.int64())], schema=schema)
     used = np.flatnonzero(count)
     for i in range(0, len(used), 50_000):
         u = used[i : i + 50_000]
         none = pa.nulls(len(u))
-        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), pa.array(u, pa.int32()), pa.array(count[u])], schema=schema)
+        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(u, pa.int32()), pa.array(count[u])], schema=schema)
 
 
 def _prefixes(uses, num: int, den: int):
@@ -81,18 +81,8 @@ def _sets(bits):
         wanted = np.frombuffer(bits.value, np.uint8)
         for b in batches:
             b = b.filter(pa.array(member(wanted, b.column(0).to_numpy(zero_copy_only=False))))
-            rows = [(i, h) for i, h in text_shingles(b) if len(h)]
-            take = pa.array([i for i, _ in rows], pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0).take(take),
-                    pa.array([fingerprint(h) for _, h in rows], pa.int64()),
-                    pa.array([len(h) for _, h in rows], pa.int32()),
-                    pa.array([signed(h).tobytes() for _, h in rows], pa.binary()),
-                    pa.array([parity_bitmap(h) for _, h in rows], pa.binary()),
-                ],
-                ["doc_id", "node", "n", "hs", "bm"],
-            )
+            rows = [h for _, h in text_shingles(b) if len(h)]
+            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(h) for h in rows], pa.int64()), pa.array([signed(h).tobytes() for h in rows], pa.binary())], ["node", "hs"])
 
     return run
 
@@ -106,23 +96,23 @@ def shingle_components(docs: DataFrame, num: int = 80, den: int = 100) -> DataFr
     spark = docs.sparkSession
     sc = spark.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = keep(docs.mapInArrow(_scan, "doc_id long, n int, fp long, slot int, uses long"), "scan")
-    facts = found.where("slot is null").select("doc_id", "n", "fp")
+    found = keep(docs.mapInArrow(_scan, "doc_id long, n int, fp long, bm binary, slot int, uses long"), "scan")
+    facts = found.where("slot is null").select("doc_id", "n", "fp", "bm")
     uses = np.zeros(COUNTERS, np.int64)
     got = found.where("slot is not null").groupBy("slot").agg(F.sum("uses").alias("uses")).toArrow()  # COUNTERS rows at most
     uses[got.column(0).to_numpy()] = got.column(1).to_numpy()
     uses = sc.broadcast(np.minimum(uses, 2**31 - 1).astype(np.int32))
 
     classes = facts.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first"))
+    bitmaps = facts.where("bm is not null").dropDuplicates(["fp"]).select(F.col("fp").alias("node"), "n", "bm")
     postings = docs.mapInArrow(_prefixes(uses, num, den), "key long, node long, n int, pos int")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         wanted = keep(classes.join(nodes, F.col("fp") == F.col("node"), "left_semi").select(F.col("first").alias("doc_id")), "wanted")
         bits = sc.broadcast(membership(wanted, "doc_id"))
-        sets = docs.where("doc_id is not null").mapInArrow(_sets(bits), "doc_id long, node long, n int, hs binary, bm binary")
-        return sets.join(wanted, "doc_id", "left_semi").select("node", "n", "hs", "bm")
+        return docs.where("doc_id is not null").mapInArrow(_sets(bits), "node long, hs binary")
 
-    label = connect(postings, sets_of, num, den, positions=True)
+    label = connect(postings, bitmaps, sets_of, num, den, positions=True)
     named = classes.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     lowest = named.groupBy("label").agg(F.min("first").alias("lowest"))
     group = named.join(lowest, "label").select("fp", "lowest")

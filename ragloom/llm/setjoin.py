@@ -12,7 +12,9 @@ in two steps that together look at every pair a list proposes:
    pairs of a list are held against exact bounds (size, position, symmetric
    difference of parity bitmaps), and those that remain are verified.
 
-Long lists are dealt out in pairs of slots, so no task holds a whole list.
+Within a list only the nodes outside its largest component are held against the others, and
+long lists are dealt out in pairs of slots, so no task holds a whole list: a list of n nodes, m
+of them outside, costs n (1 + m / SLOT) rows.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import U64, keep, mix
 
-#: Nodes of a long list that one slot holds.
-SLOT = 1024
+#: Nodes of a long list that one slot holds; rounds of nearest neighbours before all pairs left are looked at.
+SLOT, NEAREST_ROUNDS = 1024, 3
 
 
 def bitmap_bits(n: int) -> int:
@@ -65,56 +67,84 @@ def _starts(*cols: np.ndarray) -> np.ndarray:
 
 
 def _leaders(num: int, den: int) -> Callable:
-    """Streams through (key, node, n, pos) sorted by key, n, node; drops keys with one node;
-    adds the leader: the first node of the size block."""
+    """Streams through (key, node, n, pos) sorted by key, n, node. Keeps the rows that have a
+    neighbour of compatible size in their list, and adds the leader: the first node of the
+    row's size block. Of an open list only the last row and its leader are remembered."""
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry, told, last = None, True, None  # the open list's leader row, whether it is out, its last (n, node)
-
-        def out(rows, lead):
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((*rows, lead), kinds)], ["key", "node", "n", "pos", "leader"])
-
+        last = None  # row, its leader, its leader's size, whether the row is out
         for b in batches:
             if not b.num_rows:
                 continue
-            key, node, n, pos = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+            rows = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]
+            key, node, n, _ = rows
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | (n[1:] != n[:-1])
-            if carry is not None and key[0] == carry[0]:
-                same = (key == carry[0]) & (n == last[0]) & (node == last[1])
-                new &= ~same
-            key, node, n, pos = key[new], node[new], n[new], pos[new]
-            if not len(key):
+            if last is not None:
+                new &= ~((key == last[0][0]) & (node == last[0][1]) & (n == last[0][2]))
+            rows = [c[new] for c in rows]
+            if not len(rows[0]):
                 continue
-            joined = carry is not None and key[0] == carry[0]
+            joined = last is not None and rows[0][0] == last[0][0]
             if joined:
-                key, node, n, pos = (np.concatenate([[c], x]) for c, x in zip(carry, (key, node, n, pos)))
+                rows = [np.concatenate([[x], c]) for x, c in zip(last[0], rows)]
+            key, node, n, _ = rows
             first = _starts(key)
             size = np.diff(np.append(first, len(key)))
-            lead = np.repeat(first, size)
-            far = np.flatnonzero(np.maximum.reduceat(n, first) * num > n[first] * den)
-            for r in far:  # lists with more than one size block
-                i, e = first[r], first[r] + size[r]
+            lead, lead_n = np.repeat(node[first], size), np.repeat(n[first], size)
+            if joined:
+                lead[: size[0]], lead_n[: size[0]] = last[1], last[2]
+            far = np.flatnonzero(n * num > lead_n * den)
+            for r in np.unique(np.searchsorted(first, far, "right") - 1):  # lists with another size block
+                i, e = int(first[r]), int(first[r] + size[r])
+                i += int(np.searchsorted(n[i:e], lead_n[i] * den // num, "right"))
                 while i < e:
                     j = i + int(np.searchsorted(n[i:e], n[i] * den // num, "right"))
-                    lead[i:j] = i
+                    lead[i:j], lead_n[i:j] = node[i], n[i]
                     i = j
-            show = np.repeat(size > 1, size)
-            if joined and told:
+            near = (key[1:] == key[:-1]) & (n[:-1] * den >= n[1:] * num)
+            show = np.zeros(len(key), bool)
+            show[1:] |= near
+            show[:-1] |= near
+            last_out = bool(show[-1])
+            if joined and last[3]:
                 show[0] = False
-            rows = [c[show] for c in (key, node, n, pos)]
-            if len(rows[0]):
-                yield out(rows, node[lead[show]])
-            at = lead[-1]
-            alone = size[-1] == 1
-            carry = (key[at], node[at], n[at], pos[at])
-            told = (told if joined and len(first) == 1 else False) if alone else True
-            last = (n[-1], node[-1])
+            if show.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[show], k) for c, k in zip((*rows, lead), kinds)], ["key", "node", "n", "pos", "leader"])
+            last = ([c[-1] for c in rows], lead[-1], lead_n[-1], last_out)
+
+    return run
+
+
+def _differ(u: np.ndarray, v: np.ndarray) -> int:
+    """A lower bound of the symmetric difference of the sets of two parity bitmaps."""
+    size = min(len(u), len(v))
+    return int(np.bitwise_count(_fold(u, size) ^ _fold(v, size)).sum())
+
+
+def _possible(num: int, den: int) -> Callable:
+    """(a, b, n and bitmap of a, n and bitmap of b) to the pairs that the bitmaps do not rule out."""
+
+    def run(batches):
+        for t in batches:
+            na, nb = (t.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 4))
+            most = na + nb - 2 * _need(na, nb, num, den)
+            good = [i for i, (x, y) in enumerate(zip(t.column(3), t.column(5))) if _differ(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) <= most[i]]
+            at = pa.array(good, pa.int32())
+            yield pa.RecordBatch.from_arrays([t.column(0).take(at), t.column(1).take(at)], ["a", "b"])
 
     return run
 
 
+def possible(pairs: DataFrame, bitmaps: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that the bitmaps (node, n, bm) allow to link."""
+    left = bitmaps.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bm").alias("ba"))
+    right = bitmaps.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bm").alias("bb"))
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "na", "ba", "nb", "bb")
+    return both.mapInArrow(_possible(num, den), "a long, b long")
+
+
 def _verified(num: int, den: int) -> Callable:
     """(a, b, hashes of a, hashes of b) to the pairs (a, b) that link."""
 
@@ -178,31 +208,41 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def _crossing(num: int, den: int, positions: bool) -> Callable:
-    """Streams through (key, s, t, mine, node, n, pos, label, bm) sorted by key, s, t; proposes the
-    pairs of a list whose labels differ and that no bound rules out."""
+def _crossing(num: int, den: int, positions: bool, nearest: bool) -> Callable:
+    """Streams through (key, s, t, side, node, n, pos, label, bm) sorted by key, s, t; proposes the
+    pairs of side 0 and side 1 whose labels differ and that no bound rules out, with the margin that
+    the bitmaps leave; with nearest only the widest margin of each row of side 0."""
 
     def pairs(side, node, n, pos, label, bm):
-        # a pair of slots: rows of slot s against rows of slot t; one slot: rows against later rows
-        i, j = np.flatnonzero(side), np.flatnonzero(~side)
-        if len(j):
-            one = False
-        else:
-            j, one = i, True
+        i, j = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         ok = label[i][:, None] != label[j][None, :]
         ni, nj = n[i][:, None], n[j][None, :]
         ok &= (ni * den >= nj * num) & (nj * den >= ni * num)
         need = _need(ni, nj, num, den)
         if positions:
             ok &= 1 + np.minimum(ni - 1 - pos[i][:, None], nj - 1 - pos[j][None, :]) >= need
-        if one:
-            ok &= np.tri(len(i), len(j), -1, dtype=bool)
-        for x, y in zip(*np.nonzero(ok)):
-            p, q = i[x], j[y]
-            u, v = np.frombuffer(bm[p].as_buffer(), np.uint8), np.frombuffer(bm[q].as_buffer(), np.uint8)
-            size = min(len(u), len(v))
-            if int(np.bitwise_count(_fold(u, size) ^ _fold(v, size)).sum()) <= n[p] + n[q] - 2 * need[x, y]:
-                yield (node[p], node[q]) if node[p] < node[q] else (node[q], node[p])
+        raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in bm]
+        size = np.array([len(x) for x in raw])
+        folded = {}  # by length: the bitmaps that long at least, folded to it
+        for z in np.unique(size):
+            folded[z] = np.zeros((len(raw), z), np.uint8)
+            for k in np.flatnonzero(size >= z):
+                folded[z][k] = _fold(raw[k], z)
+        for x, p in enumerate(i):
+            y = np.flatnonzero(ok[x])
+            best = None
+            for z in np.unique(size[j[y]]):
+                yz = y[size[j[y]] == z]
+                at = folded[min(z, size[p])]
+                margin = n[p] + n[j[yz]] - 2 * need[x, yz] - np.bitwise_count(at[j[yz]] ^ at[p]).sum(1, dtype=np.int64)
+                good = margin >= 0
+                found = zip(margin[good].tolist(), node[j[yz[good]]].tolist())
+                if nearest:
+                    best = max((best, *found), key=lambda f: f or (-1, 0))
+                else:
+                    yield from ((int(node[p]), v, m) for m, v in found)
+            if best:
+                yield int(node[p]), best[1], best[0]
 
     def run(batches):
         rest = None
@@ -224,24 +264,30 @@ def _crossing(num: int, den: int, positions: bool) -> Callable:
             for r in range(ends):
                 lo, hi = first[r], first[r + 1]
                 if hi - lo > 1:
-                    found.update(pairs(c[3][lo:hi] == 0, *(x[lo:hi] for x in c[4:8]), t.column(8).slice(lo, hi - lo)))
+                    found.update(pairs(c[3][lo:hi], *(x[lo:hi] for x in c[4:8]), t.column(8).slice(lo, hi - lo)))
             rest = None if final else t.slice(first[ends])
-            ab = np.array(sorted(found), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
+            abm = np.array(sorted(found), np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([pa.array(abm[:, k]) for k in range(3)], ["a", "b", "margin"])
             if final:
                 return
 
     return run
 
 
-def connect(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, positions: bool) -> DataFrame:
+def _checked(pairs: DataFrame, sets_of: Callable, num: int, den: int, name: str) -> DataFrame:
+    """The links among the pairs; sets are fetched for the nodes of the pairs only."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    return keep(verify(pairs, keep(sets_of(nodes), "sets"), num, den), name)
+
+
+def connect(postings: DataFrame, bitmaps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, positions: bool) -> DataFrame:
     """(node, label): the components of the nodes under links of similarity num / den at least.
 
     postings: (key long, node long, n int, pos int); a key's nodes are proposed to each
     other. positions: pos is the place of the key in the node's ordered set, and two
     linked nodes meet at the first key they share.
-    sets_of: gives (node, n, hs, bm) for the nodes asked for (more are allowed).
-    Nodes without links are not returned.
+    bitmaps: (node, n, bm), one row a node. sets_of: gives (node, hs) for the nodes asked
+    for (more are allowed). Nodes without links are not returned.
     """
     spark = postings.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -249,7 +295,6 @@ def connect(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num:
         postings.select("key", "node", "n", "pos").repartition(parts, "key").sortWithinPartitions("key", "n", "node").mapInArrow(_leaders(num, den), "key long, node long, n int, pos int, leader long"),
         "lists",
     )
-    sets = keep(sets_of(lists.select("node").distinct()), "sets")
     best = (
         lists.where("node <> leader")
         .groupBy("node", "leader")
@@ -258,21 +303,38 @@ def connect(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num:
         .agg(F.max_by("leader", F.struct("c", "leader")).alias("leader"))
         .select(F.col("node").alias("a"), F.col("leader").alias("b"))
     )
-    links = keep(verify(best, sets, num, den), "links")
+    links = _checked(keep(possible(best, bitmaps, num, den), "pairs"), sets_of, num, den, "links")
     label = components(links)
 
-    named = lists.select("key", "node", "n", "pos").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = keep(named, "named")
-    open_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    dealt = (
-        named.join(open_keys.select("key", "size"), "key")
-        .withColumn("slots", F.ceil(F.col("size") / SLOT).cast("int"))
-        .withColumn("slot", F.pmod(F.xxhash64("node"), F.col("slots")).cast("int"))
-        .withColumn("other", F.explode(F.expr("sequence(0, slots - 1)")))
-        .select("key", F.least("slot", "other").alias("s"), F.greatest("slot", "other").alias("t"), (F.col("slot") > F.col("other")).cast("int").alias("mine"), "node", "n", "pos", "label")
-        .join(sets.select("node", "bm"), "node")
-        .select("key", "s", "t", "mine", "node", "n", "pos", "label", "bm")
-    )
-    crossing = dealt.repartition(parts, "key", "s", "t").sortWithinPartitions("key", "s", "t").mapInArrow(_crossing(num, den, positions), "a long, b long").distinct()
-    more = verify(crossing, sets, num, den)
-    return components(links.unionByName(more))
+    def crossing(label: DataFrame, nearest: bool) -> DataFrame:
+        named = keep(lists.select("key", "node", "n", "pos").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
+        sizes = named.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.sum("c").alias("size"), F.max("c").alias("most"))
+        wide = sizes.where("most < size").select("key", "major", F.ceil(F.col("size") / SLOT).cast("int").alias("S"), F.ceil((F.col("size") - F.col("most")) / SLOT).cast("int").alias("T"))
+        rows = named.join(wide, "key")
+
+        def dealt_to(rows: DataFrame, side: int, own: str, other: str) -> DataFrame:
+            """Each row goes to its own slot of its side, with every slot of the other side."""
+            slots = {"s": "S", "t": "T"}
+            rows = rows.withColumn(own, F.pmod(F.xxhash64("node"), F.col(slots[own])).cast("int")).withColumn(other, F.explode(F.expr(f"sequence(0, {slots[other]} - 1)")))
+            return rows.select("key", "s", "t", F.lit(side).alias("side"), "node", "n", "pos", "label")
+
+        dealt = dealt_to(rows.where("label <> major"), 0, "t", "s").unionByName(dealt_to(rows, 1, "s", "t"))
+        dealt = dealt.join(bitmaps.select("node", "bm"), "node").select("key", "s", "t", "side", "node", "n", "pos", "label", "bm")
+        runs = dealt.repartition(parts, "key", "s", "t").sortWithinPartitions("key", "s", "t")
+        pairs = runs.mapInArrow(_crossing(num, den, positions, nearest), "a long, b long, margin long")
+        if nearest:
+            pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("margin", "b")).alias("b"))
+        return keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "crossing")
+
+    # each node's nearest neighbour outside its component first: those links spare most others; then every pair left
+    for _ in range(NEAREST_ROUNDS):
+        pairs = crossing(label, True)
+        if pairs.isEmpty():
+            return label
+        more = _checked(pairs, sets_of, num, den, "links")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        label = components(links)
+    more = _checked(crossing(label, False), sets_of, num, den, "links")
+    return label if more.isEmpty() else components(links.unionByName(more))
