@@ -21,7 +21,7 @@ ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep
@@ -153,20 +153,27 @@ def revealing_terms(docs: DataFrame, spans: DataFrame, disclosure: float = DISCL
 
 
 def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(row, terms): the spans of the revealing terms in each text that holds one; row is a hash of
-    doc_id and text. Positions are running sums over the words and gaps of those texts."""
-    word = r"[\p{L}\p{Nd}][\p{L}\p{Nd}_'-]*[\p{L}\p{Nd}]"
+    """(row, term): the spans of the revealing terms in each text that holds one; row is a hash of
+    doc_id and text. Each such text is matched once against the alternation of its own terms."""
     few = terms.select("term").distinct()
     near = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
     rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").where("text is not null")
-    hit = rows.select("row", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(word), F.lit(0)))).alias("term")).join(near, "term", "left_semi").select("row").distinct()
-    held = rows.join(hit, "row", "left_semi").dropDuplicates(["row"])
-    words = F.regexp_extract_all("text", F.lit(word), F.lit(0))
-    parts = held.select("row", F.posexplode(F.arrays_zip(F.slice(F.split("text", word, -1), 1, F.size(words)).alias("gap"), words.alias("hit"))).alias("no", "x"))
-
-    end = F.sum(F.length("x.gap") + F.length("x.hit")).over(Window.partitionBy("row").orderBy("no"))
-    at = parts.select("row", F.lower("x.hit").alias("term"), (end - F.length("x.hit")).cast("int").alias("start"), end.cast("int").alias("end"), F.col("x.hit").alias("value"))
-    return at.join(near, "term", "left_semi").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias("term"))
+    held = rows.select("row", F.explode(_terms(F.col("text"))).alias("term")).join(near, "term", "left_semi").groupBy("row").agg(F.collect_set("term").alias("terms"))
+    # terms hold letters, digits and inner marks only; the longest alternative goes first
+    longest = F.transform(F.array_sort(F.transform("terms", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda x: x["t"])
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{Nd}])(?<![\p{L}\p{Nd}][_'-]{1,9})(?:"), F.array_join(longest, "|"), F.lit(r")(?![_'-]*[\p{L}\p{Nd}])"))
+    found = rows.join(held, "row").withColumn("pattern", pattern)
+    hits = F.regexp_extract_all("text", F.col("pattern"), F.lit(0))
+    pairs = F.arrays_zip(F.slice(F.split("text", F.col("pattern"), -1), 1, F.size(hits)).alias("gap"), hits.alias("hit"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+
+    def step(acc, m):
+        s = acc["at"] + F.length(m["gap"])
+        e = s + F.length(m["hit"])
+        one = F.array(F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"), m["hit"].alias("value")))
+        return F.struct(e.cast("int").alias("at"), F.concat(acc["spans"], one).alias("spans"))
+
+    return found.select("row", F.aggregate(pairs, start, step)["spans"].alias("term")).dropDuplicates(["row"])
 
 
 def find(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
