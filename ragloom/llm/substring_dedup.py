@@ -11,7 +11,8 @@ both documents, are matched exactly besides, and merged into passages.
 Defined results: null or blank text has no paragraphs; a paragraph repeated within one
 document counts like one in another; windows count only if they occur in two documents;
 rows are returned for repeated passages only, with positions in code points (paragraphs)
-or words (windows); other columns are ignored.
+or words (windows); of equal windows exactly one stays, unless all of them meet removed
+paragraphs; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, buffers, fingerprint, keep, member, membership, mix, shingle_hashes, signed, words_of
@@ -80,7 +81,7 @@ def _winnow(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _paragraphs(data: np.ndarray, off: np.ndarray):
-    """Of each text of the buffer: word hashes, and (number, start, end, hashes of words) of its long lines."""
+    """Of each text of the buffer: word hashes, and (number, start, end, number of the first word, hashes of words) of its long lines."""
     base = int(off[0])
     part, off = data[base : off[-1]], off - base
     h, ws, _, at = words_of(part, off)
@@ -95,7 +96,7 @@ def _paragraphs(data: np.ndarray, off: np.ndarray):
         lo, hi = np.searchsorted(ws[edge[k] : edge[k + 1]], starts), np.searchsorted(ws[edge[k] : edge[k + 1]], ends)
         w = h[edge[k] : edge[k + 1]]
         long = np.flatnonzero(hi - lo >= MIN_WORDS)
-        yield k, w, [(int(i), int(lead[starts[i]] - lead[off[k]]), int(lead[ends[i]] - lead[off[k]]), w[lo[i] : hi[i]]) for i in long]
+        yield k, w, [(int(i), int(lead[starts[i]] - lead[off[k]]), int(lead[ends[i]] - lead[off[k]]), int(lo[i]), w[lo[i] : hi[i]]) for i in long]
 
 
 def _groups(col, limit: int = 2 << 20):
@@ -107,8 +108,8 @@ def _groups(col, limit: int = 2 << 20):
         row = stop
 
 
-SCAN = "doc_id long, no int, start int, end int, words int, node long, n int, bm binary, keys array<long>, windows array<long>, places array<int>"
-_SCAN = pa.schema([("doc_id", pa.int64()), ("no", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("node", pa.int64()), ("n", pa.int32()), ("bm", pa.binary()), ("keys", pa.list_(pa.int64())), ("windows", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
+SCAN = "doc_id long, no int, start int, end int, words int, at int, node long, n int, bm binary, keys array<long>, windows array<long>, places array<int>"
+_SCAN = pa.schema([("doc_id", pa.int64()), ("no", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("at", pa.int32()), ("node", pa.int64()), ("n", pa.int32()), ("bm", pa.binary()), ("keys", pa.list_(pa.int64())), ("windows", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
 
 
 def _scan(bands: int, rows: int):
@@ -124,11 +125,11 @@ def _scan(bands: int, rows: int):
                 for k, w, found in _paragraphs(data, off):
                     h, at = _winnow(w)
                     if len(h):
-                        out.append([ids[row + k], None, None, None, len(w), None, None, None, None, signed(h), at.astype(np.int32)])
-                    for no, start, end, words in found:
+                        out.append([ids[row + k], None, None, None, len(w), None, None, None, None, None, signed(h), at.astype(np.int32)])
+                    for no, start, end, lead, words in found:
                         s = np.unique(shingle_hashes(words))
                         f = fingerprint(s)
-                        one = [ids[row + k], no, start, end, len(words), f, len(s), None, None, None, None]
+                        one = [ids[row + k], no, start, end, len(words), lead, f, len(s), None, None, None, None]
                         if f not in seen:
                             seen.add(f)
                             new.append(one)
@@ -137,7 +138,7 @@ def _scan(bands: int, rows: int):
                 if sets:
                     keys = _signatures(sets, bands, rows)
                     for one, s, key in zip(new, sets, keys):
-                        one[7], one[8] = parity_bitmap(s), signed(key)
+                        one[8], one[9] = parity_bitmap(s), signed(key)
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _SCAN)], schema=_SCAN)
 
@@ -163,13 +164,72 @@ def _sets(doc_bits, node_bits):
     return run
 
 
+MARKS = "doc_id long, h long, at int, lost boolean"
+
+
+def _marks(batches):
+    """A row for each window; lost: it meets a removed paragraph of its document."""
+    for b in batches:
+        docs, windows, places, froms, tos = (b.column(i) for i in range(5))
+        lost = []
+        for at, a, z in zip(places, froms, tos):
+            p = at.values.to_numpy()
+            if not a.is_valid:
+                lost.append(np.zeros(len(p), bool))
+                continue
+            a, z = np.sort(a.values.to_numpy()), np.sort(z.values.to_numpy())
+            k = np.searchsorted(z, p, "right")
+            lost.append((k < len(a)) & (a[np.minimum(k, len(a) - 1)] < p + WINDOW))
+        if lost:
+            ids = docs.take(pa.array(np.repeat(np.arange(len(lost)), [len(x) for x in lost])))
+            yield pa.RecordBatch.from_arrays([ids, windows.flatten(), places.flatten(), pa.array(np.concatenate(lost))], ["doc_id", "h", "at", "lost"])
+
+
+RUNS = "doc_id long, start int, end int, first_doc long, copies long, removed boolean"
+
+
+def _runs(batches):
+    """Passages of each document's shared windows. Of equal windows the first that may stay does;
+    a passage holds removed windows of one first document, or windows that stay, and what is
+    removed ends where a window that stays begins."""
+    far = 1 << 40
+    for b in batches:
+        if not b.num_rows:
+            continue
+        row = np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy())
+        h, at, first, copies, able = (b.column(i).flatten().to_numpy(zero_copy_only=False) for i in range(1, 6))
+        order = np.lexsort((at, row))
+        row, h, at, first, copies, able = (x[order] for x in (row, h, at.astype(np.int64), first, copies, able))
+        ids = b.column(0).to_numpy()[row]
+        mine = np.flatnonzero((first == ids) & able)
+        mine = mine[np.lexsort((at[mine], h[mine], row[mine]))]
+        stays = np.zeros(len(at), bool)
+        lead = np.ones(len(mine), bool)
+        lead[1:] = (h[mine[1:]] != h[mine[:-1]]) | (row[mine[1:]] != row[mine[:-1]])
+        stays[mine[lead]] = True
+        start = row * far + at
+        end = start + WINDOW
+        low = np.maximum.accumulate(np.where(stays, end, -1))
+        high = np.minimum.accumulate(np.where(stays, start, 1 << 62)[::-1])[::-1]
+        cut_start, cut_end = np.maximum(start, low), np.minimum(end, high)
+        removed = ~stays & (cut_start < cut_end)
+        start, end = np.where(removed, cut_start, start), np.where(removed, cut_end, end)
+        new = np.ones(len(at), bool)
+        new[1:] = (row[1:] != row[:-1]) | (removed[1:] != removed[:-1]) | (first[1:] != first[:-1]) | (start[1:] > end[:-1])
+        k = np.flatnonzero(new)
+        base = row[k] * far
+        cols = [ids[k], (start[k] - base).astype(np.int32), (np.maximum.reduceat(end, k) - base).astype(np.int32), first[k], np.maximum.reduceat(copies, k), removed[k]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc_id", "start", "end", "first_doc", "copies", "removed"])
+
+
 def repeated_passages(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """kind, doc_id, no, start, end, words, first_doc, first_no, copies, removed of every repeated passage.
 
     kind 'paragraph': no is the line's number, start and end its code points; first_doc and
     first_no name the cluster by its first occurrence, which stays (removed is false).
     kind 'window': start and end are word numbers; first_doc is the smallest document that
-    shares a window of the passage.
+    holds the passage's windows outside removed paragraphs (in one, if there is no other);
+    there they stay. Words of a window that stays are in no removed passage.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -187,22 +247,25 @@ def repeated_passages(docs: DataFrame, num: int = 80, den: int = 100) -> DataFra
         return docs.mapInArrow(_sets(*bits), "node long, hs binary")
 
     label = connect(postings, bitmaps, sets_of, num, den, positions=False)
-    occ = para.select("doc_id", "no", "start", "end", "words", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    occ = para.select("doc_id", "no", "start", "end", "words", "at", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     occ = keep(occ, "occurrences")
     clusters = occ.groupBy("label").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
     paragraphs = occ.join(clusters, "label").select(
-        F.lit("paragraph").alias("kind"), "doc_id", "no", "start", "end", "words",
+        F.lit("paragraph").alias("kind"), "doc_id", "no", "start", "end", "words", "at",
         F.col("first.doc_id").alias("first_doc"), F.col("first.no").alias("first_no"), "copies",
         (F.struct("doc_id", "no") != F.col("first")).alias("removed"),
     )
-
-    marks = scan.where("no is null").select("doc_id", F.explode(F.arrays_zip("windows", "places")).alias("x")).select("doc_id", F.col("x.windows").alias("h"), F.col("x.places").alias("at"))
-    shared = marks.groupBy("h").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("copies")).where("first_doc < last_doc")
-    hits = marks.join(shared.select("h", "first_doc", "copies"), "h")
-    order = Window.partitionBy("doc_id").orderBy("at")
-    runs = hits.withColumn("new", (F.col("at") > F.coalesce(F.lag("at").over(order), F.lit(-(10**6))) + WINDOW).cast("int")).withColumn("run", F.sum("new").over(order))
-    windows = runs.groupBy("doc_id", "run").agg(F.min("at").alias("start"), (F.max("at") + WINDOW).cast("int").alias("end"), F.min("first_doc").alias("first_doc"), F.max("copies").alias("copies")).select(
+    paragraphs = keep(paragraphs, "repeats")
+
+    gone = paragraphs.where("removed").groupBy("doc_id").agg(F.collect_list("at").alias("froms"), F.collect_list(F.col("at") + F.col("words")).alias("tos"))
+    marks = scan.where("no is null").select("doc_id", "windows", "places").join(gone, "doc_id", "left").mapInArrow(_marks, MARKS)
+    # the first occurrence outside removed paragraphs stays
+    whole = F.min(F.when(~F.col("lost"), F.col("doc_id")))
+    shared = marks.groupBy("h").agg(whole.alias("whole"), F.min("doc_id").alias("least"), F.max("doc_id").alias("last_doc"), F.count("*").alias("copies")).where("least < last_doc")
+    hits = marks.join(shared, "h").select("doc_id", "h", "at", F.coalesce("whole", "least").alias("first_doc"), "copies", (F.col("lost") == F.col("whole").isNull()).alias("able"))
+    lists = hits.groupBy("doc_id").agg(F.collect_list(F.struct("h", "at", "first_doc", "copies", "able")).alias("x")).select("doc_id", *[F.col(f"x.{c}").alias(c) for c in ("h", "at", "first_doc", "copies", "able")])
+    windows = lists.mapInArrow(_runs, RUNS).select(
         F.lit("window").alias("kind"), "doc_id", F.lit(None).cast("int").alias("no"), "start", "end", (F.col("end") - F.col("start")).alias("words"),
-        "first_doc", F.lit(None).cast("int").alias("first_no"), "copies", (F.col("doc_id") != F.col("first_doc")).alias("removed"),
+        "first_doc", F.lit(None).cast("int").alias("first_no"), "copies", "removed",
     )
-    return paragraphs.unionByName(windows)
+    return paragraphs.drop("at").unionByName(windows)

@@ -155,6 +155,45 @@ def test_paragraph_clusters_equal_brute_force(spark):
     assert substring_dedup.repeated_passages(empty_docs(spark)).count() == 0
 
 
+def spans_removed(rows, texts):
+    """Word numbers that the rows remove, by document."""
+    gone = defaultdict(set)
+    for r in rows:
+        if not r["removed"]:
+            continue
+        if r["kind"] == "window":
+            gone[r["doc_id"]] |= set(range(r["start"], r["end"]))
+        else:
+            before = len(texts[r["doc_id"]][: r["start"]].split())
+            gone[r["doc_id"]] |= set(range(before, before + r["words"]))
+    return gone
+
+
+def test_every_repeated_passage_keeps_one_copy(spark):
+    rng = random.Random(12)
+    a, b, c = prose(rng, 120), prose(rng, 120), prose(rng, 120)
+    # b and c follow a without a break: in document 1 a is a later occurrence, b and c are first ones
+    texts = [f"{prose(rng, 90)} {a} {prose(rng, 90)}", f"{a} {b} {c} {prose(rng, 300)}", f"{prose(rng, 300)} {a} {b}", f"{prose(rng, 400)} {b} {c}"]
+    p = prose(rng, 100)
+    q = f"{p} {prose(rng, 60)}"
+    # the first holder of the end of document 5 is a removed near copy
+    tail = prose(rng, 60)
+    base = prose(rng, 600)
+    texts += [base, f"{base} {tail}", f"{prose(rng, 300)} {tail} {q}", f"{q} {prose(rng, 500)}"]
+    rows = substring_dedup.repeated_passages(docs_of(spark, texts)).collect()
+    gone = spans_removed(rows, texts)
+    for passage in (a, b, c, p, tail):
+        w, stay, some = passage.split(), 0, 0
+        for i, t in enumerate(texts):
+            x = t.split()
+            for k in range(len(x) - len(w) + 1):
+                if x[k : k + len(w)] == w:
+                    kept = [n not in gone[i] for n in range(k, k + len(w))]
+                    stay += all(kept)
+                    some += sum(kept) > len(w) // 2
+        assert stay == some == 1, passage
+
+
 def test_banding_is_tuned_for_recall():
     b, r = substring_dedup.tune(0.8)
     assert 1 - (1 - 0.8**r) ** b >= 0.9995
