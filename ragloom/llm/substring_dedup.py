@@ -1,7 +1,7 @@
 """Repeated passages: paragraph MinHash banding, with winnowed windows for passages inside paragraphs.
 
-Method: paragraphs (lines of ``MIN_WORDS`` words or more) get MinHash signatures over five-word
-shingles; the numbers of bands and rows are tuned for high recall at the threshold;
+Method: paragraphs (lines with a word) get MinHash signatures over five-word shingles (lines
+too short to be similar to any but their equals are matched by the hash of their set); the numbers of bands and rows are tuned for high recall at the threshold;
 paragraphs that collide in a band are joined, verified by exact Jaccard similarity, and
 clustered by connected components; of each cluster the first occurrence stays. A passage
 that was pasted into the middle of paragraphs makes no two of them similar, so windows of
@@ -9,7 +9,7 @@ that was pasted into the middle of paragraphs makes no two of them similar, so w
 both documents, are matched exactly besides, and merged into passages.
 
 Defined results: null or blank text has no paragraphs; a paragraph repeated within one
-document counts like one in another; windows count only if they occur in two documents;
+document counts like one in another; windows count likewise; a line under five words is one shingle;
 rows are returned for repeated passages only, with positions in code points (paragraphs)
 or words (windows); of equal windows exactly one stays, unless all of them meet removed
 paragraphs; other columns are ignored.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import U64, buffers, fingerprint, keep, member, membership, mix, shingle_hashes, signed, words_of
 from .setjoin import connect, parity_bitmap
 
-MIN_WORDS, WINDOW, RUN = 30, 32, 50
+MIN_WORDS, WINDOW, RUN = 1, 32, 50
 
 
 def tune(similarity: float, recall: float = 0.9995, most_rows: int = 6) -> tuple[int, int]:
@@ -81,7 +81,7 @@ def _winnow(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _paragraphs(data: np.ndarray, off: np.ndarray):
-    """Of each text of the buffer: word hashes, and (number, start, end, number of the first word, hashes of words) of its long lines."""
+    """Of each text of the buffer: word hashes, and (number, start, end, number of the first word, hashes of words) of its lines with words."""
     base = int(off[0])
     part, off = data[base : off[-1]], off - base
     h, ws, _, at = words_of(part, off)
@@ -112,9 +112,9 @@ SCAN = "doc_id long, no int, start int, end int, words int, at int, node long, n
 _SCAN = pa.schema([("doc_id", pa.int64()), ("no", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("at", pa.int32()), ("node", pa.int64()), ("n", pa.int32()), ("bm", pa.binary()), ("keys", pa.list_(pa.int64())), ("windows", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
 
 
-def _scan(bands: int, rows: int):
+def _scan(bands: int, rows: int, num: int, den: int):
     """A row for each long paragraph (bitmap and band keys with the first of its kind in the task),
-    and one for each text's winnowed windows (no is null)."""
+    and one for each text's winnowed windows (no is null). Sets that can only equal their like have no bitmap."""
 
     def run(batches):
         seen: set[int] = set()
@@ -130,7 +130,8 @@ def _scan(bands: int, rows: int):
                         s = np.unique(shingle_hashes(words))
                         f = fingerprint(s)
                         one = [ids[row + k], no, start, end, len(words), lead, f, len(s), None, None, None, None]
-                        if f not in seen:
+                        # another set can only be similar to one that is large enough
+                        if den * len(s) >= num * (len(s) + 1) and f not in seen:
                             seen.add(f)
                             new.append(one)
                             sets.append(s)
@@ -235,7 +236,7 @@ def repeated_passages(docs: DataFrame, num: int = 80, den: int = 100) -> DataFra
     sc = spark.sparkContext
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bands, rows = tune(num / den)
-    scan = keep(docs.mapInArrow(_scan(bands, rows), SCAN), "paragraphs")
+    scan = keep(docs.mapInArrow(_scan(bands, rows, num, den), SCAN), "paragraphs")
     para = scan.where("no is not null")
     first = para.where("keys is not null")
     bitmaps = first.dropDuplicates(["node"]).select("node", "n", "bm")
@@ -261,7 +262,7 @@ def repeated_passages(docs: DataFrame, num: int = 80, den: int = 100) -> DataFra
     marks = scan.where("no is null").select("doc_id", "windows", "places").join(gone, "doc_id", "left").mapInArrow(_marks, MARKS)
     # the first occurrence outside removed paragraphs stays
     whole = F.min(F.when(~F.col("lost"), F.col("doc_id")))
-    shared = marks.groupBy("h").agg(whole.alias("whole"), F.min("doc_id").alias("least"), F.max("doc_id").alias("last_doc"), F.count("*").alias("copies")).where("least < last_doc")
+    shared = marks.groupBy("h").agg(whole.alias("whole"), F.min("doc_id").alias("least"), F.count("*").alias("copies")).where("copies > 1")
     hits = marks.join(shared, "h").select("doc_id", "h", "at", F.coalesce("whole", "least").alias("first_doc"), "copies", (F.col("lost") == F.col("whole").isNull()).alias("able"))
     lists = hits.groupBy("doc_id").agg(F.collect_list(F.struct("h", "at", "first_doc", "copies", "able")).alias("x")).select("doc_id", *[F.col(f"x.{c}").alias(c) for c in ("h", "at", "first_doc", "copies", "able")])
     windows = lists.mapInArrow(_runs, RUNS).select(

@@ -194,6 +194,21 @@ def test_every_repeated_passage_keeps_one_copy(spark):
         assert stay == some == 1, passage
 
 
+def test_short_lines_and_repeats_inside_a_document(spark):
+    rng = random.Random(13)
+    ten, four, near_line = prose(rng, 10), prose(rng, 4), prose(rng, 25)
+    twice = prose(rng, 70)
+    texts = [
+        f"{prose(rng, 12)}\n{ten}\n{prose(rng, 12)}", f"{prose(rng, 9)}\n{ten}\n{four}", f"{four}\n{prose(rng, 6)}",
+        f"{prose(rng, 20)}\n{near_line}", f"{near_line} {rng.choice(WORDS)}\n{prose(rng, 7)}",
+        f"{prose(rng, 80)} {twice} {prose(rng, 80)}\n{prose(rng, 90)} {twice} {prose(rng, 50)}",
+    ]
+    rows = substring_dedup.repeated_passages(docs_of(spark, texts)).collect()
+    assert {(r["doc_id"], r["no"], r["removed"]) for r in rows if r["kind"] == "paragraph"} == {(0, 1, False), (1, 1, True), (1, 2, False), (2, 0, True), (3, 1, False), (4, 0, True)}
+    inside = [r for r in rows if r["kind"] == "window" and r["doc_id"] == 5]
+    assert {r["removed"] for r in inside} == {True, False} and all(r["start"] >= 150 for r in inside if r["removed"])
+
+
 def test_banding_is_tuned_for_recall():
     b, r = substring_dedup.tune(0.8)
     assert 1 - (1 - 0.8**r) ** b >= 0.9995
