@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, fingerprint, keep, member, membership, mix, signed, text_shingles
@@ -29,12 +29,12 @@ def _counter(h: np.ndarray) -> np.ndarray:
 
 
 def _scan(batches):
-    """(doc_id, n, fp, bitmap) of each document, and at the end (slot, uses) of the task's shingle
+    """(doc_id, row, n, fp, bitmap) of each document, and at the end (slot, uses) of the task's shingle
     counts; a set counts once per task however many copies the task reads."""
     count, seen = np.zeros(COUNTERS, np.int64), set()
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("bm", pa.binary()), ("slot", pa.int32()), ("uses", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("bm", pa.binary()), ("slot", pa.int32()), ("uses", pa.int64())])
     for b in batches:
-        ids, n, fp, bm = b.column(0), [], [], []
+        ids, keys, n, fp, bm = b.column(0), b.column(2), [], [], []
         for _, h in text_shingles(b):
             f = fingerprint(h)
             n.append(len(h))
@@ -45,12 +45,12 @@ def _scan(batches):
                 seen.add(f)
                 np.add.at(count, _counter(h), 1)
         none = pa.nulls(len(n))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(bm, pa.binary()), none.cast(pa.int32()), none.cast(pa.int64())], schema=schema)
+        yield pa.RecordBatch.from_arrays([ids, keys, pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(bm, pa.binary()), none.cast(pa.int32()), none.cast(pa.int64())], schema=schema)
     used = np.flatnonzero(count)
     for i in range(0, len(used), 50_000):
         u = used[i : i + 50_000]
         none = pa.nulls(len(u))
-        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(u, pa.int32()), pa.array(count[u])], schema=schema)
+        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(u, pa.int32()), pa.array(count[u])], schema=schema)
 
 
 def _prefixes(uses, num: int, den: int):
@@ -80,40 +80,52 @@ def _sets(bits):
     def run(batches):
         wanted = np.frombuffer(bits.value, np.uint8)
         for b in batches:
-            b = b.filter(pa.array(member(wanted, b.column(0).to_numpy(zero_copy_only=False))))
+            b = b.filter(pa.array(member(wanted, b.column(2).to_numpy(zero_copy_only=False))))
             rows = [h for _, h in text_shingles(b) if len(h)]
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(h) for h in rows], pa.int64()), pa.array([signed(h).tobytes() for h in rows], pa.binary())], ["node", "hs"])
 
     return run
 
 
-def shingle_components(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
+def _row() -> Column:
+    """64 bits of id and text that stand for a row; nulls have bits of their own."""
+    key, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return F.xxhash64(key.isNull(), F.coalesce(key, F.lit(0)), text.isNull(), F.coalesce(text, F.lit("")))
 
-    Documents link when den * intersection >= num * union of their five-word shingles;
-    component_id is the smallest doc_id reachable by links.
-    """
+
+def _components(docs: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, n, fp) of every row of ``docs``, and (fp, label, first, row) of every set of
+    shingles: its component, smallest doc_id, and one row that has it."""
     spark = docs.sparkSession
     sc = spark.sparkContext
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = keep(docs.mapInArrow(_scan, "doc_id long, n int, fp long, bm binary, slot int, uses long"), "scan")
-    facts = found.where("slot is null").select("doc_id", "n", "fp", "bm")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _row().alias("row"))
+    found = keep(docs.mapInArrow(_scan, "doc_id long, row long, n int, fp long, bm binary, slot int, uses long"), "scan")
+    facts = found.where("slot is null").select("doc_id", "row", "n", "fp", "bm")
     uses = np.zeros(COUNTERS, np.int64)
     got = found.where("slot is not null").groupBy("slot").agg(F.sum("uses").alias("uses")).toArrow()  # COUNTERS rows at most
     uses[got.column(0).to_numpy()] = got.column(1).to_numpy()
     uses = sc.broadcast(np.minimum(uses, 2**31 - 1).astype(np.int32))
 
-    classes = facts.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first"))
+    classes = facts.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"))
     bitmaps = facts.where("bm is not null").dropDuplicates(["fp"]).select(F.col("fp").alias("node"), "n", "bm")
     postings = docs.mapInArrow(_prefixes(uses, num, den), "key long, node long, n int, pos int")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        wanted = keep(classes.join(nodes, F.col("fp") == F.col("node"), "left_semi").select(F.col("first").alias("doc_id")), "wanted")
-        bits = sc.broadcast(membership(wanted, "doc_id"))
-        return docs.where("doc_id is not null").mapInArrow(_sets(bits), "node long, hs binary")
+        wanted = keep(classes.join(nodes, F.col("fp") == F.col("node"), "left_semi").select("row"), "wanted")
+        bits = sc.broadcast(membership(wanted, "row"))
+        return docs.mapInArrow(_sets(bits), "node long, hs binary")
 
     label = connect(postings, bitmaps, sets_of, num, den, positions=True)
-    named = classes.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    return facts, classes.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
+def shingle_components(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
+
+    Documents link when den * intersection >= num * union of their five-word shingles;
+    component_id is the smallest doc_id reachable by links (null if no row there has one).
+    """
+    facts, named = _components(docs, num, den)
     lowest = named.groupBy("label").agg(F.min("first").alias("lowest"))
     group = named.join(lowest, "label").select("fp", "lowest")
     return facts.join(group, "fp", "left").select(
@@ -124,6 +136,20 @@ def shingle_components(docs: DataFrame, num: int = 80, den: int = 100) -> DataFr
 
 
 def one_per_component(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the smallest doc_id stays."""
-    first = shingle_components(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").select(docs.columns)
+    """The rows of ``docs`` without near copies: of each component one row stays, that with the
+    smallest doc_id (of several the first by a hash of the text; rows without doc_id come last).
+    Rows without words are like no other and stay."""
+    facts, named = _components(docs, 80, 100)
+    rows = facts.where("n > 0").groupBy("fp", "doc_id", "row").agg(F.count("*").alias("uses")).join(named.select("fp", "label"), "fp")
+    rows = keep(rows.select("label", "doc_id", "row", "uses"), "rows")
+    lowest = rows.groupBy("label").agg(F.min("doc_id").alias("lowest"))
+    able = rows.join(lowest, "label").where("doc_id <=> lowest")
+    first = keep(able.groupBy("label").agg(F.min_by(F.struct("row", "uses"), "row").alias("x")).select(F.col("x.row").alias("__row"), F.col("x.uses").alias("uses")), "firsts")
+    named_rows = docs.withColumn("__row", _row())
+    blank = docs.where(~F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    out = named_rows.join(first.where("uses = 1").select("__row"), "__row", "left_semi").select(docs.columns).unionByName(blank)
+    again = first.where("uses > 1").select("__row")
+    if again.isEmpty():
+        return out
+    # rows that repeat both id and text
+    return out.unionByName(named_rows.join(again, "__row", "left_semi").dropDuplicates(["__row"]).select(docs.columns))

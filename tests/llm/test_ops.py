@@ -107,6 +107,16 @@ def test_one_per_component_keeps_columns(spark, corpus):
     assert out.columns == d.columns and out.count() == len(set(brute_components({i: shingle_set(t) for i, t in enumerate(corpus)}, range(len(corpus))).values()))
 
 
+def test_one_per_component_without_or_with_repeated_ids(spark):
+    rng = random.Random(14)
+    a, b, c, d, e = (prose(rng, 80) for _ in range(5))
+    rows = [(None, a), (None, b), (None, near(rng, b, 1)), (4, c), (None, near(rng, c, 1)), (7, d), (7, d), (7, d), (8, e), (8, near(rng, e, 1)), (8, a[::-1]), (None, None), (None, " "), (9, ""), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", 1) for k, (i, t) in enumerate(rows)], DOCS)
+    out = Counter(r["source"] for r in ngram_join.one_per_component(docs).collect())
+    groups = [{"s0"}, {"s1", "s2"}, {"s3"}, {"s5", "s6", "s7"}, {"s8", "s9"}, {"s10"}, {"s11"}, {"s12"}, {"s13"}, {"s14"}]
+    assert [sum(out[x] for x in g) for g in groups] == [1] * len(groups) and sum(out.values()) == len(groups)
+
+
 def test_decontamination_equals_brute_force(spark, corpus):
     rng = random.Random(9)
     items = [None, " ", "tiny", prose(rng, 12), prose(rng, 40), prose(rng, 58)]
