@@ -26,11 +26,11 @@ from .common import U64, buffers, keep, mix
 #: Labelled documents of the sample at most; trigram classes; pseudo-counts of a prior;
 #: exponent on the text's likelihood (its trigrams are far from independent).
 SAMPLE, CLASSES, STRENGTH, TEMPER = 2000, 1 << 15, 5.0, 0.2
-MAX_LANGS = 64
 #: Country suffixes that speak for a language.
 SUFFIX_LANG = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "ie": "en", "au": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl"}
 
 _TEXTLESS = re.compile(r"(?is)<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^<>]*+>")
+_UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)"
 _B = mix(np.arange(1, 769, dtype=U64)).reshape(3, 256)
 _FOLD = np.arange(256)
 _FOLD[65:91] += 32
@@ -72,7 +72,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
         v = np.frombuffer(n, "<i4")
         t = total.setdefault(lang, np.zeros(CLASSES))
         t[v[: len(v) // 2]] += v[len(v) // 2 :]
-    langs = sorted(total)[:MAX_LANGS]
+    langs = sorted(total)
     if not langs:
         return None
     c = np.stack([total[x] + 0.5 for x in langs], axis=1)
@@ -118,7 +118,8 @@ def evidence(pages: DataFrame | None, docs: DataFrame | None) -> list[tuple[Data
         segment = F.lower(F.regexp_extract(url, r"^[^:]+://[^/?#]+/([A-Za-z]{2})(?:[-_][A-Za-z]{2})?(?:[/?#]|$)", 1))
         ends = F.create_map(*[F.lit(x) for kv in SUFFIX_LANG.items() for x in kv])
         html = F.col("html").cast("string")
-        declared = F.lower(F.regexp_extract(F.substring(html, 1, 4096), r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})""", 1))
+        # comments and scripts may come before the tag, and hold others like it
+        declared = F.lower(F.regexp_extract(F.regexp_replace(html, _UNSEEN, " "), r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})""", 1))
         rows = pages.select(
             F.lit("page").alias("kind"),
             null.cast("long").alias("doc_id"),
@@ -160,25 +161,31 @@ def identify(pages: DataFrame | None, docs: DataFrame | None, labelled: DataFram
     scored = [r.mapInArrow(_scored(model, html), f"{FIELDS}, text_lang string, loglik array<double>") for r, html in tables]
     scored = keep(scored[0] if len(scored) == 1 else scored[0].unionByName(scored[1]), "scored")
 
+    zero = F.array_repeat(F.lit(0.0), len(langs))
+    names = F.array(*[F.lit(x) for x in langs])
+
     def tally(key: str) -> DataFrame:
         """Rows of each value of key by language of the text, one row a value."""
-        counts = [F.count(F.when(F.col("text_lang") == x, 1)).cast("double") for x in langs]
-        return scored.where(F.col(key).isNotNull() & F.col("text_lang").isNotNull()).groupBy(key).agg(F.array(*counts).alias(f"n_{key}"))
+        counts = scored.where(F.col(key).isNotNull() & F.col("text_lang").isNotNull()).groupBy(key, "text_lang").agg(F.count("*").cast("double").alias("n"))
+        found = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("text_lang", "n"))).alias("n"))
+        return found.select(key, F.transform(names, lambda x: F.coalesce(F.try_element_at("n", x), F.lit(0.0))).alias(f"n_{key}"))
 
-    every = scored.agg(*[F.count(F.when(F.col("text_lang") == x, 1)) for x in langs]).first()
+    seen = {r["text_lang"]: r["n"] for r in scored.where("text_lang is not null").groupBy("text_lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    every = [seen.get(x, 0) for x in langs]
     total = sum(every)
     corpus = [(c + strength / len(langs)) / (total + strength) for c in every]
 
     def towards(n: str, up):
         """Counts smoothed towards the distribution one level up."""
-        n = F.coalesce(F.col(n), F.array(*[F.lit(0.0)] * len(langs)))
+        n = F.coalesce(F.col(n), zero)
         size = F.aggregate(n, F.lit(0.0), lambda a, x: a + x)
         return F.zip_with(n, up, lambda x, q: (x + strength * q) / (size + strength))
 
     top = F.array(*[F.lit(p) for p in corpus])
     domains = tally("domain").select("domain", towards("n_domain", top).alias("p_domain"))
     hosts = (
-        scored.where("host is not null").groupBy("host", "domain").agg(F.array(*[F.count(F.when(F.col("text_lang") == x, 1)).cast("double") for x in langs]).alias("n_host"))
+        scored.where("host is not null").select("host", "domain").distinct()
+        .join(tally("host"), "host", "left")
         .join(domains, "domain", "left")
         .select("host", towards("n_host", F.coalesce("p_domain", top)).alias("prior"))
     )
@@ -188,7 +195,6 @@ def identify(pages: DataFrame | None, docs: DataFrame | None, labelled: DataFram
         floor = F.lit(0.5)
         return tally(key).select(key, F.zip_with(f"n_{key}", F.array(*[F.lit(float(c)) for c in every]), lambda x, c: F.log((x + floor) / (c + F.lit(0.5 * len(langs))))).alias(f"l_{key}"))
 
-    zero = F.array(*[F.lit(0.0)] * len(langs))
     joined = scored.join(hosts, "host", "left").join(likelihood("declared"), "declared", "left").join(likelihood("address"), "address", "left")
     score = F.zip_with(F.transform("loglik", lambda x: x * temper), F.transform(F.coalesce("prior", top), lambda p: F.log(p)), lambda a, b: a + b)
     score = F.zip_with(score, F.coalesce("l_declared", zero), lambda a, b: a + b)
@@ -196,7 +202,7 @@ def identify(pages: DataFrame | None, docs: DataFrame | None, labelled: DataFram
     best = F.array_max("score")
     return (
         joined.withColumn("score", score)
-        .withColumn("lang", F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position("score", best).cast("int")))
+        .withColumn("lang", F.element_at(names, F.array_position("score", best).cast("int")))
         .withColumn("prob", 1 / F.aggregate("score", F.lit(0.0), lambda a, x: a + F.exp(x - best)))
         .select("kind", "doc_id", "page_id", "lang", "prob", "text_lang", "declared", "address")
     )

@@ -420,3 +420,13 @@ def test_language_evidence(spark):
     none = language_id.identify(p, d, d.limit(0)).collect()
     assert {r["lang"] for r in none} == {"und"}
     assert language_id.identify(p.limit(0), d.limit(0), d).count() == 0
+
+
+def test_language_beyond_a_prefix_and_many_languages(spark):
+    codes = [f"{a}{b}" for a in "abcdefghz" for b in "abcdefghi"] + ["zzh"]
+    d = spark.createDataFrame([(i, " ".join(f"{x}{x}{k}q{x}" for k in "abcdefgh") * 3, x, "s", 1) for i, x in enumerate(codes * 2)], DOCS)
+    long = "<!-- " + "<html lang=xx> " * 600 + "-->"
+    p = spark.createDataFrame([(0, None, f'{long}<script>var a = "<html lang=yy>";</script><html class=a lang="zzh"><p></p>')], "page_id long, url string, html string")
+    rows = language_id.identify(p, d, d).collect()
+    assert len(codes) > 64 and {r["doc_id"]: r["lang"] for r in rows if r["kind"] == "document"} == dict(enumerate(codes * 2))
+    assert [r["declared"] for r in rows if r["kind"] == "page"] == ["zzh"]
