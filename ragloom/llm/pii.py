@@ -7,15 +7,17 @@ the entity's information content,
 
     disclosure = PMI(entity; term) / IC(entity) = 1 + log P(entity | term) / -log P(entity),
 
-with probabilities from co-occurrence counts over all lines. Terms whose disclosure reaches
-the threshold, with support from several different lines, become spans of kind ``term``
+with probabilities from co-occurrence counts over all lines. Low counts are smoothed, not
+cut: P(entity | term) leans towards P(pool | term) P(entity | pool), and P(pool | term)
+towards P(pool), where the pool of an address is its domain, and that of another entity
+its kind. Terms whose disclosure reaches the threshold become spans of kind ``term``
 wherever they occur, and ``sanitise`` generalises them like the base spans.
 
 DataFrame functions only: no Python runs on the executors.
 
 Defined results: null text is empty and has no spans; positions are code points, ends
 exclusive; matches that fail their check are dropped without retries; copies of a line
-count as occurrences but not as support; repeated rows are judged alike; other columns are
+count as occurrences; repeated rows are judged alike; other columns are
 ignored.
 """
 
@@ -38,8 +40,8 @@ PATTERNS = {
 }
 #: Cheap tests that a text without a match mostly fails.
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){15}", "phone": r"\+[0-9]"}
-#: Least disclosure, least number of different lines that support it, least length of a term.
-DISCLOSURE, SUPPORT, TERM_CHARS = 0.9, 3, 3
+#: Least disclosure, pseudo-counts of a prior, least length of a term.
+DISCLOSURE, PRIOR, TERM_CHARS = 0.9, 0.5, 3
 BROADCAST_ROWS = 200_000
 
 
@@ -111,11 +113,16 @@ def _entities(kind: str) -> Column:
     return F.transform(kind, lambda s: F.concat(F.lit(kind + ":"), F.lower(s["value"])))
 
 
+def _pool(entity: Column) -> Column:
+    """The domain of an address, the kind of any other entity."""
+    return F.when(entity.startswith("email:"), F.regexp_replace(entity, "^email:[^@]*@", "email:@")).otherwise(F.regexp_extract(entity, "^[a-z]+", 0))
+
+
 def _marks(kind: str) -> Column:
     return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg"), F.lit(kind.upper()).alias("kind")))
 
 
-def revealing_terms(docs: DataFrame, spans: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def revealing_terms(docs: DataFrame, spans: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """(term, disclosure): terms that disclose a protected entity.
 
     docs: (doc_id, text); spans: base_spans of them, with only rows that have some.
@@ -125,31 +132,26 @@ def revealing_terms(docs: DataFrame, spans: DataFrame, disclosure: float = DISCL
     lines = spans.select(values.alias("values"), F.explode(F.split("text", "\n", -1)).alias("line"))
     inside = F.filter("values", lambda v: F.contains(F.lower("line"), F.regexp_replace(v, "^[a-z]+:", "")))
     held = lines.select(F.explode(inside).alias("entity"), "line")
-    held = keep(held.select(F.xxhash64("entity").alias("entity"), F.xxhash64("line").alias("h"), "line"), "contexts")
-    # an entity in fewer different lines than the support demands discloses nothing
-    common = held.groupBy("entity").agg(F.count("*").alias("n_entity"), F.countDistinct("h").alias("lines")).where(F.col("lines") >= support)
-    pairs = (
-        held.join(common.select("entity", "n_entity"), "entity")
-        .select("entity", "n_entity", "h", F.explode(_terms(F.col("line"))).alias("term"))
-        .groupBy("entity", "n_entity", "term", "h")
-        .agg(F.count("*").alias("c"))
-        .groupBy("entity", "n_entity", "term")
-        .agg(F.sum("c").alias("n_both"), F.count("*").alias("lines"))
-        .where(F.col("lines") >= support)
-    )
-    # parts of an entity's own value say nothing beyond the base spans
+    # addresses of one domain, and the values of any other kind, pool their evidence
+    held = keep(held.select(F.xxhash64("entity").alias("entity"), F.xxhash64(_pool(F.col("entity"))).alias("pool"), "line"), "contexts")
+    entities = held.groupBy("entity", "pool").agg(F.count("*").alias("n_entity"))
+    pools = held.groupBy("pool").agg(F.count("*").alias("n_pool"))
+    pairs = held.select("entity", "pool", F.explode(_terms(F.col("line"))).alias("term")).groupBy("entity", "pool", "term").agg(F.count("*").alias("n_both"))
     pairs = keep(pairs.where(~F.col("term").rlike("^[0-9]+$")), "pairs")
     asked = pairs.select("term").distinct()
     if asked.isEmpty():
         return pairs.select("term", F.lit(0.0).alias("disclosure"))
     # occurrences of the candidate terms, by line, over the whole corpus
-    near = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
     uses = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line")).select(F.explode(_terms(F.col("line"))).alias("term"))
-    uses = uses.join(near, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    n = docs.select(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)))).first()[0] or 0
-    ic = F.log(F.lit(float(n)) / F.col("n_entity"))
-    score = 1 + F.log(F.least(F.col("n_both") / F.col("n_term"), F.lit(1.0))) / ic
-    return pairs.join(uses, "term").where(ic > 0).groupBy("term").agg(F.max(score).alias("disclosure")).where(F.col("disclosure") >= disclosure)
+    near = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+    uses = uses.groupBy("term").agg(F.count("*").alias("n_term")).join(near, "term", "left_semi")
+    n = float(docs.select(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)))).first()[0] or 1)
+    together = pairs.groupBy("pool", "term").agg(F.sum("n_both").alias("n_pool_both"))
+    known = pairs.join(entities, ["entity", "pool"]).join(pools, "pool").join(together, ["pool", "term"]).join(uses, "term")
+    ic = F.log(F.lit(n) / F.col("n_entity"))
+    pool_given = F.least((F.col("n_pool_both") + PRIOR * F.col("n_pool") / n) / (F.col("n_term") + PRIOR), F.lit(1.0))
+    given = F.least((F.col("n_both") + PRIOR * pool_given * F.col("n_entity") / F.col("n_pool")) / (F.col("n_term") + PRIOR), F.lit(1.0))
+    return known.where(ic > 0).groupBy("term").agg(F.max(1 + F.log(given) / ic).alias("disclosure")).where(F.col("disclosure") >= disclosure)
 
 
 def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -176,12 +178,12 @@ def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return found.select("row", F.aggregate(pairs, start, step)["spans"].alias("term")).dropDuplicates(["row"])
 
 
-def find(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def find(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """doc_id, text, an array of spans for each kind and for ``term``, of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spans = base_spans(rows)
     some = keep(spans.where(" or ".join(f"size({k}) > 0" for k in KINDS)), "pii")
-    terms = keep(revealing_terms(rows, some, disclosure, support), "terms")
+    terms = keep(revealing_terms(rows, some, disclosure), "terms")
     spans = spans.withColumn("row", F.xxhash64("doc_id", "text"))
     if terms.isEmpty():
         return spans.withColumn("term", F.array().cast(SPAN)).drop("row")

@@ -265,6 +265,13 @@ def test_revealing_terms_and_sanitising(spark):
     assert clean[10] == texts[10]
 
 
+def test_entities_seen_once_are_scored(spark):
+    common = [f"the note of day {i} for the report" for i in range(80)]
+    texts = ["the note of Brunhilda for b.h@first.org", "the report of note", "for the note call +49 30 1234567 of Kasimir", "the report of day and note", *common]
+    rows = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(docs_of(spark, texts))).collect()}
+    assert "term:12:21" in rows[0] and "term:36:43" in rows[2] and rows[3] == "" and all(rows[4 + i] == "" for i in range(80))
+
+
 def archive(pages):
     return [warc.record(i, f"http://h/{i}", p) for i, p in pages]
 
