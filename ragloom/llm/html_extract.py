@@ -2,8 +2,9 @@
 
 Text nodes are grouped by their root-to-leaf path of tags. Of each path the text length
 and the punctuation are aggregated over its nodes; the ratios are smoothed along the page,
-fused into one score, and thresholded; the container that holds the selected nodes is the
-article, whose text nodes, without the page furniture inside it, are the main text.
+fused into one score that names of page furniture lower, and thresholded. The main text is
+all selected nodes, and the other text nodes of the container that holds most of them,
+without the page furniture inside it.
 
 Defined results: null or empty html gives an empty text; html without furniture or
 article elements is judged by the ratios alone; unclosed tags, comments and scripts are
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 _WS = " \t\n\r\f\v"
 _TAG = re.compile(r"""<(?:!--(?P<c>.*?)(?:-->|\Z)|(?P<d>[!?][^>]*+>?)|(?P<e>/?)(?P<t>[a-zA-Z][^\s/>]*+)(?P<a>(?:[^<>"']|"[^"<]*"|'[^'<]*')*+)(?P<g>>?))""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _TOKEN = re.compile(r"[A-Za-z]+")
 _SPACES = re.compile(r"\s+")
 _PUNCT = re.compile(r"[.,;:!?…。，、！？]")
@@ -39,32 +40,43 @@ FURNITURE = frozenset("nav aside form button select option footer menu dialog he
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side nav navbar navigation menu breadcrumb breadcrumbs footer foot "
     "cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments "
-    "disqus respond replies reply search pagination pager toolbar widget masthead complementary contentinfo alertdialog skip hidden".split()
+    "disqus respond replies reply search pagination pager toolbar widget masthead complementary contentinfo alertdialog skip".split()
 )
 HEADER_NAMES = frozenset({"header", "topbar"})
+#: Words beside such names that change nothing, and words that make them speak of something else.
+NEUTRAL = frozenset("list area box section block container wrapper wrap item items bar site page top bottom left right link links post main content inner outer article entry blog".split())
+OTHER = frozenset("has no with without overflow not is".split())
+#: What a name takes off the score of its element.
+NAMED = 0.9
 #: The smoothing's reach in nodes, and the share of the mean score that selects a path.
 REACH, CUT = 2, 0.5
 
 
 class _Node:
-    __slots__ = ("tag", "label", "parent", "skip", "depth", "hold")
+    __slots__ = ("tag", "label", "parent", "skip", "depth", "hold", "weight", "named")
 
     def __init__(self, tag: str, label: str, parent: "_Node | None", skip: bool, hold: bool):
         self.tag, self.label, self.parent, self.skip, self.hold = tag, label, parent, skip, hold
         self.depth = parent.depth + 1 if parent else 0
+        #: weight of the scores below, and the number of elements with a furniture name down to here
+        self.weight, self.named = (parent.weight, parent.named) if parent else (1.0, 0)
 
 
-def _named(attrs: str) -> tuple[set[str], str]:
-    words: set[str] = set()
-    label = ""
+def _named(attrs: str, names: frozenset[str]) -> tuple[float, bool, str]:
+    """How far class, id and role name furniture (0 to 1), whether the element is hidden, and its label."""
+    share, hidden, label = 0.0, False, ""
     for m in _ATTR.finditer(attrs):
         k, v = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if k in ("hidden",) or (k == "aria-hidden" and v.lower() == "true"):
-            words.add("hidden")
-        elif k != "aria-hidden":
+        if k == "hidden" or (k == "aria-hidden" and v.lower() == "true"):
+            hidden = True
+        elif k in ("class", "id", "role"):
             label += "." + v.strip().lower()
-            words.update(w.lower() for w in _TOKEN.findall(v))
-    return words, label
+            for part in v.lower().split():
+                words = _TOKEN.findall(part)
+                hits = sum(w in names for w in words)
+                if hits and not OTHER.intersection(words):
+                    share = max(share, hits / (hits + sum(w not in names and w not in NEUTRAL for w in words)))
+    return share, hidden, label
 
 
 def text_blocks(page: str) -> list[tuple[_Node, str]]:
@@ -137,14 +149,17 @@ def text_blocks(page: str) -> list[tuple[_Node, str]]:
                     close_to(k)
                 elif stack[k].tag in SCOPE - like:
                     break
-        names, label = _named(m["a"]) if m["a"] else (set(), "")
         up = stack[-1]
+        share, hidden, label = _named(m["a"], NAMES if up.hold else NAMES | HEADER_NAMES) if m["a"] else (0.0, False, "")
         inside = up.hold or tag in ("article", "main")
-        header = (tag == "header" or names & HEADER_NAMES) and not up.hold
-        skip = up.skip or tag in FURNITURE or bool(header) or (bool(names & NAMES) and tag not in ("html", "body", "article", "main"))
+        skip = up.skip or tag in FURNITURE or (tag == "header" and not up.hold) or (hidden and tag not in ("html", "body", "article", "main"))
         if tag in ("html", "body") and up is root:
             skip = False
-        stack.append(_Node(tag, tag + label, up, skip, inside))
+        n = _Node(tag, tag + label, up, skip, inside)
+        if share and tag not in ("html", "body", "article", "main"):
+            n.weight = min(n.weight, 1 - NAMED * share)
+            n.named += share == 1
+        stack.append(n)
     flush()
     return out
 
@@ -186,13 +201,15 @@ def extract(page: str | None) -> str:
             out.append(sum(a * b for a, b in zip(w, v[lo:hi])) / sum(w))
         return out
 
-    fused = [a * b for a, b in zip(smooth(length), smooth(points))]
-    mean = sum(fused) / len(fused)
+    weights = [n.weight for n, _ in blocks]
+    fused = [a * b * w for a, b, w in zip(smooth(length), smooth(points), weights)]
+    mean = sum(f * w for f, w in zip(fused, weights)) / sum(weights)
     by_path: dict[tuple, float] = {}
     for p, f in zip(paths, fused):
         by_path[p] = max(by_path.get(p, 0.0), f)
     chosen = [i for i, p in enumerate(paths) if by_path[p] >= CUT * mean]
-    # the deepest element that holds nearly all selected text; articles go before other elements
+    # headings and items of the container come along: the deepest element that holds nearly all
+    # selected text, or the articles
     weight: dict[int, float] = {}
     node: dict[int, _Node] = {}
     total = 0.0
@@ -213,11 +230,16 @@ def extract(page: str | None) -> str:
             inner = [n for n in node.values() if n.tag == "article" and any(a in picked for a in _above(n))]
             if inner and sum(weight[id(n)] for n in inner if not any(a in inner for a in _above(n))) >= 0.8 * sum(weight[k] for k in roots):
                 picked = [n for n in inner if not any(a in inner for a in _above(n))]
-            return "\n".join(t for n, t in blocks if n in picked or any(a in picked for a in _above(n)))
+            return _joined(blocks, set(chosen), picked)
     best = max((n for k, n in node.items() if weight[k] >= 0.9 * total), key=lambda n: n.depth)
     if best.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li") and best.parent:
         best = best.parent
-    return "\n".join(t for n, t in blocks if n is best or any(a is best for a in _above(n)))
+    return _joined(blocks, set(chosen), [best])
+
+
+def _joined(blocks, chosen: set[int], containers) -> str:
+    """The selected texts, and those in the containers that no furniture name covers there."""
+    return "\n".join(t for i, (n, t) in enumerate(blocks) if i in chosen or any(a in containers and n.named == a.named for a in (n, *_above(n))))
 
 
 def _above(n: _Node):

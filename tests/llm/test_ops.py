@@ -412,6 +412,28 @@ def test_html_extraction(spark):
     assert html_extract.main_text(pages.limit(0)).count() == 0
 
 
+BODY = "".join(f"<p>Paragraph {i} of the text, long enough to be read. It says more, and then it ends.</p>" for i in range(6))
+
+
+def test_html_names_only_weigh():
+    for attrs in ("class='content has-sidebar'", "class=no-sidebar", 'class="overflow-hidden"', "style='overflow:hidden'", 'data-x="a class=menu hidden"', "id=comments"):
+        got = html_extract.extract(f"<body><div {attrs}>{BODY}</div><footer>foot</footer></body>")
+        assert got.count("Paragraph") == 6 and "foot" not in got, attrs
+    work = "<p class=related-work>Others did the same, years before. They had less data, though.</p>"
+    assert "Others did" in html_extract.extract(f"<article>{BODY}{work}</article>")
+    inside = html_extract.extract(f"<div class='wrap sidebar'><article><h1>Head</h1>{BODY}</article></div>")
+    assert inside.startswith("Head") and inside.count("Paragraph") == 6
+    talk = "".join("<p>A reader says this, and that. Then more, of course.</p>" for _ in range(60))
+    assert "reader" not in html_extract.extract(f"<article>{BODY}</article><section class=comments>{talk}</section>")
+    assert "no" == html_extract.extract("<p>no</p><div hidden>gone</div>")
+
+
+def test_html_returns_all_that_is_selected():
+    teaser = "<article><p>A teaser of the next story, with marks. It goes on, and on, and on, for a while. It is long, too, and has more, as teasers do.</p></article>"
+    got = html_extract.extract(f"<body><div id=lead><p>The lead of the story, with marks. It says what follows, in short.</p></div><div id=c>{BODY}</div>{teaser * 3}</body>")
+    assert got.count("Paragraph") == 6 and "The lead" in got
+
+
 def test_language_evidence(spark):
     rng = random.Random(6)
     vocab = {"en": "the of and with this that from have were which".split(), "de": "der die und mit nicht auch werden eine sich über".split(), "fr": "le les des est dans pour avec une être où".split()}
