@@ -2,29 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that driver and executors share (``spark.checkpoint.dir``; one is
-    made only where none is set)."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="ragloom-"))
-        folder = sc.getCheckpointDir()
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from ..shared import keep
 
 
 def _cut(df: DataFrame) -> DataFrame:
     """Write a round to the shared folder; reads of it need no lineage."""
-    path = shared_folder(df.sparkSession, "round")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return keep(df, "round")
 
 
 def descendants(documents: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
