@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import fresh_path, keep  # noqa: F401
+
 #: Words are runs of anything but these bytes (blank, \t \n \v \f \r).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,33 +21,6 @@ _PRIME = 0x100000001B3
 CHUNK = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a fresh folder is made.
-    """
-    sc = spark.sparkContext
-    d = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not d:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="ragloom-"))
-        d = sc.getCheckpointDir()
-    return d.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there,
-    and losing an executor costs no recomputation."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -181,30 +154,41 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(mix(s ^ U64((len(hashes) * _GOLD) & 0xFFFFFFFFFFFFFFFF)).view(np.int64)[0])
 
 
-#: Slots of a membership filter: a bitmap of fixed size, 1 MB.
-SLOTS = 1 << 23
+def set_marks(values: np.ndarray, fresh: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the sets that begin at ``first``: the number of fresh values, and the fingerprint of those."""
+    if not len(first):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    n = np.add.reduceat(fresh.astype(np.int64), first)
+    s = np.add.reduceat(np.where(fresh, mix(values + U64(_GOLD)), U64(0)), first)
+    return n, mix(s ^ (n.astype(U64) * U64(_GOLD))).view(np.int64)
+
+
+#: Bits of a membership filter: 8 an id, within these bounds (at most 16 MB).
+FEWEST, MOST = 1 << 20, 1 << 27
 
 
-def slot(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(U64) + U64(77)) % U64(SLOTS)).astype(np.int64)
+def slot(ids: np.ndarray, slots: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(U64) + U64(77)) % U64(slots)).astype(np.int64)
 
 
 def membership(ids: DataFrame, col: str) -> bytes:
-    """A bitmap of SLOTS bits over the ids: 1 MB whatever the number of ids, made by a
-    grouped aggregation. It only spares work (false positives are joined away later)."""
+    """A bitmap over the ids, made by a grouped aggregation; its size follows their number up
+    to 16 MB. It only spares work (false positives are joined away later), so beyond some
+    16 M ids it spares less."""
+    size = min(MOST, max(FEWEST, 1 << (8 * ids.count()).bit_length()))
 
     def slots(batches):
         for b in batches:
             v = b.column(0).drop_null().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(slot(v)))], ["slot"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(slot(v, size)))], ["slot"])
 
     s = ids.select(F.col(col).cast("long")).mapInArrow(slots, "slot long")
     rows = (
         s.groupBy(F.bitmap_bucket_number("slot").alias("b"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
         .collect()
-    )  # at most SLOTS / 32768 + 1 rows of 4 KB
-    out = np.zeros(SLOTS // 8 + 8192, np.uint8)
+    )  # at most MOST / 32768 + 1 rows of 4 KB
+    out = np.zeros(size // 8, np.uint8)
     for r in rows:
         if r["b"] < 1:  # slot 0, which member() always admits
             continue
@@ -215,7 +199,7 @@ def membership(ids: DataFrame, col: str) -> bytes:
 
 def member(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Which ids may be in the set. Spark puts slot s > 0 in bucket 1 + (s - 1) // 32768."""
-    s = slot(ids)
+    s = slot(ids, 8 * len(bits))
     t = np.maximum(s - 1, 0)
     hit = (bits[t >> 3] >> (t & 7).astype(np.uint8)) & 1
     return (hit == 1) | (s == 0)

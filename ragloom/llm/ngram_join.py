@@ -65,8 +65,10 @@ def _prefixes(uses, num: int, den: int):
                 if not len(h) or f in seen:
                     continue
                 seen.add(f)
-                k = len(h) + -(num * len(h) // -den) * -1 + 1
-                top = np.lexsort((h, rank[_counter(h)]))[:k]
+                k = len(h) - -(-num * len(h) // den) + 1
+                r = rank[_counter(h)]
+                few = np.flatnonzero(r <= np.partition(r, k - 1)[k - 1])  # the k rarest and their equals
+                top = few[np.lexsort((h[few], r[few]))[:k]]
                 for c, x in zip(cols, (signed(h[top]), np.full(k, f), np.full(k, len(h), np.int32), np.arange(k, dtype=np.int32))):
                     c.append(x)
             for i in range(0, len(cols[0]), 1000):
@@ -78,11 +80,16 @@ def _prefixes(uses, num: int, den: int):
 
 def _sets(bits):
     def run(batches):
-        wanted = np.frombuffer(bits.value, np.uint8)
+        wanted, seen = np.frombuffer(bits.value, np.uint8), set()
         for b in batches:
             b = b.filter(pa.array(member(wanted, b.column(2).to_numpy(zero_copy_only=False))))
-            rows = [h for _, h in text_shingles(b) if len(h)]
-            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(h) for h in rows], pa.int64()), pa.array([signed(h).tobytes() for h in rows], pa.binary())], ["node", "hs"])
+            rows = {}
+            for _, h in text_shingles(b):
+                f = fingerprint(h)
+                if len(h) and f not in seen:
+                    seen.add(f)
+                    rows[f] = signed(h).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.binary())], ["node", "hs"])
 
     return run
 
@@ -107,7 +114,11 @@ def _components(docs: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFra
     uses = sc.broadcast(np.minimum(uses, 2**31 - 1).astype(np.int32))
 
     classes = facts.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"))
-    bitmaps = facts.where("bm is not null").dropDuplicates(["fp"]).select(F.col("fp").alias("node"), "n", "bm")
+    bitmaps = facts.where("bm is not null").select(F.col("fp").alias("node"), "n", "bm")
+
+    def bitmaps_of(nodes: DataFrame) -> DataFrame:
+        return bitmaps.join(nodes, "node", "left_semi")
+
     postings = docs.mapInArrow(_prefixes(uses, num, den), "key long, node long, n int, pos int")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
@@ -115,7 +126,7 @@ def _components(docs: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFra
         bits = sc.broadcast(membership(wanted, "row"))
         return docs.mapInArrow(_sets(bits), "node long, hs binary")
 
-    label = connect(postings, bitmaps, sets_of, num, den, positions=True)
+    label = connect(postings, bitmaps_of, sets_of, num, den, positions=True)
     return facts, classes.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
 
 

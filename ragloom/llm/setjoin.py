@@ -4,17 +4,19 @@ Nodes are distinct sets. An index list holds the nodes that share a key (a
 rare shingle, or a band of MinHash values), sorted by set size. Links are found
 in two steps that together look at every pair a list proposes:
 
-1. Within a list each node is compared with the leader of its size block only
-   (blocks that the size bound rules out are skipped), and of a node's leaders
-   only with the one it meets most often. Verified links give components.
+1. Each node goes, with a bitmap, to two of its lists only, the longest and the
+   shortest. Blocks of those lists are compared by bitmaps, blocks that the size
+   bound rules out are skipped, and of each block the pairs of its maximum
+   spanning forest are verified: at most one pair a node. Verified links give
+   components; rounds go on among nodes of different components.
 2. A pair whose two nodes are already connected needs no answer of its own: it
    follows from the answers of sets that are highly similar to it. All other
-   pairs of a list are held against exact bounds (size, position, symmetric
-   difference of parity bitmaps), and those that remain are verified.
+   pairs of a list are held against exact bounds (size, position), each pair
+   that remains once against the bitmaps, and what is left is verified.
 
 Within a list only the nodes outside its largest component are held against the others, and
 long lists are dealt out in pairs of slots, so no task holds a whole list: a list of n nodes, m
-of them outside, costs n (1 + m / SLOT) rows.
+of them outside, costs n (1 + m / SLOT) rows. Postings carry no bitmaps.
 """
 
 from __future__ import annotations
@@ -23,13 +25,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, keep, mix
 
-#: Nodes of a long list that one slot holds; rounds of nearest neighbours before all pairs left are looked at.
-SLOT, NEAREST_ROUNDS = 1024, 3
+#: Nodes of a long list that one slot holds; nodes of a block that bitmaps compare; rounds of
+#: spanning forests before all pairs left are looked at.
+SLOT, BLOCK, ROUNDS = 1024, 512, 2
+#: Bytes of a bitmap in a block at most: wider ones are folded, which keeps the bound valid.
+WIDEST = 2048
 
 
 def bitmap_bits(n: int) -> int:
@@ -66,14 +72,14 @@ def _starts(*cols: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _leaders(num: int, den: int) -> Callable:
-    """Streams through (key, node, n, pos) sorted by key, n, node. Keeps the rows that have a
-    neighbour of compatible size in their list, and adds the leader: the first node of the
-    row's size block. Of an open list only the last row and its leader are remembered."""
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+def _neighbours(num: int, den: int) -> Callable:
+    """Streams through (key, node, n, pos) sorted by key, n, node. Keeps one row a node of those
+    that have a neighbour of compatible size in their list; of an open list only the last row
+    is remembered."""
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # row, its leader, its leader's size, whether the row is out
+        last = None  # row, whether it is out
         for b in batches:
             if not b.num_rows:
                 continue
@@ -89,30 +95,17 @@ def _leaders(num: int, den: int) -> Callable:
             joined = last is not None and rows[0][0] == last[0][0]
             if joined:
                 rows = [np.concatenate([[x], c]) for x, c in zip(last[0], rows)]
-            key, node, n, _ = rows
-            first = _starts(key)
-            size = np.diff(np.append(first, len(key)))
-            lead, lead_n = np.repeat(node[first], size), np.repeat(n[first], size)
-            if joined:
-                lead[: size[0]], lead_n[: size[0]] = last[1], last[2]
-            far = np.flatnonzero(n * num > lead_n * den)
-            for r in np.unique(np.searchsorted(first, far, "right") - 1):  # lists with another size block
-                i, e = int(first[r]), int(first[r] + size[r])
-                i += int(np.searchsorted(n[i:e], lead_n[i] * den // num, "right"))
-                while i < e:
-                    j = i + int(np.searchsorted(n[i:e], n[i] * den // num, "right"))
-                    lead[i:j], lead_n[i:j] = node[i], n[i]
-                    i = j
+            key, _, n, _ = rows
             near = (key[1:] == key[:-1]) & (n[:-1] * den >= n[1:] * num)
             show = np.zeros(len(key), bool)
             show[1:] |= near
             show[:-1] |= near
-            last_out = bool(show[-1])
-            if joined and last[3]:
+            last_out = bool(show[-1]) or (joined and len(key) == 1 and last[1])
+            if joined and last[1]:
                 show[0] = False
             if show.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[show], k) for c, k in zip((*rows, lead), kinds)], ["key", "node", "n", "pos", "leader"])
-            last = ([c[-1] for c in rows], lead[-1], lead_n[-1], last_out)
+                yield pa.RecordBatch.from_arrays([pa.array(c[show], k) for c, k in zip(rows, kinds)], ["key", "node", "n", "pos"])
+            last = ([c[-1] for c in rows], last_out)
 
     return run
 
@@ -208,68 +201,108 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def _crossing(num: int, den: int, positions: bool, nearest: bool) -> Callable:
-    """Streams through (key, s, t, side, node, n, pos, label, bm) sorted by key, s, t; proposes the
-    pairs of side 0 and side 1 whose labels differ and that no bound rules out, with the margin that
-    the bitmaps leave; with nearest only the widest margin of each row of side 0."""
-
-    def pairs(side, node, n, pos, label, bm):
-        i, j = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        ok = label[i][:, None] != label[j][None, :]
-        ni, nj = n[i][:, None], n[j][None, :]
-        ok &= (ni * den >= nj * num) & (nj * den >= ni * num)
-        need = _need(ni, nj, num, den)
-        if positions:
-            ok &= 1 + np.minimum(ni - 1 - pos[i][:, None], nj - 1 - pos[j][None, :]) >= need
+def _whole_groups(batches, cols: int):
+    """Tables whose groups, by the first ``cols`` columns they are sorted by, are whole."""
+    rest = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b] if rest is None or not rest.num_rows else [*rest.to_batches(), b]).combine_chunks()
+        at = int(_starts(*(t.column(i).to_numpy() for i in range(cols)))[-1])
+        rest = t.slice(at)
+        if at:
+            yield t.slice(0, at)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _forest(num: int, den: int) -> Callable:
+    """Streams through (key, slot, node, n, label, bm) sorted by key, slot, n; proposes the pairs of
+    the maximum spanning forest of each block, by the margin that the bitmaps leave; pairs of one
+    label are joined from the start."""
+    far = np.int32(2**30)
+
+    def edges(node, n, label, bm):
+        m = len(node)
         raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in bm]
         size = np.array([len(x) for x in raw])
-        folded = {}  # by length: the bitmaps that long at least, folded to it
-        for z in np.unique(size):
-            folded[z] = np.zeros((len(raw), z), np.uint8)
-            for k in np.flatnonzero(size >= z):
-                folded[z][k] = _fold(raw[k], z)
-        for x, p in enumerate(i):
-            y = np.flatnonzero(ok[x])
-            best = None
-            for z in np.unique(size[j[y]]):
-                yz = y[size[j[y]] == z]
-                at = folded[min(z, size[p])]
-                margin = n[p] + n[j[yz]] - 2 * need[x, yz] - np.bitwise_count(at[j[yz]] ^ at[p]).sum(1, dtype=np.int64)
-                good = margin >= 0
-                found = zip(margin[good].tolist(), node[j[yz[good]]].tolist())
-                if nearest:
-                    best = max((best, *found), key=lambda f: f or (-1, 0))
-                else:
-                    yield from ((int(node[p]), v, m) for m, v in found)
-            if best:
-                yield int(node[p]), best[1], best[0]
+        margin = np.full((m, m), -1, np.int32)
+        stop = np.searchsorted(n, n * den // num, "right")
+        for z in np.unique(size):  # as sizes rise with n, a row is compared at its own width
+            mine = np.flatnonzero(size == z)
+            lo, hi = int(mine[0]), int(stop[mine].max())
+            folded = np.stack([_fold(x, z) for x in raw[lo:hi]])
+            words = folded.view(np.uint64)
+            for i in mine:
+                j = slice(i + 1, stop[i])
+                if i + 1 < stop[i]:
+                    apart = np.bitwise_count(words[i + 1 - lo : stop[i] - lo] ^ words[i - lo]).sum(1, dtype=np.int32)
+                    margin[i, j] = n[i] + n[j] - 2 * _need(n[i], n[j], num, den) - apart
+        margin = np.maximum(margin, margin.T)
+        margin[label[:, None] == label[None, :]] = far
+        # Prim's algorithm: the best way into the tree of each node outside
+        best, way, out = np.full(m, -2, np.int32), np.zeros(m, np.int64), np.ones(m, bool)
+        for _ in range(m):
+            at = int(np.where(out, best, -3).argmax())
+            out[at] = False
+            if 0 <= best[at] < far:
+                yield int(node[at]), int(node[way[at]])
+            closer = margin[at] > best
+            best[closer], way[closer] = margin[at][closer], at
 
     def run(batches):
-        rest = None
-        for t in (*batches, None):
-            if t is None:
-                if rest is None:
-                    return
-                t, final = rest, True
-            else:
-                final = False
-                if rest is not None:
-                    t = pa.Table.from_batches([rest, t]).combine_chunks().to_batches()[0] if t.num_rows else rest
-            if not t.num_rows:
-                continue
-            c = [t.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(8)]
-            first = np.append(_starts(*c[:3]), t.num_rows)
-            ends = len(first) - 1 if final else len(first) - 2
-            found = set()
-            for r in range(ends):
-                lo, hi = first[r], first[r + 1]
+        for t in _whole_groups(batches, 2):
+            c = [t.column(k).to_numpy().astype(np.int64) for k in range(5)]
+            bm = t.column(5).combine_chunks()
+            first = np.append(_starts(*c[:2]), t.num_rows)
+            found = []
+            for lo, hi in zip(first[:-1], first[1:]):
                 if hi - lo > 1:
-                    found.update(pairs(c[3][lo:hi], *(x[lo:hi] for x in c[4:8]), t.column(8).slice(lo, hi - lo)))
-            rest = None if final else t.slice(first[ends])
-            abm = np.array(sorted(found), np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([pa.array(abm[:, k]) for k in range(3)], ["a", "b", "margin"])
-            if final:
-                return
+                    found += edges(*(x[lo:hi] for x in c[2:5]), bm.slice(lo, hi - lo))
+            ab = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ab.min(1)), pa.array(ab.max(1))], ["a", "b"])
+
+    return run
+
+
+#: Groups up to this size are compared in bulk, by the distance of their rows.
+_FEW = 16
+
+
+def _crossing(num: int, den: int, positions: bool) -> Callable:
+    """Streams through (key, s, t, side, node, n, pos, label) sorted by key, s, t, side, n; proposes
+    the pairs of side 0 and side 1 whose labels differ and that size and position do not rule out."""
+
+    def able(ni, nj, pi, pj):
+        ok = (ni * den >= nj * num) & (nj * den >= ni * num)
+        if positions:
+            ok &= 1 + np.minimum(ni - 1 - pi, nj - 1 - pj) >= _need(ni, nj, num, den)
+        return ok
+
+    def run(batches):
+        for t in _whole_groups(batches, 3):
+            c = [t.column(k).to_numpy().astype(np.int64) for k in range(8)]
+            first = _starts(*c[:3])
+            size = np.diff(np.append(first, len(c[0])))
+            side, node, n, pos, label = c[3:]
+            found = []
+            few = np.repeat(np.where(size <= _FEW, np.arange(len(size)), -1 - np.arange(len(size))), size)
+            for d in range(1, min(_FEW, int(size.max()))):
+                i = np.flatnonzero((few[d:] == few[:-d]) & (few[d:] >= 0) & (side[d:] != side[:-d]) & (label[d:] != label[:-d]))
+                i = i[able(n[i], n[i + d], pos[i], pos[i + d])]
+                found.append(np.stack([node[i], node[i + d]], 1))
+            for g in np.flatnonzero(size > _FEW):
+                lo, hi = first[g], first[g] + size[g]
+                one = lo + int((side[lo:hi] == 0).sum())
+                for p in range(lo, one):  # the other side's block of compatible sizes
+                    j = slice(one + np.searchsorted(n[one:hi], -(-n[p] * num // den)), one + np.searchsorted(n[one:hi], n[p] * den // num, "right"))
+                    k = np.flatnonzero((label[j] != label[p]) & able(n[p], n[j], pos[p], pos[j]))
+                    found.append(np.stack([np.full(len(k), node[p]), node[j][k]], 1))
+            ab = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+            ab = np.sort(ab, axis=1)
+            ab = ab[np.lexsort((ab[:, 1], ab[:, 0]))]
+            ab = ab[_starts(ab[:, 0], ab[:, 1])] if len(ab) else ab
+            yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
 
     return run
 
@@ -280,61 +313,78 @@ def _checked(pairs: DataFrame, sets_of: Callable, num: int, den: int, name: str)
     return keep(verify(pairs, keep(sets_of(nodes), "sets"), num, den), name)
 
 
-def connect(postings: DataFrame, bitmaps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, positions: bool) -> DataFrame:
+def _narrow(batches):
+    """(node, n, bm) with bitmaps of WIDEST bytes at most."""
+    for b in batches:
+        bm = b.column(2)
+        if (pc.max(pc.binary_length(bm)).as_py() or 0) > WIDEST:
+            bm = pa.array([_fold(np.frombuffer(x.as_buffer(), np.uint8), WIDEST).tobytes() for x in bm], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), bm], ["node", "n", "bm"])
+
+
+def connect(postings: DataFrame, bitmaps_of: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, positions: bool) -> DataFrame:
     """(node, label): the components of the nodes under links of similarity num / den at least.
 
     postings: (key long, node long, n int, pos int); a key's nodes are proposed to each
     other. positions: pos is the place of the key in the node's ordered set, and two
     linked nodes meet at the first key they share.
-    bitmaps: (node, n, bm), one row a node. sets_of: gives (node, hs) for the nodes asked
-    for (more are allowed). Nodes without links are not returned.
+    bitmaps_of, sets_of: give (node, n, bm) and (node, hs) for the nodes asked for (more are
+    allowed, and equal rows may repeat). Nodes without links are not returned.
     """
-    spark = postings.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lists = keep(
-        postings.select("key", "node", "n", "pos").repartition(parts, "key").sortWithinPartitions("key", "n", "node").mapInArrow(_leaders(num, den), "key long, node long, n int, pos int, leader long"),
+        postings.select("key", "node", "n", "pos").repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_neighbours(num, den), "key long, node long, n int, pos int"),
         "lists",
     )
-    best = (
-        lists.where("node <> leader")
-        .groupBy("node", "leader")
-        .agg(F.count("*").alias("c"))
-        .groupBy("node")
-        .agg(F.max_by("leader", F.struct("c", "leader")).alias("leader"))
-        .select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    )
-    links = _checked(keep(possible(best, bitmaps, num, den), "pairs"), sets_of, num, den, "links")
-    label = components(links)
-
-    def crossing(label: DataFrame, nearest: bool) -> DataFrame:
-        named = keep(lists.select("key", "node", "n", "pos").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
-        sizes = named.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.sum("c").alias("size"), F.max("c").alias("most"))
-        wide = sizes.where("most < size").select("key", "major", F.ceil(F.col("size") / SLOT).cast("int").alias("S"), F.ceil((F.col("size") - F.col("most")) / SLOT).cast("int").alias("T"))
-        rows = named.join(wide, "key")
+    bitmaps = keep(bitmaps_of(lists.select("node").distinct()).dropDuplicates(["node"]), "bitmaps")
+    narrow = bitmaps.select("node", "n", "bm").mapInArrow(_narrow, "node long, n int, bm binary").select("node", "bm")
+
+    def named(label: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """The lists' rows with labels; and of each list with several labels its size, largest label and that one's nodes."""
+        if label is None:
+            rows = lists.withColumn("label", F.col("node"))
+            sizes = lists.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("major"), F.lit(1).cast("long").alias("most"))
+        else:
+            rows = keep(lists.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")).select("key", "node", "n", "pos", "label"), "named")
+            counts = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
+            sizes = counts.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.sum("c").alias("size"), F.max("c").alias("most"))
+        return rows, sizes.where("most < size")
+
+    def forest(label: DataFrame | None, turn: int) -> DataFrame:
+        """Pairs of a spanning forest of the nodes, by bitmaps, each in its longest and its shortest list."""
+        rows, sizes = named(label)
+        placed = rows.join(sizes.select("key", "size"), "key")
+        home = F.struct("size", "key")
+        homes = placed.groupBy("node", "n", "label").agg(F.max(home).alias("long"), F.min(home).alias("short"))
+        homes = homes.select("node", "n", "label", F.explode(F.array_distinct(F.array("long", "short"))).alias("home"))
+        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("home.size") / BLOCK)).cast("int")
+        homes = homes.select(F.col("home.key").alias("key"), slot.alias("slot"), "node", "n", "label").join(narrow, "node")
+        blocks = homes.select("key", "slot", "node", "n", "label", "bm").repartition("key", "slot").sortWithinPartitions("key", "slot", "n", "node")
+        return keep(blocks.mapInArrow(_forest(num, den), "a long, b long").distinct(), "forest")
+
+    def crossing(label: DataFrame) -> DataFrame:
+        """All pairs of a list across labels that no bound rules out."""
+        rows, sizes = named(label)
+        slots = {"s": "S", "t": "T"}
+        wide = sizes.select("key", "major", F.ceil(F.col("size") / SLOT).cast("int").alias("S"), F.ceil((F.col("size") - F.col("most")) / SLOT).cast("int").alias("T"))
+        rows = rows.join(wide, "key")
 
         def dealt_to(rows: DataFrame, side: int, own: str, other: str) -> DataFrame:
             """Each row goes to its own slot of its side, with every slot of the other side."""
-            slots = {"s": "S", "t": "T"}
             rows = rows.withColumn(own, F.pmod(F.xxhash64("node"), F.col(slots[own])).cast("int")).withColumn(other, F.explode(F.expr(f"sequence(0, {slots[other]} - 1)")))
             return rows.select("key", "s", "t", F.lit(side).alias("side"), "node", "n", "pos", "label")
 
         dealt = dealt_to(rows.where("label <> major"), 0, "t", "s").unionByName(dealt_to(rows, 1, "s", "t"))
-        dealt = dealt.join(bitmaps.select("node", "bm"), "node").select("key", "s", "t", "side", "node", "n", "pos", "label", "bm")
-        runs = dealt.repartition(parts, "key", "s", "t").sortWithinPartitions("key", "s", "t")
-        pairs = runs.mapInArrow(_crossing(num, den, positions, nearest), "a long, b long, margin long")
-        if nearest:
-            pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("margin", "b")).alias("b"))
-        return keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "crossing")
-
-    # each node's nearest neighbour outside its component first: those links spare most others; then every pair left
-    for _ in range(NEAREST_ROUNDS):
-        pairs = crossing(label, True)
-        if pairs.isEmpty():
-            return label
+        runs = dealt.repartition("key", "s", "t").sortWithinPartitions("key", "s", "t", "side", "n")
+        pairs = keep(runs.mapInArrow(_crossing(num, den, positions), "a long, b long").distinct(), "crossing")
+        return keep(possible(pairs, bitmaps, num, den), "possible")
+
+    label, links = None, None
+    for turn in range(ROUNDS):
+        pairs = forest(label, turn)
         more = _checked(pairs, sets_of, num, den, "links")
-        if more.isEmpty():
+        if turn and more.isEmpty():
             break
-        links = links.unionByName(more)
+        links = more if links is None else links.unionByName(more)
         label = components(links)
-    more = _checked(crossing(label, False), sets_of, num, den, "links")
+    more = _checked(crossing(label), sets_of, num, den, "links")
     return label if more.isEmpty() else components(links.unionByName(more))

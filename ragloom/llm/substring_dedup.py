@@ -239,7 +239,7 @@ def repeated_passages(docs: DataFrame, num: int = 80, den: int = 100) -> DataFra
     scan = keep(docs.mapInArrow(_scan(bands, rows, num, den), SCAN), "paragraphs")
     para = scan.where("no is not null")
     first = para.where("keys is not null")
-    bitmaps = first.dropDuplicates(["node"]).select("node", "n", "bm")
+    bitmaps = first.select("node", "n", "bm")
     postings = first.select(F.explode("keys").alias("key"), "node", "n", F.lit(0).alias("pos"))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
@@ -247,7 +247,7 @@ def repeated_passages(docs: DataFrame, num: int = 80, den: int = 100) -> DataFra
         bits = [sc.broadcast(membership(wanted, c)) for c in ("doc_id", "node")]
         return docs.mapInArrow(_sets(*bits), "node long, hs binary")
 
-    label = connect(postings, bitmaps, sets_of, num, den, positions=False)
+    label = connect(postings, lambda nodes: bitmaps.join(nodes, "node", "left_semi"), sets_of, num, den, positions=False)
     occ = para.select("doc_id", "no", "start", "end", "words", "at", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     occ = keep(occ, "occurrences")
     clusters = occ.groupBy("label").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
