@@ -1,20 +1,34 @@
 """Ranked retrieval for whole tables of queries: lexical, vector, fused; and context packing.
 
-Query tables are cut into blocks of bounded size where a plan needs them on every executor
-(substring scoring, vector scoring), so what is broadcast does not grow with the data.
+Queries are worked off in blocks of bounded size that every executor holds. A task scores its
+chunks against a block and keeps the k best of each query, so k rows a query and task are
+shuffled, never the pairs that are looked at.
+
+Scope: ``same`` names columns that queries and chunks share (tenant, workspace, project,
+version ...); only rows that agree in all of them meet, and null agrees with nothing. With
+``listed`` a chunk's document_id must also stand in the query's document_ids.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens, trim_space
-
-#: Queries on the executors at a time, and postings-side terms up to which they are broadcast.
-QUERY_BLOCK, BROADCAST_ROWS = 1000, 500_000
+from ..shared import keep
+
+#: Queries of a block for word and substring scoring; numbers of a block of query vectors; terms of
+#: queries up to which they are broadcast.
+QUERY_BLOCK, VECTOR_BLOCK, BROADCAST_ROWS = 10_000, 4_000_000, 500_000
+#: Scored pairs that a task holds before it cuts them to the k best of each query.
+PAIRS = 1_000_000
+#: Characters of a query string that the automaton looks for; the rest is compared where they occur.
+HEAD = 24
 K1, B = 1.2, 0.75
 
 
@@ -23,109 +37,345 @@ def _ranked(hits: DataFrame, k: int, by: Column, tie: str) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
 
 
-def _query_blocks(queries: DataFrame, size: int = QUERY_BLOCK) -> list[DataFrame]:
-    """The queries in blocks of about ``size`` by a hash of their id."""
+def _over_blocks(queries: DataFrame, size: int, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The answers of the queries in blocks of about ``size`` by a hash of their id; of several blocks
+    each is written down before the next, so no plan grows with the number of queries."""
     n = queries.count()
-    if n <= size:
-        return [queries]
-    blocks = -(-n // size)
-    slot = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    return [queries.where(slot == i) for i in range(blocks)]
-
-
-def lexical_score_topk(queries: DataFrame, chunks: DataFrame, k: int = 6) -> DataFrame:
+    blocks = max(1, -(-n // size))
+    if blocks == 1:
+        return answer(queries)
+    queries = keep(queries.withColumn("slot", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "queries")
+    out = None
+    for i in range(blocks):
+        one = keep(answer(queries.where(F.col("slot") == i).drop("slot")), "hits")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _texts(same: tuple[str, ...]) -> list[Column]:
+    return [F.col(c).cast("string") for c in same]
+
+
+def _scope(same: tuple[str, ...]) -> Column:
+    """One string of the scope's columns; null if any is null."""
+    return F.when(~F.exists(F.array(*_texts(same)), lambda v: v.isNull()), F.concat_ws("\x00", *_texts(same)))
+
+
+def _owners(lists: pa.Array) -> np.ndarray:
+    """The row of each value of a column of lists."""
+    return np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+
+
+def _codes(values: pa.Array, known: pa.Array, other: int = -1) -> np.ndarray:
+    """The places of values among the known ones."""
+    return pc.fill_null(pc.index_in(values, value_set=known), other).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+class _Block:
+    """The ids and scopes of a block of queries, and which of its pairs with chunks are allowed."""
+
+    def __init__(self, table: pa.Table, same: tuple[str, ...], listed: bool):
+        self.ids = table.column("query_id").combine_chunks()
+        self.n = len(self.ids)
+        self.scopes = self.code = self.docs = self.pairs = None
+        if same:
+            scope = table.column("scope").combine_chunks()
+            self.scopes = scope.unique().drop_null()
+            self.code = _codes(scope, self.scopes)
+        if listed:
+            lists = table.column("document_ids").combine_chunks()
+            flat = lists.flatten()
+            self.docs = flat.unique().drop_null()
+            at, q = _codes(flat, self.docs), _owners(lists)
+            self.pairs = np.unique(q[at >= 0] * max(1, len(self.docs)) + at[at >= 0])
+
+    def chunk_codes(self, b: pa.RecordBatch) -> tuple:
+        def codes(name, values):
+            return None if values is None else _codes(b.column(b.schema.get_field_index(name)), values, -2)
+
+        return codes("scope", self.scopes), codes("document_id", self.docs)
+
+    def allowed(self, codes: tuple, row: np.ndarray, q: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(q), bool)
+        scope, doc = codes
+        if scope is not None:
+            ok &= scope[row] == self.code[q]
+        if doc is not None:
+            pair = q * max(1, len(self.docs)) + doc[row]
+            at = np.minimum(np.searchsorted(self.pairs, pair), max(0, len(self.pairs) - 1))
+            ok &= (doc[row] >= 0) & (self.pairs[at] == pair if len(self.pairs) else False)
+        return ok
+
+
+class _Best:
+    """The k best chunks of each query so far: by score, then by the chunk's id."""
+
+    def __init__(self, k: int, n: int, kind: pa.DataType):
+        self.k, self.q, self.s, self.uid = k, np.zeros(0, np.int64), np.zeros(0), pa.array([], kind)
+        self.least = np.full(n, -np.inf)  # of queries with k chunks already
+
+    def _first(self, q: np.ndarray, s: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k first rows of each query, and the last of those where there are k."""
+        o = np.lexsort((place, -np.round(s, 9), q))
+        first = np.flatnonzero(np.append(True, q[o[1:]] != q[o[:-1]]))
+        nth = np.arange(len(o)) - np.repeat(first, np.diff(np.append(first, len(o))))
+        return o[nth < self.k], o[nth == self.k - 1]
+
+    def start(self, uids: pa.Array) -> None:
+        """The chunks that the next rows are numbers of."""
+        self.uids, self.place = uids, np.empty(len(uids), np.int64)
+        self.place[pc.sort_indices(uids).to_numpy()] = np.arange(len(uids))
+
+    def add(self, row: np.ndarray, q: np.ndarray, s: np.ndarray) -> None:
+        good = s >= self.least[q] - 1e-8
+        row, q, s = row[good], q[good], s[good]
+        if not len(q):
+            return
+        o, _ = self._first(q, s, self.place[row])
+        uid = pa.concat_arrays([self.uid, self.uids.take(pa.array(row[o]))])
+        q, s = np.concatenate([self.q, q[o]]), np.concatenate([self.s, s[o]])
+        place = np.empty(len(uid), np.int64)
+        place[pc.sort_indices(uid).to_numpy()] = np.arange(len(uid))
+        o, last = self._first(q, s, place)
+        self.least[q[last]] = s[last]
+        self.q, self.s, self.uid = q[o], s[o], uid.take(pa.array(o))
+
+    def batch(self, ids: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(self.q)), self.uid, pa.array(self.s)], ["query_id", "chunk_uid", "score"])
+
+
+class _Postings:
+    """Values (terms) with the queries that hold them and their weights there."""
+
+    def __init__(self, values: pa.Array, q: np.ndarray, weight: np.ndarray):
+        self.values = values.unique()
+        at = pc.index_in(values, value_set=self.values).to_numpy(zero_copy_only=False).astype(np.int64)
+        o = np.argsort(at, kind="stable")
+        self.q, self.weight = q[o].astype(np.int64), weight[o].astype(np.float64)
+        self.start = np.searchsorted(at[o], np.arange(len(self.values) + 1))
+
+    def expand(self, row: np.ndarray, term: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, query, score) of rows (sorted) with terms, PAIRS at a time or one row at least."""
+        size = self.start[term + 1] - self.start[term]
+        ends = np.cumsum(size)
+        lo = 0
+        while lo < len(row):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - size[lo] + PAIRS, "right")))
+            hi = int(np.searchsorted(row, row[hi - 1], "right"))  # whole rows
+            n = size[lo:hi]
+            at = np.repeat(self.start[term[lo:hi]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            yield np.repeat(row[lo:hi], n), self.q[at], self.weight[at] * np.repeat(part[lo:hi], n)
+            lo = hi
+
+
+def _summed(row, q, s, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    key = row * n + q
+    u, inv = np.unique(key, return_inverse=True)
+    return u // n, u % n, np.bincount(inv, s, len(u))
+
+
+def _hits(chunks: DataFrame, queries: DataFrame, run: Callable) -> DataFrame:
+    kinds = dict(queries.dtypes), dict(chunks.dtypes)
+    return chunks.mapInArrow(run, f"query_id {kinds[0]['query_id']}, chunk_uid {kinds[1]['chunk_uid']}, score double")
+
+
+def lexical_score_topk(queries: DataFrame, chunks: DataFrame, k: int = 6, same: tuple[str, ...] = (), listed: bool = False) -> DataFrame:
     """query_id, chunk_uid, score, rank. queries: (query_id, query_text, keywords); chunks: (chunk_uid, content).
 
     1 if the content holds the whole query, and 0.25 for each keyword it holds, case aside; only
-    positive scores. Blank queries answer nothing.
+    positive scores. Blank queries answer nothing. The distinct keywords and query strings of a
+    block are sought in one pass over each chunk by an automaton.
     """
-    out = None
-    for q in _query_blocks(queries):
-        q = q.select("query_id", F.lower("query_text").alias("q"), F.transform(F.coalesce("keywords", F.array()), lambda w: F.lower(w)).alias("words")).where(trim_space(F.col("q")) != "")
-        low = chunks.select("chunk_uid", F.lower("content").alias("low"))
-        score = F.when(F.contains("low", "q"), 1.0).otherwise(0.0) + 0.25 * F.size(F.filter("words", lambda w: (w != "") & F.contains(F.col("low"), w)))
-        hits = low.join(F.broadcast(q)).select("query_id", "chunk_uid", score.alias("score")).where("score > 0")
-        out = hits if out is None else out.unionByName(hits)
-    return _ranked(out, k, F.desc("score"), "chunk_uid")
-
-
-def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 6, same: tuple[str, ...] = ()) -> DataFrame:
+    q = queries.where(trim_space(F.lower("query_text")) != "")
+    q = q.select("query_id", F.lower("query_text").alias("q"), F.transform(F.coalesce("keywords", F.array()), lambda w: F.lower(w)).alias("words"), *([_scope(same).alias("scope")] if same else []), *(["document_ids"] if listed else []))
+    low = chunks.select("chunk_uid", F.lower("content").alias("low"), *([_scope(same).alias("scope")] if same else []), *(["document_id"] if listed else []))
+
+    def answer(q: DataFrame) -> DataFrame:
+        table = q.toArrow()  # QUERY_BLOCK rows
+
+        def run(batches):
+            import ahocorasick
+
+            block = _Block(table, same, listed)
+            texts, words = table.column("q").to_pylist(), table.column("words").combine_chunks()
+            parent, flat = _owners(words), words.flatten()
+            sought = pa.array([t[:HEAD] for t in texts])
+            # a keyword counts 0.25 each time its query names it
+            kw = _Postings(flat, parent, np.full(len(flat), 0.25))
+            heads = _Postings(sought, np.arange(len(texts)), np.ones(len(texts)))
+            found = ahocorasick.Automaton()
+            marks: dict[str, list] = {}
+            for i, w in enumerate(kw.values.to_pylist()):
+                if w:
+                    marks.setdefault(w, [None, None])[0] = i
+            for i, h in enumerate(heads.values.to_pylist()):
+                marks.setdefault(h, [None, None])[1] = i
+            for w, m in marks.items():
+                found.add_word(w, (len(w), *m))
+            found.make_automaton()
+            best = None
+            for b in batches:
+                uids, codes = b.column(0), block.chunk_codes(b)
+                best = best or _Best(k, block.n, uids.type)
+                best.start(uids)
+                rows, terms, whole_row, whole_q = [], [], [], []
+                for i, text in enumerate(b.column(1).to_pylist()):
+                    if not text or not marks:
+                        continue
+                    held, seen = set(), set()
+                    for end, (n, word, head) in found.iter(text):
+                        if word is not None:
+                            held.add(word)
+                        if head is not None:
+                            for x in heads.q[heads.start[head] : heads.start[head + 1]].tolist():
+                                if x not in seen and text.startswith(texts[x], end - n + 1):
+                                    seen.add(x)
+                    terms += sorted(held)
+                    rows += [i] * len(held)
+                    whole_row += [i] * len(seen)
+                    whole_q += sorted(seen)
+                rows, terms = np.array(rows, np.int64), np.array(terms, np.int64)
+                whole_row, whole_q = np.array(whole_row, np.int64), np.array(whole_q, np.int64)
+                done = np.zeros(len(whole_row), bool)
+                for r, qs, s in kw.expand(rows, terms, np.ones(len(rows))):
+                    part = (whole_row >= r[0]) & (whole_row <= r[-1]) & ~done if len(r) else np.zeros(len(done), bool)
+                    done |= part
+                    r, qs, s = _summed(np.append(r, whole_row[part]), np.append(qs, whole_q[part]), np.append(s, np.ones(int(part.sum()))), block.n)
+                    ok = block.allowed(codes, r, qs)
+                    best.add(r[ok], qs[ok], s[ok])
+                ok = ~done & block.allowed(codes, whole_row, whole_q)
+                best.add(whole_row[ok], whole_q[ok], np.ones(int(ok.sum())))
+            if best is not None:
+                yield best.batch(block.ids)
+
+        return _hits(low, q, run)
+
+    return _ranked(_over_blocks(q, QUERY_BLOCK, answer), k, F.desc("score"), "chunk_uid")
+
+
+def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 6, same: tuple[str, ...] = (), listed: bool = False) -> DataFrame:
     """query_id, chunk_uid, score, rank by exact cosine similarity over the shorter length.
 
     queries: (query_id, query_vector); vectors: (chunk_uid, embedding). Each Arrow batch is scored
-    against a block of queries at once and keeps k per query, so at most k rows a query and
-    batch are shuffled. ``same``: columns both sides share; only equal rows meet.
+    against a block of queries at once.
     """
-    out = None
-    for q in _query_blocks(queries):
-        rows = q.where(F.size("query_vector") > 0).select("query_id", "query_vector", *same).toArrow()  # QUERY_BLOCK rows
-        ids = rows.column(0).to_pylist()
-        vecs = [np.asarray(v, np.float32) for v in rows.column(1).to_pylist()]
-        keys = list(zip(*[rows.column(2 + i).to_pylist() for i in range(len(same))])) if same else [()] * len(ids)
-
-        def score(batches, ids=ids, vecs=vecs, keys=keys):
+    size = F.max(F.size("query_vector"))
+    q = queries.where(F.size("query_vector") > 0)
+    q = q.select("query_id", "query_vector", *([_scope(same).alias("scope")] if same else []), *(["document_ids"] if listed else []))
+    rows = vectors.select("chunk_uid", "embedding", *([_scope(same).alias("scope")] if same else []), *(["document_id"] if listed else []))
+
+    def answer(q: DataFrame) -> DataFrame:
+        table = q.toArrow()  # VECTOR_BLOCK numbers
+
+        def run(batches):
+            block = _Block(table, same, listed)
+            vecs = [np.asarray(v, np.float32) for v in table.column("query_vector").to_pylist()]
+            best = None
             for b in batches:
-                emb = b.column(1)
-                held = [i for i, v in enumerate(emb) if v.is_valid and len(v)]
-                by_len: dict[int, list[int]] = {}
-                for i in held:
-                    by_len.setdefault(len(emb[i]), []).append(i)
-                found_q, found_c, found_s = [], [], []
-                own = list(zip(*[b.column(2 + j).to_pylist() for j in range(b.num_columns - 2)])) if b.num_columns > 2 else None
-                for n, at in by_len.items():
-                    m = np.array([emb[i].values.to_numpy(zero_copy_only=False) for i in at], np.float32)
-                    for q_id, v, key in zip(ids, vecs, keys):
+                uids, emb, codes = b.column(0), b.column(1), block.chunk_codes(b)
+                best = best or _Best(k, block.n, uids.type)
+                best.start(uids)
+                size = pc.fill_null(pc.list_value_length(emb), 0).to_numpy(zero_copy_only=False)
+                found = [[], [], []]
+                held = 0
+                for n in np.unique(size[size > 0]):
+                    at = np.flatnonzero(size == n)
+                    m = np.array([emb[i].values.to_numpy(zero_copy_only=False) for i in at.tolist()], np.float32)
+                    for x, v in enumerate(vecs):
+                        ok = block.allowed(codes, at, np.full(len(at), x))
                         d = min(n, len(v))
-                        x, y = m[:, :d], v[:d]
-                        norm = np.sqrt((x * x).sum(1, dtype=np.float64)) * np.sqrt((y * y).sum(dtype=np.float64))
-                        dot = (x * y).sum(1, dtype=np.float64)
+                        pick, a, c = (at, m[:, :d], v[:d]) if ok.all() else (at[ok], m[ok, :d], v[:d])
+                        norm = np.sqrt((a * a).sum(1, dtype=np.float64)) * np.sqrt((c * c).sum(dtype=np.float64))
+                        dot = (a * c).sum(1, dtype=np.float64)
                         s = np.divide(dot, norm, out=np.zeros(len(dot)), where=norm > 0)
-                        pick = np.arange(len(s)) if own is None else np.array([j for j, i in enumerate(at) if own[i] == key], int)
-                        if len(pick) > k:  # ties at the k-th place stay; the ranking decides
-                            low = np.partition(s[pick], len(pick) - k)[len(pick) - k]
-                            pick = pick[s[pick] >= low]
-                        for j in pick:
-                            found_q.append(q_id)
-                            found_c.append(at[j])
-                            found_s.append(s[j])
-                yield pa.RecordBatch.from_arrays([pa.array(found_q, rows_type), b.column(0).take(pa.array(found_c, pa.int64())), pa.array(found_s, pa.float64())], ["query_id", "chunk_uid", "score"])
-
-        rows_type = rows.schema.field(0).type
-        kinds = dict(queries.dtypes), dict(vectors.dtypes)
-        hits = vectors.select("chunk_uid", "embedding", *same).mapInArrow(score, f"query_id {kinds[0]['query_id']}, chunk_uid {kinds[1]['chunk_uid']}, score double")
-        out = hits if out is None else out.unionByName(hits)
-    return _ranked(out, k, F.desc(F.round("score", 9)), "chunk_uid")
-
-
-def bm25_topk(queries: DataFrame, index: DataFrame, size: int = 24, match_weight: float = 2.0, keyword_weight: float = 1.0, terms_score: float = 1.0) -> DataFrame:
+                        good = np.flatnonzero(s >= best.least[x] - 1e-8)
+                        held += len(good)
+                        for f, y in zip(found, (pick[good], np.full(len(good), x), s[good])):
+                            f.append(y)
+                        if held > PAIRS:
+                            best.add(*map(np.concatenate, found))
+                            found, held = [[], [], []], 0
+                if held:
+                    best.add(*map(np.concatenate, found))
+            if best is not None:
+                yield best.batch(block.ids)
+
+        return _hits(rows, q, run)
+
+    dims = q.agg(size).first()[0] or 1
+    return _ranked(_over_blocks(q, max(1, VECTOR_BLOCK // dims), answer), k, F.desc(F.round("score", 9)), "chunk_uid")
+
+
+def bm25_topk(queries: DataFrame, index: DataFrame, size: int = 24, match_weight: float = 2.0, keyword_weight: float = 1.0, terms_score: float = 1.0, same: tuple[str, ...] = (), listed: bool = False) -> DataFrame:
     """query_id, chunk_uid, score, rank.
 
     queries: (query_id, query_text, keywords); index: (chunk_uid, text, keywords). Score: twice the
     BM25 of the text, plus the BM25 of the joined keywords, plus one if any query keyword is
-    one of the row's keywords. Statistics are those of the whole index. Postings are cut
-    down to the queries' terms before they are shuffled, and combined map-side.
+    one of the row's keywords. Statistics are those of the whole index, whatever the scope. They
+    take one pass over the index, and the scores of a block of queries another.
     """
+    k = max(1, size)
     q = queries.where(trim_space(F.coalesce("query_text", F.lit(""))) != "")
-    q_terms = q.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term"))
-    asked = q_terms.select("term").distinct()
-    few = q_terms.count() <= BROADCAST_ROWS
-    small = F.broadcast if few else (lambda d: d)
-
-    def field(text: Column, weight: float) -> DataFrame:
-        rows = index.select("chunk_uid", tokens(text).alias("t")).where("size(t) > 0")
-        stats = rows.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg_len"))
-        tf = rows.select("chunk_uid", F.size("t").alias("len"), F.explode("t").alias("term")).join(small(asked), "term", "left_semi").groupBy("chunk_uid", "len", "term").agg(F.count("*").alias("tf"))
-        df = tf.groupBy("term").agg(F.count("*").alias("df"))
-        idf = df.join(F.broadcast(stats)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_len")
-        weigh = idf.join(q_terms, "term")
-        part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-        return tf.join(small(weigh), "term").select("query_id", "chunk_uid", (weight * F.col("idf") * part).alias("score"))
-
-    keys = q.select("query_id", F.explode("keywords").alias("keyword")).distinct()
-    const = index.select("chunk_uid", F.explode("keywords").alias("keyword")).join(small(keys), "keyword").select("query_id", "chunk_uid").distinct().withColumn("score", F.lit(float(terms_score)))
-    every = field(F.col("text"), match_weight).unionByName(field(F.array_join("keywords", " "), keyword_weight)).unionByName(const)
-    hits = every.groupBy("query_id", "chunk_uid").agg(F.sum("score").alias("score"))
-    return _ranked(hits, max(1, size), F.desc(F.round("score", 9)), "chunk_uid")
+    q = q.select("query_id", F.array_distinct(tokens(F.col("query_text"))).alias("terms"), F.array_distinct(F.coalesce("keywords", F.array())).alias("keys"), *([_scope(same).alias("scope")] if same else []), *(["document_ids"] if listed else []))
+    rows = index.select("chunk_uid", tokens(F.col("text")).alias("t0"), tokens(F.array_join("keywords", " ")).alias("t1"), "keywords", *([_scope(same).alias("scope")] if same else []), *(["document_id"] if listed else []))
+    lengths = rows.agg(*[x for f in ("t0", "t1") for x in (F.count(F.when(F.size(f) > 0, 1)), F.avg(F.when(F.size(f) > 0, F.size(f))))]).first()
+    fields = (("t0", match_weight, *lengths[:2]), ("t1", keyword_weight, *lengths[2:]))
+
+    def answer(q: DataFrame) -> DataFrame:
+        table = q.toArrow()  # QUERY_BLOCK rows
+        asked = q.select(F.explode("terms").alias("term")).distinct()
+        small = F.broadcast if asked.count() <= BROADCAST_ROWS else (lambda d: d)
+        used = rows.select(F.posexplode(F.array("t0", "t1")).alias("field", "t")).select("field", F.explode(F.array_distinct("t")).alias("term"))
+        df = used.join(small(asked), "term", "left_semi").groupBy("field", "term").agg(F.count("*").alias("df")).toArrow()  # the block's terms
+        counts = {(f, t): n for f, t, n in zip(*(df.column(c).to_pylist() for c in ("field", "term", "df")))}
+
+        def run(batches):
+            block = _Block(table, same, listed)
+            terms, keys = table.column("terms").combine_chunks(), table.column("keys").combine_chunks()
+            flat, q_of = terms.flatten(), _owners(terms)
+            scored = []
+            for i, (_, weight, n, avg_len) in enumerate(fields):
+                df = np.array([counts.get((i, t), 0) for t in flat.to_pylist()], np.float64)
+                p = _Postings(flat, q_of, weight * np.log(1 + ((n or 0) - df + 0.5) / (df + 0.5)))
+                scored.append((p, avg_len or 1.0))
+            whole = _Postings(keys.flatten(), _owners(keys), np.ones(len(keys.flatten())))
+            best = None
+
+            def expanded(b, lo, hi):
+                """(row, query, score) of rows lo to hi of a batch, by field."""
+                for i, (p, avg_len) in enumerate(scored):
+                    col = b.column(1 + i).slice(lo, hi - lo)
+                    row, term = _owners(col), _codes(col.flatten(), p.values)
+                    length = np.bincount(row, minlength=hi - lo)
+                    u, tf = np.unique((row * (len(p.values) + 1) + term)[term >= 0], return_counts=True)
+                    row, term = u // (len(p.values) + 1), u % (len(p.values) + 1)
+                    yield from p.expand(row, term, tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / avg_len)))
+                col = b.column(3).slice(lo, hi - lo)
+                row, term = _owners(col), _codes(col.flatten(), whole.values)
+                row, term = row[term >= 0], term[term >= 0]
+                for r, qs, _ in whole.expand(row, term, np.ones(len(row))):
+                    pair = np.unique(r * block.n + qs)
+                    yield pair // block.n, pair % block.n, np.full(len(pair), float(terms_score))
+
+            for b in batches:
+                uids, codes = b.column(0), block.chunk_codes(b)
+                best = best or _Best(k, block.n, uids.type)
+                best.start(uids)
+                step = max(1, min(b.num_rows, PAIRS // max(1, block.n)))
+                for lo in range(0, b.num_rows, step):
+                    parts = list(expanded(b, lo, min(b.num_rows, lo + step)))
+                    if not parts:
+                        continue
+                    r, qs, s = _summed(*(np.concatenate(x) for x in zip(*parts)), block.n)
+                    r += lo
+                    ok = block.allowed(codes, r, qs)
+                    best.add(r[ok], qs[ok], s[ok])
+            if best is not None:
+                yield best.batch(block.ids)
+
+        return _hits(rows, q, run)
+
+    return _ranked(_over_blocks(q, QUERY_BLOCK, answer), k, F.desc(F.round("score", 9)), "chunk_uid")
 
 
 def rrf_fuse(lexical: DataFrame, vector: DataFrame, rrf_k: int = 60, k: int = 6) -> DataFrame:
@@ -137,24 +387,26 @@ def rrf_fuse(lexical: DataFrame, vector: DataFrame, rrf_k: int = 60, k: int = 6)
     return fused.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k).select("query_id", "chunk_uid", "score", "rank")
 
 
-def hybrid_retrieve(queries: DataFrame, index: DataFrame, p=None, fallback: bool = True) -> DataFrame:
+def hybrid_retrieve(queries: DataFrame, index: DataFrame, p=None, fallback: bool = True, same: tuple[str, ...] = (), listed: bool = False) -> DataFrame:
     """query_id, chunk_uid, score, rank: BM25 and exact vector candidates, fused; queries without a
     hit fall back to the plain vector ranking (with a query vector) or the substring ranking.
 
-    queries: (query_id, query_text, keywords, query_vector); index: (chunk_uid, text, keywords, embedding).
+    queries: (query_id, query_text, keywords, query_vector); index: (chunk_uid, text, keywords, embedding),
+    which is read several times and so best a table.
     """
     from ..params import Retrieval
 
     p = (p or Retrieval()).clamped()
-    lexical = bm25_topk(queries, index, max(p.top_k, p.lexical_candidates))
+    lexical = bm25_topk(queries, index, max(p.top_k, p.lexical_candidates), same=same, listed=listed)
     with_vector = queries.where("query_vector is not null and size(query_vector) > 0")
-    vector = cosine_topk(with_vector, index, max(p.top_k, p.vector_candidates))
+    vector = cosine_topk(with_vector, index, max(p.top_k, p.vector_candidates), same, listed)
     fused = rrf_fuse(lexical, vector, p.rrf_k, p.top_k)
     if not fallback:
         return fused
+    fused = keep(fused, "fused")
     missed = queries.join(fused.select("query_id").distinct(), "query_id", "left_anti")
-    plain = index.select("chunk_uid", F.col("text").alias("content"))
-    again = lexical_score_topk(missed.where("query_vector is null or size(query_vector) = 0"), plain, p.top_k)
+    plain = index.withColumn("content", F.col("text"))
+    again = lexical_score_topk(missed.where("query_vector is null or size(query_vector) = 0"), plain, p.top_k, same, listed)
     return fused.unionByName(again.select(fused.columns))
 
 

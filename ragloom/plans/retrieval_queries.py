@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text, vectors
 from ..operators import chunking, index, keywords, retrieval
 from ..params import Retrieval
+from ..shared import keep
 from .tables import ctes, raw, view
 from .text_queries import CHUNK_SQL, STOP, TOKENS, TRIM
 
@@ -55,7 +56,7 @@ def r2_cosine_builtin(spark, d):
 def r3_bm25_topk(spark, d):
     c = chunks(spark, d)
     rows = c.select("chunk_uid", F.col("content").alias("text")).join(keywords.keywords_frequency(c, "chunk_uid", "content"), "chunk_uid", "left")
-    return retrieval.bm25_topk(questions(spark, d), rows, 24).select("query_id", "chunk_uid", F.round("score", 5).alias("score"), "rank")
+    return retrieval.bm25_topk(questions(spark, d), keep(rows, "index"), 24).select("query_id", "chunk_uid", F.round("score", 5).alias("score"), "rank")
 
 
 def r4_knn_scoped(spark, d):
@@ -79,7 +80,43 @@ def r5_rrf_fuse(spark, d):
 def r6_hybrid_retrieve(spark, d):
     v = raw(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     q = questions(spark, d).join(v.where("query_id % 2 = 0"), "query_id", "left")
-    return retrieval.hybrid_retrieve(q, index_rows(spark, d), Retrieval()).select("query_id", "chunk_uid", F.round("score", 9).alias("score"), "rank")
+    return retrieval.hybrid_retrieve(q, keep(index_rows(spark, d), "index"), Retrieval()).select("query_id", "chunk_uid", F.round("score", 9).alias("score"), "rank")
+
+
+SCOPE = ("tenant_id", "workspace_id", "project_id", "index_version")
+#: Projects of the stand-in scope; a quarter of a project's documents is not in the question's list.
+PROJECTS = 53
+
+
+def _in_scope(df, key):
+    """The stand-in scope of a row by its number: a project, and the workspace and tenant that hold it."""
+    project = F.col(key) % PROJECTS
+    return df.withColumns({"project_id": project, "workspace_id": project % 7, "tenant_id": project % 7 % 3, "index_version": F.lit(1)})
+
+
+def _scoped(spark, d):
+    docs = _in_scope(view(spark, d, "pages_text").select("document_id"), "document_id")
+    lists = docs.where("document_id % 4 <> 0").groupBy("project_id").agg(F.collect_list("document_id").alias("document_ids"))
+    q = _in_scope(questions(spark, d), "query_id").join(lists, "project_id")
+    return q, keep(_in_scope(index_rows(spark, d), "document_id"), "index")
+
+
+def r3_scoped(spark, d):
+    q, rows = _scoped(spark, d)
+    return retrieval.bm25_topk(q, rows, 24, same=SCOPE, listed=True).select("query_id", "chunk_uid", F.round("score", 5).alias("score"), "rank")
+
+
+def r4_knn_listed(spark, d):
+    q = _in_scope(query_vectors(spark, d), "query_id").withColumn("document_ids", F.transform(F.sequence(F.lit(0), F.lit(400)), lambda i: i * PROJECTS + F.col("project_id")))
+    v = _in_scope(stored_vectors(spark, d), "chunk_uid").withColumn("document_id", F.col("chunk_uid"))
+    return retrieval.cosine_topk(q, v, 24, SCOPE, listed=True).select("query_id", "chunk_uid", F.round("score", 3).alias("score"), "rank")
+
+
+def r6_scoped(spark, d):
+    q, rows = _scoped(spark, d)
+    v = raw(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    q = q.join(v.where("query_id % 2 = 0"), "query_id", "left")
+    return retrieval.hybrid_retrieve(q, rows, Retrieval(), same=SCOPE, listed=True).select("query_id", "chunk_uid", F.round("score", 9).alias("score"), "rank")
 
 
 def _ranked(spark, d):
@@ -138,9 +175,12 @@ _CK = _freq("u", "chunk_uid", "content", "ck")
 
 
 def _lexical(k: int) -> str:
-    return f"""{_QK},
-lex_s AS (SELECT q.query_id, u.chunk_uid, CASE WHEN contains(lower(content), lower(query_text)) THEN 1.0 ELSE 0.0 END + 0.25 * len(list_filter(coalesce(keywords, []), lambda w: contains(lower(content), w))) AS score
-  FROM t_questions q LEFT JOIN qk USING (query_id), u),
+    return f"{_QK},\n{_lex(k)}"
+
+
+def _lex(k: int, where: str = "true") -> str:
+    return f"""lex_s AS (SELECT q.query_id, u.chunk_uid, CASE WHEN contains(lower(content), lower(query_text)) THEN 1.0 ELSE 0.0 END + 0.25 * len(list_filter(coalesce(keywords, []), lambda w: contains(lower(content), w))) AS score
+  FROM t_questions q LEFT JOIN qk USING (query_id), u WHERE {where}),
 lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_uid) - 1 AS rank FROM lex_s WHERE score > 0) WHERE rank < {k})"""
 
 
@@ -170,12 +210,12 @@ def _bm25(text_col: str, name: str, weight: float) -> str:
 {name} AS (SELECT query_id, chunk_uid, {weight} * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)) AS score FROM {name}_f JOIN {name}_i USING (term) JOIN qt USING (term), {name}_a)"""
 
 
-def _bm25_all(k: int) -> str:
+def _bm25_all(k: int, where: str = "true") -> str:
     return f"""{_QK}, {_CK}, ix AS (SELECT u.chunk_uid, content AS text, coalesce(keywords, []) AS keywords FROM u LEFT JOIN ck USING (chunk_uid)),
 qt AS (SELECT DISTINCT query_id, unnest({TOKENS.format('query_text')}) AS term FROM t_questions),
 {_bm25('text', 'bt', 2.0)}, {_bm25("array_to_string(keywords, ' ')", 'bk', 1.0)},
 bc AS (SELECT DISTINCT query_id, chunk_uid, 1.0 AS score FROM (SELECT query_id, unnest(keywords) AS k FROM qk) JOIN (SELECT chunk_uid, unnest(keywords) AS k FROM ix) USING (k)),
-bs AS (SELECT query_id, chunk_uid, sum(score) AS score FROM (SELECT * FROM bt UNION ALL SELECT * FROM bk UNION ALL SELECT * FROM bc) GROUP BY ALL),
+bs AS (SELECT query_id, chunk_uid, sum(score) AS score FROM (SELECT * FROM bt UNION ALL SELECT * FROM bk UNION ALL SELECT * FROM bc) WHERE {where} GROUP BY ALL),
 bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_uid) - 1 AS rank FROM bs) WHERE rank < {k})"""
 
 
@@ -183,6 +223,17 @@ _RRF = """rrf_e AS (SELECT query_id, chunk_uid, rank, 0 AS l FROM {a} UNION ALL
 rrf_g AS (SELECT query_id, chunk_uid, sum(1.0 / CAST(60 + rank + 1 AS DOUBLE)) AS score, min(l * 1000 + rank) AS first FROM rrf_e GROUP BY ALL),
 rrf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first) - 1 AS rank FROM rrf_g) WHERE rank < 6)"""
 
+_DOC = "CAST(split_part(chunk_uid, ':', 1) AS BIGINT)"
+_SEEN = f"query_id % {PROJECTS} = {_DOC} % {PROJECTS} AND {_DOC} % 4 <> 0"
+
+
+def _hybrid(where: str) -> str:
+    return f"""{_CH}, {_bm25_all(24, where)},
+vs AS (SELECT a.vec_id AS query_id, u.chunk_uid, {_COS.replace('{n}', '9')} AS score FROM embeddings a, embeddings b JOIN u ON u.document_id = b.vec_id WHERE a.vec_id IN (SELECT query_id FROM t_questions) AND a.vec_id % 2 = 0),
+vt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_uid) - 1 AS rank FROM vs WHERE {where}) WHERE rank < 24),
+{_RRF.format(a='bm', b='vt')}"""
+
+
 SQL = {
     "r1_lexical_topk": f"{_CH}, {_lexical(6)} SELECT query_id, chunk_uid, CAST(score AS DOUBLE) AS score, CAST(rank AS INT) AS rank FROM lex",
     "r2_cosine_topk": f"WITH {_cos(6, False, 'a')} SELECT query_id, chunk_uid, round(score, 3) AS score, CAST(rank AS INT) AS rank FROM a",
@@ -190,10 +241,13 @@ SQL = {
     "r3_bm25_topk": f"{_CH}, {_bm25_all(24)} SELECT query_id, chunk_uid, round(score, 5) AS score, CAST(rank AS INT) AS rank FROM bm",
     "r4_knn_scoped": f"WITH {_cos(24, True, 'a')} SELECT query_id, chunk_uid, round(score, 3) AS score, CAST(rank AS INT) AS rank FROM a",
     "r5_rrf_fuse": f"WITH {_cos(24, True, 'x')}, {_cos(24, False, 'y')}, {_RRF.format(a='x', b='y')} SELECT query_id, chunk_uid, round(score, 9) AS score, CAST(rank AS INT) AS rank FROM rrf",
-    "r6_hybrid_retrieve": f"""{_CH}, {_bm25_all(24)},
-vs AS (SELECT a.vec_id AS query_id, u.chunk_uid, {_COS.replace('{n}', '9')} AS score FROM embeddings a, embeddings b JOIN u ON u.document_id = b.vec_id WHERE a.vec_id IN (SELECT query_id FROM t_questions) AND a.vec_id % 2 = 0),
-vt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_uid) - 1 AS rank FROM vs) WHERE rank < 24),
-{_RRF.format(a='bm', b='vt')} SELECT query_id, chunk_uid, round(score, 9) AS score, CAST(rank AS INT) AS rank FROM rrf""",
+    "r3_scoped": f"{_CH}, {_bm25_all(24, _SEEN)} SELECT query_id, chunk_uid, round(score, 5) AS score, CAST(rank AS INT) AS rank FROM bm",
+    "r4_knn_listed": f"""WITH a_p AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_uid, {_COS.replace('{n}', '7')} AS score FROM embeddings a JOIN embeddings b ON a.vec_id % {PROJECTS} = b.vec_id % {PROJECTS} AND b.vec_id <= 400 * {PROJECTS} + a.vec_id % {PROJECTS} WHERE a.vec_id % 20 = 0),
+a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_uid) - 1 AS rank FROM a_p) WHERE rank < 24) SELECT query_id, chunk_uid, round(score, 3) AS score, CAST(rank AS INT) AS rank FROM a""",
+    "r6_hybrid_retrieve": f"{_hybrid('true')} SELECT query_id, chunk_uid, round(score, 9) AS score, CAST(rank AS INT) AS rank FROM rrf",
+    "r6_scoped": f"""{_hybrid(_SEEN)}, {_lex(6, _SEEN)}
+SELECT query_id, chunk_uid, round(score, 9) AS score, CAST(rank AS INT) AS rank FROM rrf
+UNION ALL SELECT query_id, chunk_uid, CAST(score AS DOUBLE), CAST(rank AS INT) FROM lex WHERE query_id NOT IN (SELECT query_id FROM rrf) AND query_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 2 = 0)""",
     "r7_pack_context": f"{_CH}, {_lexical(12)}, {_PACK} SELECT query_id, n_chunks, md5(context) AS context_md5 FROM pk",
     "r8_status_messages": f"""{_CH}, {_lexical(12)}, {_PACK} SELECT q.query_id,
 CASE WHEN q.query_id % 4 = 0 OR {TRIM.format('query_text')} = '' THEN 'no_query' WHEN q.query_id % 3 = 0 THEN 'no_index' WHEN context IS NULL THEN 'no_chunk' ELSE 'ok' END AS status,
@@ -211,5 +265,5 @@ SELECT r.*, coalesce(array_to_string(keywords, ' '), '') AS keywords, CAST(CASE
 FROM r LEFT JOIN ck USING (chunk_uid) LEFT JOIN embeddings e ON r.chunk_uid = concat_ws(':', e.vec_id, 1, 0)""",
 }
 QUERIES = {f.__name__: f for f in (
-    r1_lexical_topk, r2_cosine_topk, r2_cosine_builtin, r3_bm25_topk, r4_knn_scoped, r5_rrf_fuse, r6_hybrid_retrieve, r7_pack_context, r8_status_messages, r9_augmented_prompt, f1_scope_filter, g5_build_index_rows,
+    r1_lexical_topk, r2_cosine_topk, r2_cosine_builtin, r3_bm25_topk, r3_scoped, r4_knn_scoped, r4_knn_listed, r5_rrf_fuse, r6_hybrid_retrieve, r6_scoped, r7_pack_context, r8_status_messages, r9_augmented_prompt, f1_scope_filter, g5_build_index_rows,
 )}
