@@ -179,23 +179,37 @@ def compatible_types(declared: Column, detected: Column) -> Column:
 
 
 def url_host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^(?i)[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
+    """The host, lower-cased; that of an IPv6 address stands in its brackets."""
+    return F.lower(F.regexp_extract(url, r"^(?i)[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]+)", 1))
+
+
+def _private_v4(host: Column) -> Column:
+    quad = F.transform(F.split(host, r"\."), lambda p: p.try_cast("int"))
+    a, b = F.try_element_at(quad, F.lit(1)), F.try_element_at(quad, F.lit(2))
+    return host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & (a.isin(0, 10, 127) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)))
+
+
+def _private_v6(host: Column) -> Column:
+    """Loopback, link-local fe80::/10, site-local fec0::/10, unique local fc00::/7, and IPv4
+    addresses in IPv6 form that are private."""
+    inside = F.regexp_extract(host, r"^\[([^\]%]*)(?:%[^\]]*)?\]$", 1)
+    mapped = F.regexp_extract(inside, r"^(?:0{0,4}:)+ffff:(\d+\.\d+\.\d+\.\d+)$", 1)
+    return inside.rlike("^[0:]*:0{0,3}1$") | inside.rlike("^fe[89a-f][0-9a-f]:") | inside.rlike("^f[cd][0-9a-f]{2}:") | _private_v4(mapped)
 
 
 def url_gate(url: Column, allow_http: bool = False) -> Column:
-    """'ok', or why an address is refused. Names are not resolved."""
+    """'ok', or why an address is refused. Names are not resolved; a bracketed host that is no IPv6
+    address is refused like one that is private."""
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
     host = url_host(url)
-    quad = F.transform(F.split(host, r"\."), lambda p: p.try_cast("int"))
-    literal = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
-    a, b = F.try_element_at(quad, F.lit(1)), F.try_element_at(quad, F.lit(2))
-    private = literal & (a.isin(0, 10, 127) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)))
+    bracket = host.startswith("[")
+    strange = bracket & ~host.rlike(r"^\[(?=[^\]]*:)[0-9a-f:.]*(?:%[^\]]*)?\]$")
     return (
         F.when(F.coalesce(scheme, F.lit("")).isin("http", "https") == F.lit(False), "not an absolute http address")
-        .when(host == "", "not an absolute http address")
+        .when((host == "") | strange, "not an absolute http address")
         .when((scheme == "http") & F.lit(not allow_http), "https is required")
         .when((host == "localhost") | host.endswith(".local") | host.endswith(".internal"), "local host")
-        .when(private, "private address")
+        .when(_private_v4(host) | (bracket & _private_v6(host)), "private address")
         .otherwise("ok")
     )
 

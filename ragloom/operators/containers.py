@@ -38,6 +38,21 @@ def free_path(path: str, known: set[str]) -> str:
     return candidate
 
 
+def unique_paths(entries: DataFrame) -> DataFrame:
+    """(container_id, ordinal, path) with unique_path: entries of a container in order, each at its
+    cleaned path or the first free variant of it (case aside); entries without a path are left out."""
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        known: set[str] = set()
+        rows = rows.sort_values("ordinal", kind="stable")
+        cleaned = rows["path"].map(clean_path)
+        rows = rows[cleaned != ""]
+        return rows.assign(unique_path=[free_path(p, known) for p in cleaned[cleaned != ""]])
+
+    kinds = dict(entries.dtypes)
+    return entries.select("container_id", "ordinal", "path").groupBy("container_id").applyInPandas(fold, f"container_id {kinds['container_id']}, ordinal {kinds['ordinal']}, path string, unique_path string")
+
+
 def _admit(limits: ContainerLimits):
     def fold(entries: pd.DataFrame) -> pd.DataFrame:
         rows, warn = [], False
@@ -45,6 +60,7 @@ def _admit(limits: ContainerLimits):
         files, total = int(entries["root_files"].iloc[0]), int(entries["root_bytes"].iloc[0])
         stopped: set = set()
         known: dict[int, set[str]] = {}
+        stored_of: dict[int, set[str]] = {}
         for e in entries.itertuples(index=False):
             if e.container_id in stopped:
                 continue
@@ -56,7 +72,9 @@ def _admit(limits: ContainerLimits):
             path = clean_path(e.path)
             if not path:
                 continue
-            stored = {p.lower() for p in (e.stored_paths if e.stored_paths is not None else ())}
+            if e.container_id not in stored_of:
+                stored_of[e.container_id] = {p.lower() for p in (e.stored_paths if e.stored_paths is not None else ())}
+            stored = stored_of[e.container_id]
             path = "/".join(x for x in (clean_path(e.container_path), path) if x)
             if path.lower() in stored:
                 continue

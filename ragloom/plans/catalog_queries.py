@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import access, admission, chunking, containers, history, index, lifecycle, trees, usage
 from ..params import ContainerLimits, UsageLimits
+from ..shared import fresh_path, keep
 from ..streaming import streams
 from .tables import ctes, raw, view
 
@@ -308,6 +309,15 @@ def q1_admit_entries(spark, d):
     return containers.admit_container_entries(e, ContainerLimits(max_depth=3, max_files=40)).select("root_id", "container_id", "ordinal", "container_path", "size_bytes", "state", "extraction_state", "has_warnings")
 
 
+def q2_free_path(spark, d):
+    """Line items as entries of their order's container, with few names in changing case."""
+    e = raw(spark, d, "lineitem").select(
+        F.col("l_orderkey").cast("long").alias("container_id"), F.expr("CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey").alias("ordinal"),
+        F.expr("concat(CASE WHEN l_partkey % 2 = 0 THEN '/in' ELSE 'in\\\\in' END, CASE WHEN l_suppkey % 2 = 0 THEN '/Doc' ELSE '/doc' END, CASE l_suppkey % 3 WHEN 0 THEN '.txt' WHEN 1 THEN '.TXT' ELSE '' END)").alias("path"),
+    )
+    return containers.unique_paths(e).select("container_id", "ordinal", "unique_path")
+
+
 def q3_upload_outcomes(spark, d):
     gated = admission.upload_gate(_manifest(spark, d))
     scans = raw(spark, d, "labels").select(F.col("doc_id").alias("document_id"), F.when(F.col("toxic") == 1, "infected").otherwise("clean").alias("verdict"))
@@ -326,6 +336,23 @@ def w1_ingest_batch(spark, d):
     return jobs.join(work.select("document_id", F.lit(True).alias("ingest")), "document_id", "left").select("document_id", "result", "state", F.coalesce("ingest", F.lit(False)).alias("ingest"))
 
 
+def w1_ingest_stream(spark, d):
+    """The stream form: queued ids from a folder, ingested by batches."""
+    docs = view(spark, d, "documents").withColumn("index_version", F.lit(1))
+    queue = keep(raw(spark, d, "events").select(F.col("event_id").alias("document_id")), "queue")
+    ledger = docs.where("document_id % 3 = 0").select("document_id", "version", "index_version")
+    stream = spark.readStream.schema(queue.schema).parquet(_folder(queue))
+    out, checkpoint = fresh_path(spark, "ingested"), fresh_path(spark, "progress")
+    streams.ingest_stream(stream, lambda: docs, lambda: ledger, lambda w: w.select("document_id"), out, checkpoint).trigger(availableNow=True).start().awaitTermination()
+    jobs, work = spark.read.parquet(f"{out}/jobs"), spark.read.parquet(f"{out}/chunks")
+    return jobs.join(work.select("document_id", F.lit(True).alias("ingest")), "document_id", "left").select("document_id", "result", "state", F.coalesce("ingest", F.lit(False)).alias("ingest"))
+
+
+def _folder(df):
+    """Where a kept table lies."""
+    return df.inputFiles()[0].rpartition("/")[0]
+
+
 def w2_job_outcome_windows(spark, d):
     rows = streams.job_outcome_stream(view(spark, d, "jobs").withColumn("ts", F.col("ts").cast("timestamp")), "1 hour")
     return rows.select(F.unix_micros("window_start").alias("window_start"), "job_type", "result", "jobs")
@@ -336,6 +363,15 @@ def w5_retry_route(spark, d):
     return streams.retry_route(f).groupBy("route", "next_retry").agg(F.count("*").alias("n"))
 
 
+def w5_retry_router(spark, d):
+    """The stream form with its two sinks."""
+    f = keep(raw(spark, d, "events").select(F.when(F.col("event_id") % 10 != 0, F.col("event_id")).alias("document_id"), (F.col("user_id") % 6).cast("int").alias("retry")), "failures")
+    out, checkpoint = fresh_path(spark, "routed"), fresh_path(spark, "progress")
+    streams.retry_router(spark.readStream.schema(f.schema).parquet(_folder(f)), out, checkpoint).trigger(availableNow=True).start().awaitTermination()
+    both = spark.read.parquet(f"{out}/retry").unionByName(spark.read.parquet(f"{out}/dead_letter"))
+    return both.groupBy("route", "next_retry").agg(F.count("*").alias("n"))
+
+
 def w6_project_lifetimes(spark, d):
     a = raw(spark, d, "events").select(F.col("user_id").alias("project_id"), F.col("ts").cast("timestamp").alias("ts"))
     p = a.groupBy("project_id").agg(F.min("ts").alias("created_at")).withColumn("hours", (F.col("project_id") % 5 * 12).cast("int")).withColumn("hours", F.when(F.col("hours") > 0, F.col("hours")))
@@ -371,6 +407,6 @@ QUERIES = {f.__name__: f for f in (
     a3_projects_per_workspace, a4_documents_per_workspace, a5_storage, a6_quota_report, a7_extraction_stats, a8_project_dashboard, a9_workspace_dashboard, a10_members_by_role,
     a10_last_owner_guard, a11_job_outcomes, a12_audit_summary, a13_model_usage, k1_recent_chat, k2_prune_chat, k3_prompt_library, k4_prune_prompts, k5_last_used_prompt,
     k6_merge_prompt_usage, k7_latest_invitation, k7_invitation_status, k8_tree_order, u1_prompt_collection, u2_membership_diff, u3_selection_intersect, u4_descendants,
-    u5_revoke_closure, u6_reindex_plan, u6_without_model, u7_project_delete_plan, w7_expiry_sweep, q1_admit_entries, q3_upload_outcomes, q3_audit_rows, w1_ingest_batch,
-    w2_job_outcome_windows, w3_idempotent_stream, w4_context_dedupe, w5_retry_route, w6_project_lifetimes,
+    u5_revoke_closure, u6_reindex_plan, u6_without_model, u7_project_delete_plan, w7_expiry_sweep, q1_admit_entries, q2_free_path, q3_upload_outcomes, q3_audit_rows, w1_ingest_batch,
+    w1_ingest_stream, w2_job_outcome_windows, w3_idempotent_stream, w4_context_dedupe, w5_retry_route, w5_retry_router, w6_project_lifetimes,
 )}

@@ -141,3 +141,9 @@ SELECT project_id, count(*) AS documents, nullif({DOC_PLAN}, 0) AS keys, any_val
 b AS (SELECT *, t >= coalesce(lag(t) OVER (PARTITION BY p ORDER BY t), c) + h AS late FROM a WHERE h > 0), l AS (SELECT *, bool_or(late) OVER (PARTITION BY p ORDER BY t) AS lost FROM b)
 SELECT p AS project_id, CAST(coalesce(max(t) FILTER (NOT lost), any_value(c)) + any_value(h) AS BIGINT) AS expires_at FROM l GROUP BY 1""",
 }
+SQL["w1_ingest_stream"] = SQL["w1_ingest_batch"]
+SQL["w5_retry_router"] = f"SELECT * FROM ({SQL['w5_retry_route']}) WHERE route <> 'drop'"
+SQL["q2_free_path"] = """WITH e AS (SELECT CAST(l_orderkey AS BIGINT) AS container_id, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey AS ordinal, CASE WHEN l_partkey % 2 = 0 THEN 'in' ELSE 'in/in' END AS folder,
+  CASE WHEN l_suppkey % 2 = 0 THEN 'Doc' ELSE 'doc' END AS base, CASE l_suppkey % 3 WHEN 0 THEN '.txt' WHEN 1 THEN '.TXT' ELSE '' END AS ext FROM lineitem),
+n AS (SELECT *, row_number() OVER (PARTITION BY container_id, lower(folder || '/' || base || ext) ORDER BY ordinal) AS k FROM e)
+SELECT container_id, ordinal, folder || '/' || base || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END || ext AS unique_path FROM n"""

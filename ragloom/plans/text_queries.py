@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import files, text, vectors
 from ..operators import chunking, keywords
+from ..shared import fresh_path
 from ..sources import readers, sinks
 from .tables import ctes, raw, view
 
@@ -141,7 +142,7 @@ def _urls(spark, d):
     return raw(spark, d, "pages").select("page_id", F.when(host == "", F.col("url")).otherwise(F.regexp_replace("url", r"//[^/]+", F.concat(F.lit("//"), host))).alias("url"))
 
 
-URL_HOSTS = ["", "", "localhost", "printer.local", "db.internal:8080", "10.1.2.3", "172.16.0.9", "172.32.0.9", "192.168.1.1", "127.0.0.1", "169.254.169.254", "0.0.0.0", "8.8.8.8"]
+URL_HOSTS = ["", "", "localhost", "printer.local", "db.internal:8080", "10.1.2.3", "172.16.0.9", "172.32.0.9", "192.168.1.1", "127.0.0.1", "169.254.169.254", "0.0.0.0", "8.8.8.8", "[::1]", "[0:0:0:0:0:0:0:1]:8443", "[fe80::1%25eth0]", "[fec0::7]", "[fd12:3456::2]", "[::ffff:10.1.2.3]", "[::ffff:8.8.8.8]", "[2001:db8::1]:443", "[fe80]"]
 
 
 def t14_url_gate(spark, d):
@@ -207,6 +208,16 @@ def s1_read_documents(spark, d):
     return pages.select("document_id", "page_number", "source_type", F.length("text").cast("long").alias("chars"), F.md5("text").alias("text_md5"))
 
 
+def s1_read_files(spark, d):
+    """The texts as whole files, twenty documents a file, written and read back."""
+    path = fresh_path(spark, "files")
+    docs = raw(spark, d, "documents").where("text is not null").groupBy(F.floor(F.col("doc_id") / 20).alias("part"))
+    one = docs.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    one.repartition("part").write.partitionBy("part").text(path)
+    pages = readers.read_documents(spark, f"{path}/*")
+    return pages.select(F.regexp_extract("document_id", "part=(-?[0-9]+)", 1).cast("long").alias("part"), "page_number", "source_type", F.length("text").cast("long").alias("chars"), F.md5("text").alias("text_md5"))
+
+
 def s2_read_html_pages(spark, d):
     return readers.read_html_pages(raw(spark, d, "pages")).select("document_id", "title", "page_number", "source_type", F.md5("text").alias("text_md5"))
 
@@ -221,9 +232,19 @@ def s4_replace_chunks(spark, d):
     return sinks.replace_chunks(old, new).groupBy("index_version").agg(F.count("*").alias("n"), F.sum("tag").alias("tags"))
 
 
+def _bulk_rows(spark, d):
+    return chunks_of(spark, d).select(text.chunk_uid(F.col("document_id"), F.lit(1), F.col("chunk_index")).alias("chunk_uid"), "document_id", "chunk_index", F.when(F.col("document_id") % 2 == 0, F.col("project")).alias("project_id"), F.array(F.col("lang"), F.lit("x")).alias("keywords"))
+
+
 def s5_export_bulk(spark, d):
-    rows = chunks_of(spark, d).select(text.chunk_uid(F.col("document_id"), F.lit(1), F.col("chunk_index")).alias("chunk_uid"), "document_id", "chunk_index", F.when(F.col("document_id") % 2 == 0, F.col("project")).alias("project_id"), F.array(F.col("lang"), F.lit("x")).alias("keywords"))
-    return sinks.bulk_lines(rows).select("chunk_uid", "line_no", "value")
+    return sinks.bulk_lines(_bulk_rows(spark, d)).select("chunk_uid", "line_no", "value")
+
+
+def s5_export_files(spark, d):
+    """The written export, read back."""
+    path = fresh_path(spark, "bulk")
+    sinks.export_bulk_index(_bulk_rows(spark, d), path)
+    return spark.read.text(path)
 
 
 def s6_delete_index_rows(spark, d):
@@ -262,10 +283,10 @@ FROM t_projects JOIN i USING (project_id) JOIN t_questions ON query_id = project
     + " ".join(f"WHEN regexp_matches(left(h, 16), '{p}') THEN '{t}'" for p, t in files.MAGIC)
     + " WHEN len(bytes) > 0 AND NOT list_contains(bytes, '00') AND len(list_filter(bytes, lambda x: x IN ('09', '0A', '0D') OR (x >= '20' AND x <= '7E') OR x >= 'C2')) >= floor(len(bytes) * 0.85) THEN 'text/plain' END AS content_type FROM b",
     "t14_url_gate": "WITH h AS (SELECT page_id, url, [" + ", ".join(f"'{h}'" for h in URL_HOSTS) + f"][page_id % {len(URL_HOSTS)} + 1] AS x FROM pages), u AS (SELECT page_id, CASE WHEN x = '' THEN url ELSE regexp_replace(url, '//[^/]+', '//' || x) END AS url FROM h), "
-    + """p AS (SELECT page_id, url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host FROM u)
-SELECT page_id, CASE WHEN scheme NOT IN ('http', 'https') OR host = '' THEN 'not an absolute http address' WHEN scheme = 'http' THEN 'https is required'
+    + """p AS (SELECT page_id, url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\\[[^\\]/?#]*\\]|[^/:?#]+)', 1)) AS host FROM u)
+SELECT page_id, CASE WHEN scheme NOT IN ('http', 'https') OR host IN ('', '[fe80]') THEN 'not an absolute http address' WHEN scheme = 'http' THEN 'https is required'
   WHEN host = 'localhost' OR host LIKE '%.local' OR host LIKE '%.internal' THEN 'local host'
-  WHEN regexp_matches(host, '^(?:0|10|127)\\.\\d+\\.\\d+\\.\\d+$|^172\\.(?:1[6-9]|2\\d|3[01])\\.\\d+\\.\\d+$|^192\\.168\\.\\d+\\.\\d+$|^169\\.254\\.\\d+\\.\\d+$') THEN 'private address' ELSE 'ok' END AS outcome,
+  WHEN regexp_matches(host, '^(?:0|10|127)\\.\\d+\\.\\d+\\.\\d+$|^172\\.(?:1[6-9]|2\\d|3[01])\\.\\d+\\.\\d+$|^192\\.168\\.\\d+\\.\\d+$|^169\\.254\\.\\d+\\.\\d+$') OR regexp_matches(host, '^\\[(?:::1|(?:0:)+1|fe[89a-f].:.*|f[cd]..:.*|::ffff:10\\.1\\.2\\.3)\\]$') THEN 'private address' ELSE 'ok' END AS outcome,
   host || regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) AS name FROM p""",
     "t15_pad_vector": "SELECT vec_id, [round(CAST(x AS DOUBLE), 5) FOR x IN embedding[1:8]] AS v4, [round(CAST(x AS DOUBLE), 5) FOR x IN list_concat(embedding, [CAST(0 AS FLOAT) FOR i IN range(16)])] AS v80 FROM embeddings",
     "t16_vector_bytes": "SELECT vec_id, CAST(4 * len(embedding) AS BIGINT) AS n_bytes, true AS same FROM embeddings",
@@ -284,6 +305,7 @@ SELECT document_id, chunks, vectors, chunks <> vectors AS failed FROM g""",
     "g8_transcript": f"""{ctes('messages')}, t AS (SELECT project_id, string_agg('[' || CASE WHEN lower(role) = 'user' THEN 'User' ELSE 'Assistant' END || ' - ' || strftime(message_timestamp, '%Y-%m-%d %H:%M') || ']: ' || content, chr(10) ORDER BY message_timestamp, message_id) AS t FROM t_messages GROUP BY 1)
 SELECT project_id, md5(t) AS transcript_md5, CAST(length(t) AS BIGINT) AS chars FROM t""",
     "s1_read_documents": f"WITH t AS (SELECT doc_id AS document_id, {_structured('text')} AS text FROM documents) SELECT document_id, 1 AS page_number, 'text' AS source_type, CAST(length(text) AS BIGINT) AS chars, md5(text) AS text_md5 FROM t WHERE text <> ''",
+    "s1_read_files": f"WITH g AS (SELECT doc_id // 20 AS part, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM documents WHERE text IS NOT NULL GROUP BY 1), t AS (SELECT part, {_structured('text')} AS text FROM g) SELECT part, 1 AS page_number, 'text' AS source_type, CAST(length(text) AS BIGINT) AS chars, md5(text) AS text_md5 FROM t WHERE text <> ''",
     "s2_read_html_pages": f"WITH t AS (SELECT page_id AS document_id, nullif({TITLE}, '') AS title, {_stripped('html')} AS text FROM pages) SELECT document_id, title, 1 AS page_number, 'text' AS source_type, md5(text) AS text_md5 FROM t WHERE text <> ''",
     "s3_read_catalog": "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
     "s4_replace_chunks": f"{_C}, n AS (SELECT document_id, tag + 1 AS tag FROM t_chunks WHERE document_id % 5 = 0), u AS (SELECT index_version, tag FROM t_chunks WHERE document_id % 5 <> 0 UNION ALL SELECT 9, tag FROM n) SELECT index_version, count(*) AS n, CAST(sum(tag) AS BIGINT) AS tags FROM u GROUP BY 1",
@@ -305,11 +327,12 @@ d AS (SELECT id, p, unnest(string_split(p, ' ')) AS w FROM (SELECT DISTINCT id,
 r AS (SELECT id, p, round(sum(sc), 9) AS score FROM d JOIN sc USING (id, w) GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, length(p) DESC, p) AS k FROM r)
 SELECT id, string_agg(p, '|' ORDER BY k) AS keywords FROM k WHERE k <= 12 GROUP BY id"""
+SQL["s5_export_files"] = f"SELECT value FROM ({SQL['s5_export_bulk']})"
 SQL["g4_keywords_rake"] = SQL["g4_keywords_rake_rows"] = _RAKE
 
 QUERIES = {f.__name__: f for f in (
     t1_normalize_inline, t2_normalize_structured, t3_strip_html, t4_html_title, t5_chunk_uid, t6_content_hash, t7_context_cache_key, t8_preview, t9_content_type,
     t10_container_kind, t11_supported, t12_route_extractor, t13_sniff, t14_url_gate, t15_pad_vector, t16_vector_bytes, t17_lifetime_expiry, g1_chunk_pages, g2_tokenize,
-    g3_keywords_frequency, g4_keywords_rake, g4_keywords_rake_rows, g6_attach_vectors, g7_embedding_batches, g8_transcript, s1_read_documents, s2_read_html_pages,
-    s3_read_catalog, s4_replace_chunks, s5_export_bulk, s6_delete_index_rows, s7_upsert_index,
+    g3_keywords_frequency, g4_keywords_rake, g4_keywords_rake_rows, g6_attach_vectors, g7_embedding_batches, g8_transcript, s1_read_documents, s1_read_files, s2_read_html_pages,
+    s3_read_catalog, s4_replace_chunks, s5_export_bulk, s5_export_files, s6_delete_index_rows, s7_upsert_index,
 )}
