@@ -1,14 +1,17 @@
 """WARC archives of pages: writing, with revisits of equal payloads, and salvage reading.
 
 Each record is a gzip member of its own. The reader checks every member and record
-(compression, version line, header, length, end, block digest). After a failed check it
-searches for the next valid member or version line, goes on there, and logs the bytes
-between as a quarantined gap.
+(compression, version line, header, length, end, block digest), and reads members with
+several records as well. After a failed check it searches for the next valid member or
+version line, in the file or inside the member, goes on there, and logs the bytes between
+as a quarantined gap. Of a member that breaks off, the records before the break are kept.
 
 Defined results: null html is an empty payload; of rows with equal payloads of at least
 ``min_revisit`` bytes that with the smallest page_id is the response and the others
-revisit it; rows that share the smallest page_id are responses; a null url is left out
-of the header; an empty table gives no archive and no rows; other columns are ignored.
+revisit it; rows that share the smallest page_id, or have none, are responses; rows that
+share a page_id are told apart by their payloads; a null url is left out of the header;
+pages of any length are one record; an empty table gives no archive and no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -61,16 +64,23 @@ def record(page_id, url: str | None, payload: bytes, first=None) -> bytes:
 
 
 class Record(NamedTuple):
+    """offset, length: the record's bytes in the file, or those of its member for the first one of a
+    member (0 for the later ones); inner: its place in the unpacked member."""
+
     offset: int
     length: int
     headers: dict[str, str]
     block: bytes
+    inner: int = 0
 
 
 class Gap(NamedTuple):
+    """length counts bytes of the file, or, with an inner place, of the unpacked member at ``offset``."""
+
     offset: int
     length: int
     reason: str
+    inner: int | None = None
 
 
 def _parse(data: bytes, at: int) -> tuple[Record, int] | str:
@@ -101,41 +111,83 @@ def _parse(data: bytes, at: int) -> tuple[Record, int] | str:
     return Record(at, tail.end() - at, headers, block), tail.end()
 
 
+_BLOCK = 1 << 16
+
+
+def _unpack(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the gzip member at ``at`` holds, where it ends, and what is wrong with it. Bytes are fed
+    block by block, so a file of many members is read once."""
+    z, pos, out, view = zlib.decompressobj(31), at, [], memoryview(data)
+    try:
+        while not z.eof and pos < len(data):
+            out.append(z.decompress(view[pos : pos + _BLOCK]))
+            pos = min(len(data), pos + _BLOCK)
+    except zlib.error as e:
+        return b"".join(out), at, f"member does not decompress: {e}"
+    return b"".join(out), pos - len(z.unused_data), "" if z.eof else "member cut short"
+
+
+def _records(data: bytes) -> Iterator[Record | Gap]:
+    """The records of unpacked bytes and the gaps between them; offsets are places in ``data``."""
+    at, bad, why = 0, -1, ""
+    while at < len(data):
+        got = _parse(data, at)
+        if isinstance(got, str):
+            if bad < 0:
+                bad, why = at, got
+            m = _LINE.search(data, at + 1)
+            at = m.start() if m else len(data)
+            continue
+        if bad >= 0:
+            yield Gap(bad, at - bad, why)
+            bad = -1
+        yield got[0]
+        at = got[1]
+    if bad >= 0:
+        yield Gap(bad, len(data) - bad, why)
+
+
 def salvage(data: bytes) -> Iterator[Record | Gap]:
-    """The valid records of an archive, gzipped by record or plain, and the gaps between them."""
+    """The valid records of an archive, gzipped or plain, and the gaps between them."""
     at, bad, why = 0, -1, ""
+    line = -1  # the next version line, searched for once
     while at < len(data):
-        found: list[Record] = []
-        if data.startswith(_MAGIC, at):
-            z = zlib.decompressobj(31)
-            try:
-                plain = z.decompress(data[at:] if at == 0 and len(data) < 1 << 16 else memoryview(data)[at:])
-                said = "" if z.eof else "member cut short"
-            except zlib.error as e:
-                plain, said = b"", f"member does not decompress: {e}"
-            nxt = len(data) - len(z.unused_data) if not said else at
-            if not said and plain:
-                got = _parse(plain, 0)
-                if isinstance(got, str):
-                    said = got
-                else:
-                    found.append(Record(at, nxt - at, got[0].headers, got[0].block))
+        found: list[Record | Gap] = []
+        packed = data.startswith(_MAGIC, at)
+        if packed:
+            plain, nxt, said = _unpack(data, at)
+            inside = list(_records(plain))
+            some = any(isinstance(r, Record) for r in inside)
+            if said or (plain and not some):
+                said = said or inside[0].reason
+            length = 0 if said else nxt - at
+            for r in inside if some else ():
+                if isinstance(r, Record):
+                    found.append(Record(at, length, r.headers, r.block, r.offset))
+                    length = 0
+                elif not said:  # a broken member is a gap of the file
+                    found.append(Gap(at, r.length, r.reason, r.offset))
         else:
             got = _parse(data, at)
             said, nxt = (got, at) if isinstance(got, str) else ("", got[1])
             if not said:
                 found.append(got[0])
+        if bad >= 0 and found:
+            yield Gap(bad, at - bad, why)
+            bad = -1
+        yield from found
         if said:
             if bad < 0:
                 bad, why = at, said
-            m, g = _LINE.search(data, at + 1), data.find(_MAGIC, at + 1)
-            ways = [x for x in (m.start() if m else -1, g) if x >= 0]
-            at = min(ways) if ways else len(data)
+            if line <= at:
+                m = _LINE.search(data, at + 1)
+                line = m.start() if m else len(data)
+            g = data.find(_MAGIC, at + 1, line)
+            at = g if g >= 0 else line
             continue
-        if bad >= 0:
+        if bad >= 0:  # an empty member says that all is well again
             yield Gap(bad, at - bad, why)
             bad = -1
-        yield from found
         at = nxt
     if bad >= 0:
         yield Gap(bad, len(data) - bad, why)
@@ -181,12 +233,12 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = 0, per_file:
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     payload = F.coalesce("html", F.lit(""))
-    facts = keep(rows.select("page_id", F.sha1(payload).alias("digest")).where(F.octet_length(payload) >= min_revisit) if min_revisit else rows.select("page_id", F.sha1(payload).alias("digest")), "facts")
+    facts = keep(rows.where(F.octet_length(payload) >= min_revisit).select("page_id", F.sha1(payload).alias("digest")), "facts")
     shared = facts.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    again = keep(facts.join(shared, "digest").where("page_id > first").select("page_id", "first").distinct(), "again")
+    again = keep(facts.join(shared, "digest").where("page_id > first").select("page_id", "digest", "first").distinct(), "again")
     bits = pages.sparkSession.sparkContext.broadcast(membership(again, "page_id"))
     single = rows.mapInArrow(_members(bits), "value binary")
-    maybe = rows.mapInArrow(_only(bits), rows.schema).join(again, "page_id", "left").select("page_id", "url", "html", "first").mapInArrow(_members(), "value binary")
+    maybe = rows.mapInArrow(_only(bits), rows.schema).withColumn("digest", F.sha1(payload)).join(again, ["page_id", "digest"], "left").select("page_id", "url", "html", "first").mapInArrow(_members(), "value binary")
     single.unionByName(maybe).select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", per_file).option("encoding", "ISO-8859-1").option("lineSep", _BETWEEN).text(path)
 
 

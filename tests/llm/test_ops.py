@@ -94,6 +94,7 @@ def test_ngram_join_near_group_with_slots(spark, monkeypatch):
     from ragloom.llm import setjoin
 
     monkeypatch.setattr(setjoin, "SLOT", 7)
+    monkeypatch.setattr(setjoin, "BLOCK", 5)
     rng = random.Random(5)
     base = prose(rng, 120)
     texts = [near(rng, base, rng.randrange(0, 4)) for _ in range(60)] + [near(rng, base, 30) for _ in range(5)]
@@ -308,6 +309,45 @@ def test_salvage_recovers_later_records(packed):
     assert list(warc.salvage(b"")) == [] and isinstance(next(warc.salvage(b"\x00" * 10)), warc.Gap)
 
 
+def test_salvage_of_members_with_several_records():
+    recs = archive([(i, f"<p>{i}</p>".encode() * 50) for i in range(5)])
+    whole = gzip.compress(b"".join(recs), mtime=0)
+    out = list(warc.salvage(whole))
+    assert [r.headers["warc-record-id"] for r in out] == [f"<urn:page:{i}>" for i in range(5)] and sum(r.length for r in out) == len(whole)
+    # a bad first record hides none of those behind it, and leaves a gap inside the member
+    bad = recs[0].replace(b"<p>0</p>", b"<p>X</p>", 1)
+    out = list(warc.salvage(gzip.compress(bad + b"junk" + b"".join(recs[1:]), mtime=0) + gzip.compress(recs[0], mtime=0)))
+    assert [r.headers["warc-record-id"] for r in out if isinstance(r, warc.Record)] == [f"<urn:page:{i}>" for i in (1, 2, 3, 4, 0)]
+    assert [(g.offset, g.inner, g.length) for g in out if isinstance(g, warc.Gap)] == [(0, 0, len(bad) + 4)]
+    # what a member held before it broke off is kept; the member is a gap
+    rng = random.Random(2)
+    long = archive([(i, rng.randbytes(300_000)) for i in range(4)])
+    cut = gzip.compress(b"".join(long), mtime=0)[:800_000]
+    out = list(warc.salvage(cut + gzip.compress(recs[4], mtime=0)))
+    assert [r.headers["warc-record-id"] for r in out if isinstance(r, warc.Record)] == ["<urn:page:0>", "<urn:page:1>", "<urn:page:4>"]
+    assert [(g.offset, g.length) for g in out if isinstance(g, warc.Gap)] == [(0, len(cut))]
+
+
+def test_salvage_time_is_linear():
+    import time
+
+    rng = random.Random(3)
+    rec = gzip.compress(archive([(1, rng.randbytes(34_000))])[0], 1, mtime=0)
+    data = rec * 2000
+    began = time.process_time()
+    assert sum(isinstance(r, warc.Record) for r in warc.salvage(data)) == 2000
+    assert time.process_time() - began < 8
+
+
+def test_warc_repeated_page_ids(spark):
+    rows = [(3, "A"), (4, "B"), (5, "A"), (5, "B"), (5, "C"), (None, "A"), (7, "D"), (7, "D")]
+    pages = spark.createDataFrame([(i, None, h) for i, h in rows], "page_id long, url string, html string")
+    got = Counter((r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect())
+    sha = {h: warc.digest(h.encode()) for h in "ABCD"}
+    want = [(3, "A", "response", None), (4, "B", "response", None), (5, "A", "revisit", 3), (5, "B", "revisit", 4), (5, "C", "response", None), (None, "A", "response", None), (7, "D", "response", None), (7, "D", "response", None)]
+    assert got == Counter((i, sha[h], k, f) for i, h, k, f in want)
+
+
 def repeat_words(w):
     seen = defaultdict(list)
     for i in range(len(w) - 7):
@@ -386,13 +426,30 @@ def test_line_dedup(spark):
     d = docs_of(spark, texts, extra=True)
     out = {r["doc_id"]: r for r in line_dedup.remove_boilerplate(d, min_sites=12).collect()}
     assert out[3]["text"] == "body 3 is long enough to stay as it is, and longer than both notices" and out[3]["n_removed"] == 2
-    assert [out[i]["text"] for i in range(24, 29)] == texts[24:] and out[24]["n_lines"] == 0
+    assert [out[i]["text"] for i in (24, 25, 26, 28)] == [None, "", "\n\n", "only on\none site"] and out[24]["n_lines"] == 0
+    assert (out[27]["text"], out[27]["n_removed"]) == ("", 1)
+    left = {r["doc_id"]: r for r in line_dedup.remove_boilerplate(d, min_sites=12, max_share=0.5).collect()}
+    assert (left[27]["text"], left[27]["n_removed"]) == (texts[27], 0) and left[3]["text"] == out[3]["text"]
     assert all(r["n_removed"] == 0 for r in line_dedup.remove_boilerplate(d, min_sites=13).collect())
     lone = d.withColumn("source", F.lit(None).cast("string"))
     assert all(r["n_removed"] == 0 for r in line_dedup.remove_boilerplate(lone).collect())
     assert line_dedup.remove_boilerplate(empty_docs(spark)).count() == 0
 
 
+def test_line_dedup_removes_large_shares_and_takes_any_column(spark):
+    """Six shared lines of seven on 40 sites all go; names of ours as extra columns, repeated rows and ties do no harm."""
+    shared = [f"Shared line {k} of all sites" for k in range(6)]
+    rows = [(i, "\n".join([*shared, f"own {i}"]), f"s{i}", 1, "x", "y", None) for i in range(40)]
+    rows += [rows[0], *((100 + i, "exactly ten sites", f"s{i}", 1, "x", "y", None) for i in range(10)), *((200 + i, "only nine sites", f"s{i}", 1, "x", "y", None) for i in range(9))]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, row int, gone string, stay string, rest int")
+    out = line_dedup.remove_boilerplate(d)
+    assert out.columns == [*d.columns, "n_lines", "n_removed"]
+    got = out.collect()
+    assert len(got) == len(rows) and all(r["row"] == 1 and r["gone"] == "x" and r["stay"] == "y" and r["rest"] is None for r in got)
+    assert all((r["text"], r["n_removed"]) == (f"own {r['doc_id']}", 6) for r in got if r["doc_id"] < 100)
+    assert all(r["text"] == ("" if r["doc_id"] < 200 else "only nine sites") for r in got if r["doc_id"] >= 100)
+
+
 PAGE = """<!DOCTYPE html><html lang=en><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><a href=/>Site name</a></header><nav><ul><li><a href=/a>Menu one</a><li><a href=/b>Menu two</a></ul></nav><!-- <p>no</p> --><div class="ad">Buy this now. Very cheap, really.</div>
 <div class="cookie-notice"><p>We use cookies. They are good.</p></div><article><h1>A &amp; B</h1><p><b>First  paragraph, with
