@@ -6,9 +6,12 @@ estimate lies near the threshold get an exact distinct count; lines seen on
 
 Defined results: a line is compared without blanks, tabs and carriage returns at its
 ends, case-sensitively; blank lines are never boilerplate; a null site is no site; a
-null text stays null; a text of which more than ``max_share`` of the characters would
-go is a copy rather than a carrier of boilerplate and is left to near-copy removal.
-Extra columns are kept as they are.
+null text stays null; a text that is all boilerplate becomes empty; rows that repeat
+count once a site, and are cut alike; a count that equals ``min_sites`` goes; an empty
+table gives no rows. Extra columns are kept as they are, whatever their names, but
+n_lines and n_removed are replaced. With ``max_share`` (off by default) a text of which
+more than that share of the characters would go is taken for one of many copies and left
+whole, for a near-copy removal that comes later.
 """
 
 from __future__ import annotations
@@ -19,10 +22,11 @@ from pyspark.sql import functions as F
 from .common import keep
 
 MIN_SITES = 10
-MAX_SHARE = 0.5
 #: Registers of a sketch as a power of two, its relative standard error, and the width of
 #: the band around the threshold, in errors, in which exact counts decide.
 LG_K, ERROR, WIDTH = 10, 1.04 / 32, 5.0
+#: Boilerplate lines (16 bytes each) up to which they are broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def _lines(docs: DataFrame, site: str) -> DataFrame:
@@ -56,22 +60,27 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return spread.where(F.col("sites") > high).select("h1", "h2").unionByName(exact.select("h1", "h2"))
 
 
-def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, max_share: float | None = None) -> DataFrame:
     """``docs`` with boilerplate lines cut out of ``text``, and n_lines and n_removed
     (columns of these names in ``docs`` are replaced)."""
     lines = keep(_lines(docs, site), "lines")
-    gone = lines.join(boilerplate(lines, min_sites), ["h1", "h2"], "left_semi").groupBy("row").agg(F.collect_set("no").alias("__gone")).withColumnRenamed("row", "__row")
-    named = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    return (
-        named.join(gone, "__row", "left")
-        .withColumn("__gone", F.coalesce("__gone", F.array().cast("array<int>")))
-        .withColumn("__parts", F.split("text", "\n", -1))
-        .withColumn("__stay", F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), "__gone"))
-        .withColumn("__text", F.when(F.size("__gone") == 0, F.col("text")).otherwise(F.array_join(F.transform("__stay", lambda i: F.element_at("__parts", i + 1)), "\n")))
-        .withColumn("__cut", F.length("__text") >= F.length("text") * (1 - max_share))
-        .select(
-            *[F.when(F.col("__cut"), F.col("__text")).otherwise(F.col("text")).alias("text") if c == "text" else c for c in docs.columns if c not in ("n_lines", "n_removed")],
-            F.when(F.col("text").isNull(), 0).otherwise(F.size("__parts")).cast("long").alias("n_lines"),
-            F.when(F.col("__cut"), F.size("__gone")).otherwise(0).cast("long").alias("n_removed"),
-        )
+    common = keep(boilerplate(lines, min_sites), "boilerplate")
+    few = F.broadcast if common.count() <= BROADCAST_ROWS else (lambda x: x)
+    gone = lines.join(few(common), ["h1", "h2"], "left_semi").groupBy("row").agg(F.collect_set("no").alias("gone"))
+    # the columns of ``docs`` travel in a struct, where no name of ours can clash with theirs
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
+    text, parts = F.col("d.text"), F.split("d.text", "\n", -1)
+    cut = (
+        rows.join(gone, "row", "left")
+        .withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+        .withColumn("stay", F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "gone"))
+        .withColumn("rest", F.when(F.size("gone") == 0, text).otherwise(F.array_join(F.transform("stay", lambda i: F.element_at(parts, i + 1)), "\n")))
+    )
+    if max_share is not None:
+        cut = cut.withColumn("whole", F.length("rest") < F.length(text) * (1 - max_share))
+        cut = cut.withColumn("rest", F.when(F.col("whole"), text).otherwise(F.col("rest"))).withColumn("gone", F.when(F.col("whole"), F.array().cast("array<int>")).otherwise(F.col("gone")))
+    return cut.select(
+        *[F.col("rest").alias("text") if c == "text" else F.col(f"d.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
+        F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
+        F.size("gone").cast("long").alias("n_removed"),
     )

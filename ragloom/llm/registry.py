@@ -103,8 +103,5 @@ t AS (
               ELSE coalesce(array_to_string([parts[i + 1] FOR i IN range(len(parts)) IF NOT list_contains(g.gone, i)], chr(10)), '') END AS cut
   FROM d LEFT JOIN g USING (doc_id)
 )
-SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_lines,
-       CAST(CASE WHEN length(cut) >= length(text) * 0.5 THEN k ELSE 0 END AS BIGINT) AS n_removed,
-       CASE WHEN length(cut) >= length(text) * 0.5 THEN cut ELSE text END AS text
-FROM t
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_lines, CAST(k AS BIGINT) AS n_removed, cut AS text FROM t
 """
