@@ -19,8 +19,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cross-site boilerplate lines are cut out of the texts."""
-    return line_dedup.remove_boilerplate(docs).select(docs.columns)
+    """Cross-site boilerplate lines are cut out of the texts. Texts of which more than half
+    would go are left for the next stage, which keeps one whole text of each group of copies."""
+    return line_dedup.remove_boilerplate(docs, max_share=0.5).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
