@@ -9,7 +9,9 @@ of declarations and addresses come from grouped aggregations over all rows.
 
 Defined results: without text, the other evidence decides; without any evidence, the
 prior; if no labelled document exists, lang is 'und' and prob 0; a null host has the
-prior of the corpus; repeated rows are judged alike.
+prior of the corpus; of languages that score alike the first by code wins; texts of any
+length are read whole; repeated rows are judged alike and each counts in the priors, but
+once in the training sample; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, buffers, keep, mix
@@ -29,6 +31,9 @@ SAMPLE, CLASSES, STRENGTH, TEMPER = 2000, 1 << 15, 5.0, 0.2
 #: Country suffixes that speak for a language.
 SUFFIX_LANG = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "ie": "en", "au": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl"}
 
+#: Second labels that, before a country suffix, belong to the suffix: fixed values.
+SHARED_LABELS = ("ac", "co", "com", "edu", "gob", "gov", "ne", "net", "or", "org")
+
 _TEXTLESS = re.compile(r"(?is)<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^<>]*+>")
 _UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)"
 _B = mix(np.arange(1, 769, dtype=U64)).reshape(3, 256)
@@ -44,27 +49,30 @@ def _classes(data: np.ndarray) -> np.ndarray:
 
 def _counts(batches):
     for b in batches:
-        data, off = buffers(b.column(1))
+        data, off = buffers(b.column(2))
         n = []
         for i in range(len(off) - 1):
             d = data[off[i] : off[i + 1]]
             c = np.bincount(_classes(d), minlength=CLASSES) if len(d) > 2 else np.zeros(CLASSES, np.int64)
             at = np.flatnonzero(c)
             n.append(at.astype("<i4").tobytes() + c[at].astype("<i4").tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.binary())], ["lang", "n"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.binary())], ["lang", "row", "n"])
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray] | None:
     """Languages and log-probabilities (CLASSES, languages) from at most ``sample``
     documents with a language, the first by a hash of doc_id."""
+    labelled = docs.where("lang is not null and text is not null").select(
+        F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", F.col("text").cast("string"), "lang").alias("row"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id").alias("h")
+    )
+    # ids are picked first: no task ever holds the texts of more than its share of the sample
+    picked = keep(labelled.select("h", "row").distinct().orderBy("h", "row").limit(sample).select("row"), "sample")
     rows = (
-        docs.where("lang is not null and text is not null")
-        .select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), "doc_id")
-        .withColumn("h", F.xxhash64("doc_id"))
-        .orderBy("h", "doc_id")
-        .limit(sample)
-        .select("lang", "text")
-        .mapInArrow(_counts, "lang string, n binary")
+        labelled.join(F.broadcast(picked), "row", "left_semi")  # ``sample`` rows at most
+        .select("lang", "row", "text")
+        .mapInArrow(_counts, "lang string, row long, n binary")
+        .dropDuplicates(["row"])
+        .select("lang", "n")
         .toArrow()
     )
     total: dict[str, np.ndarray] = {}
@@ -102,6 +110,13 @@ def _scored(model, html: bool):
     return run
 
 
+def _registered(parts) -> Column:
+    """The registered domain of a host's labels: the last two, or three below a suffix like co.uk."""
+    shared = (F.length(F.try_element_at(parts, F.lit(-1))) == 2) & F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit("")).isin(*SHARED_LABELS)
+    labels = F.when(shared, 3).otherwise(2)
+    return F.array_join(F.slice(parts, F.greatest(F.size(parts) - labels + 1, F.lit(1)), labels), ".")
+
+
 def evidence(pages: DataFrame | None, docs: DataFrame | None) -> list[tuple[DataFrame, bool]]:
     """The rows to judge: (kind, doc_id, page_id, host, domain, declared, address, text) of each table.
 
@@ -125,7 +140,7 @@ def evidence(pages: DataFrame | None, docs: DataFrame | None) -> list[tuple[Data
             null.cast("long").alias("doc_id"),
             F.col("page_id").cast("long").alias("page_id"),
             host.alias("host"),
-            F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), ".").alias("domain"),
+            _registered(parts).alias("domain"),
             F.when(declared != "", declared).alias("declared"),
             F.coalesce(F.when(segment != "", segment), F.try_element_at(ends, F.element_at(parts, -1))).alias("address"),
             html.alias("text"),

@@ -508,6 +508,66 @@ def test_language_evidence(spark):
     assert language_id.identify(p.limit(0), d.limit(0), d).count() == 0
 
 
+def test_language_fusion_equals_brute_force(spark):
+    """Text scores are the model's; priors, likelihoods and their fusion are worked out anew from the rows."""
+    rng = random.Random(16)
+    vocab = {"en": "the of and with this that from".split(), "de": "der die und mit nicht auch".split(), "fr": "le les des est dans pour".split()}
+    prose_in = lambda x, n: " ".join(rng.choice(vocab[x]) for _ in range(n))
+    docs = [(i, None if i == 7 else prose_in(x, 30), x, [None, "s1", "s2"][i % 3], 1) for i, x in enumerate(["en", "de", "fr"] * 8)]
+    d = spark.createDataFrame([*docs, docs[0], docs[0]], DOCS)
+    hosts = ["a.one.co.uk", "b.one.co.uk", "www.two.co.uk", "x.three.de", "y.three.de", None]
+    pages = []
+    for i in range(40):
+        x, h = rng.choice(list(vocab)), hosts[i % 6]
+        lang = rng.choice(["", f' lang="{x}"', ' lang="zz"'])
+        body = prose_in(x, rng.choice([0, 1, 12]))
+        pages.append((i, None if h is None else f"http://{h}/{rng.choice(['', 'de/', 'en-us/x', 'page/'])}", f"<html{lang}><p>{body}</p></html>" if i % 9 else None, i, "k"))
+    p = spark.createDataFrame([*pages, pages[1]], "page_id long, url string, html string, score int, lang string")
+    langs, logp = language_id.train(d)
+    rows = []
+    for page, url, html, *_ in [*pages, pages[1]]:
+        host = re.match(r"http://([^/]+)", url)[1] if url else None
+        seg = re.match(r"http://[^/]+/([a-z]{2})(?:-[a-z]{2})?(?:/|$)", url or "")
+        labels = host.split(".") if host else []
+        domain = ".".join(labels[-3:] if labels[-2:] == ["co", "uk"] else labels[-2:]) if host else None
+        tag = re.match(r'<html lang="(\w+)"', html or "")
+        text = re.sub("<[^>]*>", " ", html) if html else None
+        rows.append((("page", page), host, domain, tag and tag[1], seg[1] if seg else language_id.SUFFIX_LANG.get(labels[-1]) if host else None, text))
+    rows += [(("document", i), s and f"source:{s}", "source:", None, None, t) for i, t, _, s, _ in [*docs, docs[0], docs[0]]]
+
+    def loglik(t):
+        b = np.frombuffer((t or "").encode(), np.uint8)
+        return logp[language_id._classes(b)].sum(0, dtype=float) if len(b) > 2 else np.zeros(len(langs))
+
+    scored = [(*r[:5], loglik(r[5])) for r in rows]
+    best = [langs[int(v.argmax())] if v.any() else None for *_, v in scored]
+    every = np.array([best.count(x) for x in langs], float)
+    k = language_id.STRENGTH
+    top = (every + k / len(langs)) / (every.sum() + k)
+
+    def tally(col, value):
+        return np.array([sum(b == x for r, b in zip(scored, best) if r[col] == value) for x in langs], float)
+
+    want = {}
+    for key, host, domain, declared, address, v in scored:
+        prior = top
+        if host is not None:
+            n = tally(2, domain)
+            up = (n + k * top) / (n.sum() + k)
+            n = tally(1, host)
+            prior = (n + k * up) / (n.sum() + k)
+        score = v * language_id.TEMPER + np.log(prior)
+        for col, value in ((3, declared), (4, address)):
+            if value is not None and tally(col, value).sum():
+                score = score + np.log((tally(col, value) + 0.5) / (every + 0.5 * len(langs)))
+        want[key] = (langs[int(score.argmax())], 1 / np.exp(score - score.max()).sum())
+    got = language_id.identify(p, d, d).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        lang, prob = want[r["kind"], r["page_id"] if r["kind"] == "page" else r["doc_id"]]
+        assert r["lang"] == lang and abs(r["prob"] - prob) < 1e-6
+
+
 def test_language_beyond_a_prefix_and_many_languages(spark):
     codes = [f"{a}{b}" for a in "abcdefghz" for b in "abcdefghi"] + ["zzh"]
     d = spark.createDataFrame([(i, " ".join(f"{x}{x}{k}q{x}" for k in "abcdefgh") * 3, x, "s", 1) for i, x in enumerate(codes * 2)], DOCS)
