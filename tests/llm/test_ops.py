@@ -383,6 +383,31 @@ def test_crf_separates_held_out_documents(spark):
     assert rows.columns == d.columns and {r["doc_id"] for r in rows.collect()} == kept
 
 
+def test_crf_labels_lines_within_texts(spark):
+    """Common lines inside good texts are boilerplate, their neighbours content; copies of a text do not make its lines common."""
+    rng = random.Random(17)
+    common = [f"{prose(rng, n).capitalize()}." for n in (9, 14, 20)]
+    good, marks = [], []
+    for i in range(90):
+        lines = [(f"{prose(rng, rng.randrange(8, 30)).capitalize()}.", "C") for _ in range(rng.randrange(3, 7))]
+        if i < 60:
+            lines.insert(rng.randrange(len(lines) + 1), (common[i % 3], "B"))
+        good.append("\n".join(x for x, _ in lines))
+        marks.append("".join(m for _, m in lines))
+    bad = [" ".join(f"{w}###" for w in prose(rng, 60).split()) for _ in range(40)]
+    texts = good + bad + [good[70]] * 30
+    labels = spark.createDataFrame([(i, int(i < len(good)), 0) for i in range(len(good) + len(bad)) if i % 2], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.judge(docs_of(spark, texts), labels).collect()}
+    assert all(got[i]["line_labels"] == marks[i] for i in range(len(good)))
+    assert all(got[i]["line_labels"] == "B" and not got[i]["kept"] for i in range(len(good), len(good) + len(bad)))
+    for i, t in enumerate(texts):
+        n = [len(x.split()) for x in t.split("\n")]
+        share = sum(k for k, m in zip(n, got[i]["line_labels"]) if m == "C") / sum(n)
+        assert abs(got[i]["content_share"] - share) < 1e-9 and got[i]["kept"] == (not got[i]["base_failed"] and share >= quality.MIN_SHARE)
+    own = Counter(x for t in good[:60] for x in t.split("\n"))
+    assert len(quality.common_lines(docs_of(spark, texts))) == sum(n >= 10 for n in own.values()) == 3
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
     for n in (1, 2, 6):
