@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -516,6 +517,63 @@ def test_html_returns_all_that_is_selected():
     assert got.count("Paragraph") == 6 and "The lead" in got
 
 
+def test_html_words_of_names_and_odd_markup():
+    for attrs in ('class="side-effects"', 'id="comment-on-budget"', 'id="search-algorithms"', 'class="social-history"', 'id="related-work"', 'class="menu-of-the-day"'):
+        part = f"<div {attrs}><h2>Sub</h2><p>Inner words, here.</p><ul><li>x</ul></div>{BODY}<p {attrs}>Short.</p>"
+        got = html_extract.extract(f"<article><h1>T</h1>{BODY}{part}</article>").split("\n")
+        assert len(got) == 17 and {"Sub", "Inner words, here.", "x", "Short."} <= set(got), attrs
+    cases = {
+        '<p title="x < y">Text.</p>': "Text.",
+        "<p data-x=it's>Text.</p>": "Text.",
+        '<p title="a>b" class=\'c>d\'>Text.</p>': "Text.",
+        "<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x = 2</annotation></math>, then.</p>": "So x=2, then.",
+        "<xmp><b>raw & kept</b></xmp>": "<b>raw & kept</b>",
+        "<script>a</scripty></script foo><p>Text.</p>": "Text.",
+        "<p>a<!-->b<!-- c --!>d.</p>": "abd.",
+        "<p>1 &lt; 2 &amp;amp; &#x41;.</p>": "1 < 2 &amp; A.",
+    }
+    for page, text in cases.items():
+        assert html_extract.extract(page) == text, page
+    links = '<h3>Read more</h3><ul><li>Link list</li><li><a href="/x">Other thing</a></li></ul>'
+    for page in (f"<div>{BODY}{links}</div>", f"<article>{BODY}<ul><li><a href=/y>Another, thing.</a></li></ul></article>"):
+        assert html_extract.extract(page).count("\n") == 5
+    assert html_extract.extract(f"<form>{BODY}</form>").count("\n") == 5
+
+
+def test_html_path_scores_equal_brute_force():
+    rng = random.Random(8)
+    for _ in range(20):
+        page = "".join(rng.choice(["<div class=a>", "<div>", "</div>", "<p>", "<ul><li>", "</ul>", "<h2>", "</h2>", "Some words, and more. ", "short ", "<a href=x>A link. </a>", "<p class=menu>"]) for _ in range(80))
+        _, blocks = html_extract.parse(page)
+        weights = [b.node.weight for b in blocks]
+        got = html_extract.path_scores(blocks, weights)
+
+        def path(n):
+            return (*path(n.parent), n.path) if n.parent else (n.path,)
+
+        paths = [path(b.node) for b in blocks]
+        ratio = []
+        for p in paths:
+            mine = [b for q, b in zip(paths, blocks) if q == p]
+            marks = sum(len(re.findall("[.,;:!?]", b.text)) for b in mine if b.linked < b.size)
+            ratio.append((sum(b.size - b.linked for b in mine) / len(mine), (marks + 0.1) / len(mine)))
+        for i, b in enumerate(blocks):
+            total, of = 0.0, [j for j, p in enumerate(paths) if p == paths[i]]
+            for j in of:
+                near = [(np.exp(-((j - k) ** 2) / 2), *ratio[k]) for k in range(len(blocks)) if abs(j - k) <= html_extract.REACH]
+                mass = sum(x[0] for x in near)
+                total += np.sqrt(sum(x[0] * x[1] for x in near) / mass * sum(x[0] * x[2] for x in near) / mass) * weights[j]
+            assert got[b.node.path] == pytest.approx(total / len(of))
+
+
+def test_html_time_is_linear():
+    n = 50_000
+    for page in ("<div>" * n + "deep", "<center>" * n + "<ul>" + "<li>a" * n, "<article>" * n + "x, y.", "<article><p>a, b.</p></article>" * n, '<p a="' * n, "<!--" * n):
+        began = time.time()
+        html_extract.extract(page)
+        assert time.time() - began < 10
+
+
 def test_language_evidence(spark):
     rng = random.Random(6)
     vocab = {"en": "the of and with this that from have were which".split(), "de": "der die und mit nicht auch werden eine sich über".split(), "fr": "le les des est dans pour avec une être où".split()}
