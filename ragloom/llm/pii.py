@@ -1,9 +1,9 @@
 """Personal data: pattern spans, and information-theoretic sanitisation of revealing terms.
 
-Base spans (email, ip, card, phone) come from patterns with checks. Each distinct value is
-a protected entity. Over the corpus, lines are contexts: a term that stands in a line with
-an entity discloses it to the degree of their pointwise mutual information, relative to
-the entity's information content,
+Base spans (email, ip, card, phone) come from patterns with checks, and so do assignments of
+secrets (token = "..."). Each distinct value is a protected entity. Over the corpus, lines
+are contexts: a term that stands in a line with an entity discloses it to the degree of
+their pointwise mutual information, relative to the entity's information content,
 
     disclosure = PMI(entity; term) / IC(entity) = 1 + log P(entity | term) / -log P(entity),
 
@@ -11,14 +11,16 @@ with probabilities from co-occurrence counts over all lines. Low counts are smoo
 cut: P(entity | term) leans towards P(pool | term) P(entity | pool), and P(pool | term)
 towards P(pool), where the pool of an address is its domain, and that of another entity
 its kind. Terms whose disclosure reaches the threshold become spans of kind ``term``
-wherever they occur, and ``sanitise`` generalises them like the base spans.
+wherever they occur; in the sanitised text all spans are generalised to their kind.
 
 DataFrame functions only: no Python runs on the executors.
 
 Defined results: null text is empty and has no spans; positions are code points, ends
-exclusive; matches that fail their check are dropped without retries; copies of a line
-count as occurrences; repeated rows are judged alike; other columns are
-ignored.
+exclusive; matches that fail their check are dropped without retries; a value matched twice
+in a line counts once there, copies of a line count each; terms have ``TERM_CHARS``
+characters at least and are no mere numbers; a disclosure that equals the threshold is
+enough; repeated rows are judged alike; an empty table gives no rows; texts of any
+length are searched whole, in nearly linear time; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import keep
 
-KINDS = ("email", "ip", "card", "phone")
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
 #: Java forms of the base patterns that find the same leftmost, non-overlapping matches in
 #: linear time: a run is entered at its start only (or where the last match ended), and
 #: repetition is possessive where the next character decides.
@@ -37,9 +40,10 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
     "card": r"(?:\G|(?<![0-9])(?<![0-9][ -]))[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+    "secret": r"(?i)(?<![a-z0-9])(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|private[_-]?key)\b[\"']?+[ \t]*+[=:][ \t]*+[\"']?+[a-z0-9+/=_.~-]{16,}+",
 }
 #: Cheap tests that a text without a match mostly fails.
-HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){15}", "phone": r"\+[0-9]"}
+HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){15}", "phone": r"\+[0-9]", "secret": r"[=:][ \t]*[\"']?[A-Za-z0-9+/=_.~-]{16}"}
 #: Least disclosure, pseudo-counts of a prior, least length of a term.
 DISCLOSURE, PRIOR, TERM_CHARS = 0.9, 0.5, 3
 BROADCAST_ROWS = 200_000
@@ -72,24 +76,46 @@ def _valid(kind: str, x: Column) -> Column:
 
 
 SPAN = "array<struct<start:int,end:int,value:string>>"
+#: Items that are folded into one list at a time: lists of lists keep the copying small.
+FOLD = 256
 
 
-def matches(text: Column, kind: str) -> Column:
-    """Valid spans of a kind: array of (start, end, value). Positions follow from the lengths of
-    the matches and of what lies between them."""
-    p = PATTERNS[kind]
-    found = F.regexp_extract_all(text, F.lit(p), F.lit(0))
-    between = F.split(text, p, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+def _blocks(items: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / FOLD).cast("int")), lambda i: F.slice(items, i * FOLD + 1, F.lit(FOLD)))
+
+
+def _let(value: Column, f) -> Column:
+    """f(value), with value evaluated once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _pairs(text: Column, pattern: Column) -> Column:
+    """The matches, each with the length of what lies before it."""
+    hits = F.regexp_extract_all(text, pattern, F.lit(0))
+    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(hits))
+    return F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit")))
+
+
+def _placed(pairs: Column) -> Column:
+    """(start, end, value) of each match: positions are running sums, blocks are folded one after the other."""
 
     def step(acc, m):
-        s = acc["at"] + F.length(m["gap"])
+        s = acc["at"] + m["gap"]
         e = s + F.length(m["hit"])
-        one = F.array(F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"), m["hit"].alias("value")))
-        return F.struct(e.cast("int").alias("at"), F.when(_valid(kind, m["hit"]), F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
+        return F.struct(e.alias("at"), F.concat(acc["spans"], F.array(F.struct(s.alias("start"), e.alias("end"), m["hit"].alias("value")))).alias("spans"))
+
+    def block(acc, part):
+        inner = F.aggregate(part, F.struct(acc["at"].alias("at"), F.array().cast(SPAN).alias("spans")), step)
+        return _let(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["done"], F.array(x["spans"])).alias("done")))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("done"))
+    return F.when(F.size(pairs) == 0, F.array().cast(SPAN)).otherwise(F.flatten(F.aggregate(_blocks(pairs), start, block)["done"]))
 
-    pairs = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("hit"))
-    return F.when(text.rlike(HINTS[kind]), F.aggregate(pairs, start, step)["spans"]).otherwise(F.array().cast(SPAN))
+
+def matches(text: Column, kind: str) -> Column:
+    """Valid spans of a kind: array of (start, end, value)."""
+    spans = F.filter(_let(_pairs(text, F.lit(PATTERNS[kind])), _placed), lambda s: _valid(kind, s["value"]))
+    return F.when(text.rlike(HINTS[kind]), spans).otherwise(F.array().cast(SPAN))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -109,8 +135,8 @@ def _terms(line: Column) -> Column:
     return F.filter(F.array_distinct(words), lambda w: F.length(w) >= TERM_CHARS)
 
 
-def _entities(kind: str) -> Column:
-    return F.transform(kind, lambda s: F.concat(F.lit(kind + ":"), F.lower(s["value"])))
+def _entities(line: Column, kind: str) -> Column:
+    return F.transform(matches(line, kind), lambda s: F.concat(F.lit(kind + ":"), F.lower(s["value"])))
 
 
 def _pool(entity: Column) -> Column:
@@ -127,11 +153,10 @@ def revealing_terms(docs: DataFrame, spans: DataFrame, disclosure: float = DISCL
 
     docs: (doc_id, text); spans: base_spans of them, with only rows that have some.
     """
-    # contexts with entities: a row for each entity and line
-    values = F.array_distinct(F.flatten(F.array(*[_entities(k) for k in KINDS])))
-    lines = spans.select(values.alias("values"), F.explode(F.split("text", "\n", -1)).alias("line"))
-    inside = F.filter("values", lambda v: F.contains(F.lower("line"), F.regexp_replace(v, "^[a-z]+:", "")))
-    held = lines.select(F.explode(inside).alias("entity"), "line")
+    # contexts with entities: no match spans lines, so each line is searched for its own
+    lines = spans.select(F.explode(F.split("text", "\n", -1)).alias("line"))
+    lines = lines.select("line", F.array_distinct(F.flatten(F.array(*[_entities(F.col("line"), k) for k in KINDS]))).alias("values"))
+    held = lines.select(F.explode("values").alias("entity"), F.regexp_replace("line", PATTERNS["secret"], " ").alias("line"))
     # addresses of one domain, and the values of any other kind, pool their evidence
     held = keep(held.select(F.xxhash64("entity").alias("entity"), F.xxhash64(_pool(F.col("entity"))).alias("pool"), "line"), "contexts")
     entities = held.groupBy("entity", "pool").agg(F.count("*").alias("n_entity"))
@@ -165,17 +190,7 @@ def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     longest = F.transform(F.array_sort(F.transform("terms", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda x: x["t"])
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{Nd}])(?<![\p{L}\p{Nd}][_'-]{1,9})(?:"), F.array_join(longest, "|"), F.lit(r")(?![_'-]*[\p{L}\p{Nd}])"))
     found = rows.join(held, "row").withColumn("pattern", pattern)
-    hits = F.regexp_extract_all("text", F.col("pattern"), F.lit(0))
-    pairs = F.arrays_zip(F.slice(F.split("text", F.col("pattern"), -1), 1, F.size(hits)).alias("gap"), hits.alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-
-    def step(acc, m):
-        s = acc["at"] + F.length(m["gap"])
-        e = s + F.length(m["hit"])
-        one = F.array(F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"), m["hit"].alias("value")))
-        return F.struct(e.cast("int").alias("at"), F.concat(acc["spans"], one).alias("spans"))
-
-    return found.select("row", F.aggregate(pairs, start, step)["spans"].alias("term")).dropDuplicates(["row"])
+    return found.select("row", _let(_pairs(F.col("text"), F.col("pattern")), _placed).alias("term")).dropDuplicates(["row"])
 
 
 def find(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -191,28 +206,42 @@ def find(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """doc_id, counts, base_sha256 and spans of what ``find`` returns."""
-    base = F.flatten(F.array(*[_digest(k, F.col(k)) for k in KINDS]))
+    """doc_id, counts, base_sha256, spans and the sanitised text of what ``find`` returns."""
+    base = F.flatten(F.array(*[_digest(k, F.col(k)) for k in BASE]))
+    more = [k for k in (*KINDS, "term") if k not in BASE]
     return found.select(
         "doc_id",
-        *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
-        F.array_join(F.concat(base, _digest("term", F.col("term"))), ",").alias("spans"),
-        F.size("term").cast("long").alias("n_term"),
+        F.array_join(F.concat(base, *[_digest(k, F.col(k)) for k in more]), ",").alias("spans"),
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in more],
+        sanitised().alias("sanitised"),
     )
 
 
-def sanitise(found: DataFrame) -> DataFrame:
-    """doc_id and the text with every span generalised to its kind; of overlapping spans the
-    first (then the longest) counts."""
-    every = F.array_sort(
-        F.flatten(F.array(*[_marks(k) for k in (*KINDS, "term")]))
-    )
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def sanitised() -> Column:
+    """The text of what ``find`` returns with every span generalised to its kind; of overlapping
+    spans the first (then the longest) counts. Each block of spans is cut out of the text first, so
+    no span is counted from the text's start."""
+    every = F.array_sort(F.flatten(F.array(*[_marks(k) for k in (*KINDS, "term")])))
 
-    def step(acc, s):
-        piece = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]"))
-        return F.when(s["start"] < acc["at"], acc).otherwise(F.struct((-s["neg"]).alias("at"), piece.alias("out")))
+    def block(acc, part):
+        end = F.greatest(acc["at"], F.array_max(F.transform(part, lambda s: -s["neg"])))
+        piece = F.substring(F.col("text"), acc["at"] + 1, end - acc["at"])
 
-    done = F.aggregate(every, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return found.select("doc_id", done.alias("text"))
+        def step(a, s):
+            start = s["start"] - acc["at"]
+            cut = F.array(F.substring(a["text"], a["at"] + 1, start - a["at"]), F.concat(F.lit("["), s["kind"], F.lit("]")))
+            return F.when(start < a["at"], a).otherwise(F.struct((-s["neg"] - acc["at"]).alias("at"), F.concat(a["out"], cut).alias("out"), a["text"].alias("text")))
+
+        inner = F.aggregate(part, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"), piece.alias("text")), step)
+        return _let(inner, lambda x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(F.array_join(x["out"], ""))).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    whole = F.aggregate(_blocks(every), start, block, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    return F.when(F.size(every) == 0, F.col("text")).otherwise(whole)
+
+
+def sanitise(found: DataFrame) -> DataFrame:
+    """doc_id and the sanitised text of what ``find`` returns."""
+    return found.select("doc_id", sanitised().alias("text"))

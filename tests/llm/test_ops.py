@@ -274,6 +274,48 @@ def test_entities_seen_once_are_scored(spark):
     assert "term:12:21" in rows[0] and "term:36:43" in rows[2] and rows[3] == "" and all(rows[4 + i] == "" for i in range(80))
 
 
+def test_disclosure_equals_brute_force(spark):
+    rng = random.Random(12)
+    names = ["Ada", "Bob", "Cleo", "Dora", "Emil"]
+    def line():
+        words = [rng.choice(["note", "report", "visit", "of", "the", "to", *names]) for _ in range(rng.randrange(1, 7))]
+        if rng.random() < 0.4:
+            words.insert(rng.randrange(len(words) + 1), rng.choice(["a@x.org", "b@x.org", "c@y.net", "11.2.3.44", "1.2.3.4", "+49 30 1234567"]))
+        return " ".join(words)
+
+    texts = ["\n".join(line() for _ in range(rng.randrange(1, 5))) for _ in range(60)] + [None, "", "1.2.3.4 1.2.3.4 twice\n11.2.3.44 once"]
+    docs = docs_of(spark, texts)
+    got = {r["term"]: r["disclosure"] for r in pii.revealing_terms(docs, pii.base_spans(docs), -100.0).collect()}
+    held, uses, n = [], Counter(), 0
+    for l in "\n".join(t or "" for t in texts).split("\n"):
+        n += 1
+        terms = {w for w in re.findall(r"[^\W_](?:[\w'-]*[^\W_])", l.lower()) if len(w) >= 3}
+        uses.update(terms)
+        found = {f"{k}:{m[0].lower()}" for k, p in PII.items() for m in re.finditer(p, l) if pii_ok(k, m[0])}
+        held += [(e, re.sub(r"^email:[^@]*", "", e) if e.startswith("email") else e.split(":")[0], terms) for e in found]
+    n_entity, n_pool = Counter(e for e, _, _ in held), Counter(p for _, p, _ in held)
+    both, pool_both = Counter((e, p, t) for e, p, ts in held for t in ts), Counter((p, t) for _, p, ts in held for t in ts)
+    want = defaultdict(lambda: -1e9)
+    for (e, p, t), c in both.items():
+        if not t.isdigit():
+            q = min((pool_both[p, t] + 0.5 * n_pool[p] / n) / (uses[t] + 0.5), 1)
+            q = min((c + 0.5 * q * n_entity[e] / n_pool[p]) / (uses[t] + 0.5), 1)
+            want[t] = max(want[t], 1 + np.log(q) / np.log(n / n_entity[e]))
+    assert got == pytest.approx(dict(want))
+
+
+def test_pii_many_spans_and_secrets(spark):
+    hexes = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    texts = ["x@y.org é 10.0.0.1, " * 6_000, f'set token = "{hexes}" now', "token = short", "", None, "mixed a@b.cd"]
+    rows = {r["doc_id"]: r for r in pii.digest(pii.find(docs_of(spark, texts))).collect()}
+    assert rows[0]["n_email"] == rows[0]["n_ip"] == 6_000
+    want = [f"{k}:{m.start()}:{m.end()}" for k in PII for m in re.finditer(PII[k], texts[0]) if pii_ok(k, m[0])]
+    assert rows[0]["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+    assert rows[0]["sanitised"] == "[EMAIL] é [IP], " * 6_000
+    assert rows[1]["n_secret"] == 1 and rows[1]["n_email"] == 0 and "[SECRET]" in rows[1]["sanitised"] and hexes not in rows[1]["sanitised"]
+    assert rows[2]["n_secret"] == 0 and rows[2]["sanitised"] == texts[2] and rows[4]["sanitised"] == ""
+
+
 def archive(pages):
     return [warc.record(i, f"http://h/{i}", p) for i, p in pages]
 
