@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,32 +27,68 @@ def _extension(name: str) -> str:
     return low[dot:] if 0 <= dot < len(low) - 1 else ""
 
 
-def free_path(path: str, known: set[str]) -> str:
-    """``path``, or with ' (2)', ' (3)' ... before its extension, the first not known (case aside)."""
-    candidate, i = path, 1
-    folder, _, name = path.rpartition("/")
+def _split(path: str) -> tuple[str, str, str]:
+    """Folder with its slash, base and extension of a path."""
+    folder, slash, name = path.rpartition("/")
     dot = name.rfind(".")
     base, ext = (name[:dot], name[dot:]) if 0 <= dot < len(name) - 1 else (name.rstrip(".") if dot == len(name) - 1 else name, "")
-    while candidate.lower() in known:
-        i += 1
-        candidate = (f"{folder}/" if folder else "") + f"{base} ({i}){ext}"
+    return (folder + slash if folder else ""), base, ext
+
+
+def free_path(path: str, known: set[str], tried: dict[str, int]) -> str:
+    """``path``, or with ' (2)', ' (3)' ... before its extension, the first not known (case aside).
+    tried: the last number looked at for each path; numbers up to there are taken."""
+    low = path.lower()
+    candidate = path
+    if low in known:
+        folder, base, ext = _split(path)
+        i = tried.get(low, 1)
+        while candidate.lower() in known:
+            i += 1
+            candidate = f"{folder}{base} ({i}){ext}"
+        tried[low] = i
     known.add(candidate.lower())
     return candidate
 
 
+_NUMBERED = re.compile(r"(?: \([0-9]+\))+$")
+
+
+def _family(path: str) -> str:
+    """What all paths share that may stand in each other's way."""
+    folder, base, ext = _split(path.lower())
+    return "\x00".join((folder, _NUMBERED.sub("", base), ext))
+
+
 def unique_paths(entries: DataFrame) -> DataFrame:
     """(container_id, ordinal, path) with unique_path: entries of a container in order, each at its
-    cleaned path or the first free variant of it (case aside); entries without a path are left out."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        known: set[str] = set()
-        rows = rows.sort_values("ordinal", kind="stable")
-        cleaned = rows["path"].map(clean_path)
-        rows = rows[cleaned != ""]
-        return rows.assign(unique_path=[free_path(p, known) for p in cleaned[cleaned != ""]])
+    cleaned path or the first free variant of it (case aside); entries without a path are left out.
 
+    Only paths that are alike but for numbers can meet, so the entries are dealt by those; a task
+    streams through its entries in order and remembers the paths of one such family.
+    """
     kinds = dict(entries.dtypes)
-    return entries.select("container_id", "ordinal", "path").groupBy("container_id").applyInPandas(fold, f"container_id {kinds['container_id']}, ordinal {kinds['ordinal']}, path string, unique_path string")
+
+    def named(batches):
+        for rows in batches:
+            rows["cleaned"] = rows["path"].map(clean_path)
+            rows = rows[rows["cleaned"] != ""]
+            yield rows.assign(family=rows["cleaned"].map(_family))
+
+    def fold(batches):
+        last, known, tried = None, set(), {}
+        for rows in batches:
+            out = []
+            for container, family, path in zip(rows["container_id"], rows["family"], rows["cleaned"]):
+                if (container, family) != last:
+                    last, known, tried = (container, family), set(), {}
+                out.append(free_path(path, known, tried))
+            yield rows[["container_id", "ordinal", "path"]].assign(unique_path=out)
+
+    base = f"container_id {kinds['container_id']}, ordinal {kinds['ordinal']}, path string"
+    dealt = entries.select("container_id", "ordinal", "path").mapInPandas(named, f"{base}, cleaned string, family string")
+    dealt = dealt.repartition("container_id", "family").sortWithinPartitions("container_id", "family", "ordinal", "path")
+    return dealt.mapInPandas(fold, f"{base}, unique_path string")
 
 
 def _admit(limits: ContainerLimits):
@@ -60,6 +98,7 @@ def _admit(limits: ContainerLimits):
         files, total = int(entries["root_files"].iloc[0]), int(entries["root_bytes"].iloc[0])
         stopped: set = set()
         known: dict[int, set[str]] = {}
+        tried: dict[int, dict[str, int]] = {}
         stored_of: dict[int, set[str]] = {}
         for e in entries.itertuples(index=False):
             if e.container_id in stopped:
@@ -85,7 +124,7 @@ def _admit(limits: ContainerLimits):
                 warn = True
                 stopped.add(e.container_id)
                 continue
-            path = free_path(path, seen)
+            path = free_path(path, seen, tried.setdefault(e.container_id, {}))
             name = path.rpartition("/")[2]
             ext = _extension(name)
             kind = CONTENT_TYPES.get(ext, "application/octet-stream")

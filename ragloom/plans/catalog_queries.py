@@ -380,9 +380,7 @@ def w6_project_lifetimes(spark, d):
 
 def _streamed(spark, d, transform, schema_of):
     """The rows that a stream over the events (all that is there, then it ends) appends."""
-    from ..operators.trees import shared_folder
-
-    out = shared_folder(spark, "stream")
+    out = fresh_path(spark, "stream")
     events = spark.readStream.schema(raw(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
     rows = transform(events.withColumn("ts", F.col("ts").cast("timestamp")))
     q = rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()

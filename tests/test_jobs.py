@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -62,6 +64,28 @@ def test_container_limits_stop(spark):
     assert [r["container_path"] for r in containers.admit_container_entries(_entries(spark, rows), big).collect()] == ["a.txt"]
 
 
+def test_unique_paths_equal_a_literal_fold(spark):
+    rng = random.Random(4)
+    names = ["a.txt", "A.TXT", "a (2).txt", "a (2) (2).txt", "a", "a.", "A (3)", "b/a.txt", "B\\a.txt", "/b/a (2).txt", " ", None, ".x", "a (2)"]
+    rows = [(c, i, rng.choice(names)) for c in range(4) for i in range(40)]
+    got = {(r["container_id"], r["ordinal"]): r["unique_path"] for r in containers.unique_paths(spark.createDataFrame(rows, "container_id long, ordinal long, path string")).collect()}
+    want, known = {}, {c: set() for c in range(4)}
+    for c, i, p in rows:
+        p = (p or "").replace("\\", "/").strip().lstrip("/")
+        if not p:
+            continue
+        folder, name = p.rsplit("/", 1) if "/" in p else ("", p)
+        base, ext = re.fullmatch(r"(.*?)(\.[^.]+|\.*)", name).groups()
+        ext = "" if not ext.strip(".") else ext
+        q, n = p, 1
+        while q.lower() in known[c]:
+            n += 1
+            q = f"{folder}/{base} ({n}){ext}" if folder else f"{base} ({n}){ext}"
+        known[c].add(q.lower())
+        want[c, i] = q
+    assert got == want
+
+
 def test_upload_outcomes(spark):
     m = spark.createDataFrame([(1, "a.txt", "text/plain", 5, bytearray(b"hello")), (2, "a.exe", "", 5, bytearray(b"MZ")), (3, "a.zip", "application/zip", 4, bytearray(b"PK\x03\x04")), (4, "m.msg", None, 8, bytearray(bytes.fromhex("D0CF11E0A1B11AE1")))], "document_id long, file_name string, content_type string, size_bytes long, header binary")
     scans = spark.createDataFrame([(1, "infected"), (3, "clean"), (4, "clean")], "document_id long, verdict string")
