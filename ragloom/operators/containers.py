@@ -1,4 +1,4 @@
-"""Admission of container entries: an order-dependent fold, one group per root container."""
+"""Admission of container entries: an order-dependent fold, streamed through one root container after the other."""
 
 from __future__ import annotations
 
@@ -91,59 +91,86 @@ def unique_paths(entries: DataFrame) -> DataFrame:
     return dealt.mapInPandas(fold, f"{base}, unique_path string")
 
 
-def _admit(limits: ContainerLimits):
-    def fold(entries: pd.DataFrame) -> pd.DataFrame:
-        rows, warn = [], False
-        entries = entries.sort_values(["container_order", "ordinal"], kind="stable")
-        files, total = int(entries["root_files"].iloc[0]), int(entries["root_bytes"].iloc[0])
-        stopped: set = set()
-        known: dict[int, set[str]] = {}
-        tried: dict[int, dict[str, int]] = {}
-        stored_of: dict[int, set[str]] = {}
-        for e in entries.itertuples(index=False):
-            if e.container_id in stopped:
-                continue
-            left = limits.max_total_bytes - total
-            if files >= limits.max_files or left <= 0:
-                warn = True
-                stopped.add(e.container_id)
-                continue
-            path = clean_path(e.path)
-            if not path:
-                continue
-            if e.container_id not in stored_of:
-                stored_of[e.container_id] = {p.lower() for p in (e.stored_paths if e.stored_paths is not None else ())}
-            stored = stored_of[e.container_id]
-            path = "/".join(x for x in (clean_path(e.container_path), path) if x)
-            if path.lower() in stored:
-                continue
-            seen = known.setdefault(e.container_id, set(stored))
-            level = int(e.container_level) + 1
-            blocked = level > limits.max_depth or bool(e.is_encrypted) or e.size_bytes > limits.max_entry_bytes
-            if not blocked and e.size_bytes > left:
-                warn = True
-                stopped.add(e.container_id)
-                continue
-            path = free_path(path, seen, tried.setdefault(e.container_id, {}))
-            name = path.rpartition("/")[2]
-            ext = _extension(name)
-            kind = CONTENT_TYPES.get(ext, "application/octet-stream")
-            good = ext in SUPPORTED_EXTENSIONS or kind in set(CONTENT_TYPES.values())
-            files += 1
-            if blocked:
-                warn = True
-                state, extraction, size = REJECTED, BLOCKED, 0
-            else:
-                state, extraction = (QUEUED, PENDING) if good else (COMPLETED, UNSUPPORTED)
-                size = int(e.size_bytes)
-                total += size
-            box = not blocked and ext in (*ARCHIVE_EXTENSIONS, *MAIL_EXTENSIONS)
-            rows.append((e.root_id, e.container_id, e.ordinal, path, name, kind, size, state, extraction, level, box, False))
-        names = [f.split()[0] for f in CHILD.split(", ")]
-        out = pd.DataFrame(rows, columns=names)
-        return out.assign(has_warnings=warn)
-
-    return fold
+_FIELDS = [f.split()[0] for f in CHILD.split(", ")]
+
+
+class _Root:
+    """What a root container holds so far; its rows wait for the warning that counts for all of them."""
+
+    def __init__(self, root_id, files: int, total: int):
+        self.root_id, self.files, self.total = root_id, files, total
+        self.rows, self.warn = [], False
+        self.stopped: set = set()
+        #: by container: names that are taken, numbers tried, paths stored before
+        self.known: dict[int, set[str]] = {}
+        self.tried: dict[int, dict[str, int]] = {}
+        self.stored: dict[int, set[str]] = {}
+
+    def admit(self, e, limits: ContainerLimits) -> None:
+        if e.container_id in self.stopped:
+            return
+        left = limits.max_total_bytes - self.total
+        if self.files >= limits.max_files or left <= 0:
+            self.warn = True
+            self.stopped.add(e.container_id)
+            return
+        path = clean_path(e.path)
+        if not path:
+            return
+        if e.container_id not in self.stored:
+            self.stored[e.container_id] = {p.lower() for p in (e.stored_paths if e.stored_paths is not None else ())}
+            self.known[e.container_id] = set(self.stored[e.container_id])
+        path = "/".join(x for x in (clean_path(e.container_path), path) if x)
+        if path.lower() in self.stored[e.container_id]:
+            return
+        level = int(e.container_level) + 1
+        blocked = level > limits.max_depth or bool(e.is_encrypted) or e.size_bytes > limits.max_entry_bytes
+        if not blocked and e.size_bytes > left:
+            self.warn = True
+            self.stopped.add(e.container_id)
+            return
+        path = free_path(path, self.known[e.container_id], self.tried.setdefault(e.container_id, {}))
+        name = path.rpartition("/")[2]
+        ext = _extension(name)
+        kind = CONTENT_TYPES.get(ext, "application/octet-stream")
+        self.files += 1
+        if blocked:
+            self.warn = True
+            state, extraction, size = REJECTED, BLOCKED, 0
+        else:
+            state, extraction = (QUEUED, PENDING) if ext in SUPPORTED_EXTENSIONS or kind in _KNOWN_TYPES else (COMPLETED, UNSUPPORTED)
+            size = int(e.size_bytes)
+            self.total += size
+        box = not blocked and ext in (*ARCHIVE_EXTENSIONS, *MAIL_EXTENSIONS)
+        self.rows.append((e.root_id, e.container_id, e.ordinal, path, name, kind, size, state, extraction, level, box))
+
+
+_KNOWN_TYPES = frozenset(CONTENT_TYPES.values())
+
+
+def _admitted(limits: ContainerLimits):
+    """Streams through the entries of one root after the other."""
+
+    def run(batches):
+        root, done = None, []
+
+        def ended():
+            if root is not None:
+                done.extend((*r, root.warn) for r in root.rows)
+
+        for entries in batches:
+            for e in entries.itertuples(index=False):
+                if root is None or e.root_id != root.root_id:
+                    ended()
+                    root = _Root(e.root_id, int(e.root_files), int(e.root_bytes))
+                    if len(done) > 10_000:
+                        yield pd.DataFrame(done, columns=_FIELDS)
+                        done.clear()
+                root.admit(e, limits)
+        ended()
+        yield pd.DataFrame(done, columns=_FIELDS)
+
+    return run
 
 
 def admit_container_entries(entries: DataFrame, limits: ContainerLimits | None = None) -> DataFrame:
@@ -153,7 +180,7 @@ def admit_container_entries(entries: DataFrame, limits: ContainerLimits | None =
     size_bytes, is_encrypted, root_files and root_bytes (what the root holds already), stored_paths.
     Archives and mails share the rules. Per container only the first entries can matter: with every
     admitted or blocked entry counting as a file, those past the limit and the ones skipped are cut
-    before the fold, so a group stays small however many entries a container lists.
+    before the fold, and a task holds the rows of one root at a time, max_files at most.
     """
     limits = (limits or ContainerLimits()).floored()
     order = Window.partitionBy("root_id", "container_id").orderBy("ordinal")
@@ -161,4 +188,4 @@ def admit_container_entries(entries: DataFrame, limits: ContainerLimits | None =
     composed = F.lower(F.when(F.coalesce("container_path", F.lit("")) == "", F.regexp_replace(F.trim(F.regexp_replace("path", r"\\", "/")), "^/+", "")).otherwise(F.lit(None)))
     fresh = counts & ~F.coalesce(F.array_contains(F.transform("stored_paths", lambda p: F.lower(p)), composed), F.lit(False))
     ranked = entries.where(fresh).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= limits.max_files + 1 + F.coalesce(F.size("stored_paths"), F.lit(0))).drop("__n")
-    return ranked.groupBy("root_id").applyInPandas(_admit(limits), CHILD)
+    return ranked.repartition("root_id").sortWithinPartitions("root_id", "container_order", "ordinal").mapInPandas(_admitted(limits), CHILD)

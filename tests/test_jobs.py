@@ -64,6 +64,56 @@ def test_container_limits_stop(spark):
     assert [r["container_path"] for r in containers.admit_container_entries(_entries(spark, rows), big).collect()] == ["a.txt"]
 
 
+def test_container_admission_equals_a_literal_fold(spark):
+    rng, mb = random.Random(9), 1024**2
+    rows = []
+    for root in range(6):
+        for c in range(3):
+            stored = rng.sample(["a.txt", "B.zip", "sub/c.eml"], rng.randrange(3))
+            for i in range(25):
+                path = rng.choice(["a.txt", "A.TXT", "b.zip", "c.eml", "d/e.exe", "\\d\\e.exe", " ", None, "x.pdf"])
+                rows.append((root, 10 * root + c, c, rng.choice(["", "sub"]) if c == 1 else "", rng.randrange(4), i, path, rng.choice([1, 5 * mb, 12 * mb, 101 * mb]), rng.random() < 0.1, 3, 2 * mb, stored))
+    types = "root_id long, container_id long, container_order long, container_path string, container_level int, ordinal long, path string, size_bytes long, is_encrypted boolean, root_files long, root_bytes long, stored_paths array<string>"
+    limits = ContainerLimits(max_files=20, max_total_bytes=90 * mb)
+    df = spark.createDataFrame(rows, types)
+    got = sorted((r["root_id"], r["container_id"], r["ordinal"], r["container_path"], r["size_bytes"], r["state"], r["has_warnings"]) for r in containers.admit_container_entries(df, limits).collect())
+    want = []
+    for root in range(6):
+        files, total, warn, out, names, stopped = 3, 2 * mb, False, [], {}, set()
+        for _, c, _, folder, level, i, path, size, locked, _, _, stored in sorted((r for r in rows if r[0] == root), key=lambda r: (r[2], r[5])):
+            path = (path or "").replace("\\", "/").strip().lstrip("/")
+            if c in stopped or (not path and files < 20 and total < 90 * mb):
+                continue
+            if files >= 20 or total >= 90 * mb:
+                # only entries that could be admitted reach the fold; blank ones never do
+                if path:
+                    stopped.add(c)
+                    warn = True
+                continue
+            path = f"{folder}/{path}" if folder else path
+            if path.lower() in {x.lower() for x in stored}:
+                continue
+            taken = names.setdefault(c, {x.lower() for x in stored})
+            blocked = level + 1 > 3 or locked or size > 100 * mb
+            if not blocked and size > 90 * mb - total:
+                warn = True
+                stopped.add(c)
+                continue
+            stem, dot, ext = path.rpartition(".")
+            n, q = 1, path
+            while q.lower() in taken:
+                n += 1
+                q = f"{stem} ({n}){dot}{ext}"
+            taken.add(q.lower())
+            files += 1
+            warn |= blocked
+            total += 0 if blocked else size
+            state = index.REJECTED if blocked else index.COMPLETED if q.lower().endswith(".exe") else index.QUEUED
+            out.append((root, c, i, q, 0 if blocked else size, state))
+        want += [(*o, warn) for o in out]
+    assert got == sorted(want)
+
+
 def test_unique_paths_equal_a_literal_fold(spark):
     rng = random.Random(4)
     names = ["a.txt", "A.TXT", "a (2).txt", "a (2) (2).txt", "a", "a.", "A (3)", "b/a.txt", "B\\a.txt", "/b/a (2).txt", " ", None, ".x", "a (2)"]
