@@ -12,7 +12,11 @@ DataFrame functions only: no Python runs on the executors.
 Defined results: texts are compared lower-cased by words (runs without blanks); null or
 blank items and items shorter than one shingle's five words are one shingle of what they
 have, blank ones match nothing; a document is reported once an item, whatever the number of
-copies of the passage; repeated document rows count once.
+copies of the passage; repeated document rows count once, and rows that share a doc_id are
+parts of one document, whose shingles count together; rows without doc_id are not reported
+(``clean`` judges every row by itself, whatever its id); a containment
+that equals the least one is enough; texts of any length are read whole; empty tables give
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -65,7 +69,8 @@ def find_items(docs: DataFrame, items: DataFrame, containment: float = CONTAINME
 
 
 def clean(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """The rows of ``docs`` that hold no item; rows without doc_id stay."""
-    found = keep(find_items(docs, items, containment).select("doc_id").distinct(), "leaks")
+    """The rows of ``docs`` that hold no item; each is judged by its own text."""
+    keyed = docs.withColumn("__text", F.xxhash64(F.col("text").cast("string")))
+    found = keep(find_items(keyed.select(F.col("__text").alias("doc_id"), "text"), items, containment).select(F.col("doc_id").alias("__text")).distinct(), "leaks")
     small = F.broadcast if found.count() <= BROADCAST_ROWS else (lambda x: x)
-    return docs.join(small(found), "doc_id", "left_anti").select(docs.columns)
+    return keyed.join(small(found), "__text", "left_anti").select(docs.columns)

@@ -9,8 +9,11 @@ source, which is drawn. So the words taken differ from a source's target by less
 one document.
 
 Defined results: null text has size 0 and takes 0; a null source is a source, the last;
-repeated rows are documents of their own; draws depend on doc_id and the seed alone, so
-reruns agree whatever the partitions.
+repeated rows are documents of their own; a null doc_id is an id like others, and rows that
+share an id are dealt and drawn by their texts; draws depend on doc_id, text and the seed
+alone, so reruns agree whatever the partitions (of rows that are all alike, which one is
+drawn cannot be told); a fraction of 0 or 1 is never drawn; texts of any length are counted
+whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -100,7 +103,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: flo
     """doc_id, source, size, source_size, target, copies, taken of every row of ``docs``."""
     spark = docs.sparkSession
     sizes = keep(
-        docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")),
+        docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("mark")),
         "sizes",
     )
     targets = keep(source_targets(sizes, weights, share, cap), "targets")
@@ -121,7 +124,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: flo
         "target",
         "rank",
         rate.alias("rate"),
-        F.xxhash64(F.lit(seed), "doc_id").alias("key"),
+        F.xxhash64(F.lit(seed), "doc_id", "mark").alias("key"),
         "buckets",
     )
     whole = F.floor("rate")
@@ -146,6 +149,6 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: flo
         most = -(-most // FAN)
         rows = rows.where("p > 0 and p < 1").withColumn("bucket", F.floor(F.col("bucket") / FAN).cast("long")).withColumn("level", F.lit(level).cast("long"))
     # one fraction of a source is left; it is drawn
-    drawn = F.when(F.col("p") >= 1, 1).when(F.col("p") <= 0, 0).otherwise((F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(1 << 30)) < F.col("p") * (1 << 30)).cast("int"))
+    drawn = F.when(F.col("p") >= 1, 1).when(F.col("p") <= 0, 0).otherwise((F.pmod(F.xxhash64(F.lit(seed + 1), "key"), F.lit(1 << 30)) < F.col("p") * (1 << 30)).cast("int"))
     copies = F.col("whole") + drawn
     return done.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))

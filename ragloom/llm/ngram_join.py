@@ -7,7 +7,10 @@ not yet connected are ever looked at again (see ``setjoin``).
 
 Defined results: null or blank text has no shingles and is linked with nothing
 (its own component); a text of fewer than five words is one shingle; copies
-share one set and one component; other columns of the input are ignored.
+share one set and one component; a similarity that equals the least one links; rows that
+share a doc_id are documents of their own, with one result each; rows without doc_id link
+like others, and a component of such rows alone has a null id; texts of any length are
+read whole; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations

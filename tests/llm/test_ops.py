@@ -140,6 +140,17 @@ def test_decontamination_equals_brute_force(spark, corpus):
     assert decontaminate.find_items(empty_docs(spark), b).count() == 0 and decontaminate.find_items(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_of_rows_without_or_with_repeated_ids(spark):
+    rng = random.Random(21)
+    item, rest = prose(rng, 30), [prose(rng, 50) for _ in range(4)]
+    texts = [(None, f"{rest[0]} {item} {rest[1]}"), (None, rest[0]), (None, None), (1, rest[1]), (1, f"{item} {rest[2]}"), (1, rest[1]), (2, " ".join(item.split()[:15])), (2, " ".join(item.split()[15:]))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("item_id", F.lit("x"))
+    items = spark.createDataFrame([(7, item), (8, None)], "item_id long, text string")
+    left = [(r["doc_id"], r["text"]) for r in decontaminate.clean(docs, items).collect()]
+    assert sorted(left, key=str) == sorted((t for t in texts if item not in (t[1] or "")), key=str)
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.find_items(docs, items).collect() if r["doc_id"] == 1] == [(1, 7)]
+
+
 def test_native_plans_run_no_python(spark, corpus):
     d = docs_of(spark, corpus[:20])
     b = spark.createDataFrame([(0, corpus[8])], "item_id long, text string")
@@ -487,6 +498,11 @@ def test_mixing(spark):
     for s in order:
         assert abs(target[s] - want[s]) < 1e-6 * max(1, want[s]) and abs(taken[s] - target[s]) <= 60
     assert mixing.mix_sources(empty_docs(spark)).count() == 0
+    # without ids, and with rows that are all alike
+    odd = [(None, prose(rng, 20), "en", "a", 1) for _ in range(50)] + [(5, "same words here", "en", "b", 1)] * 40
+    got = mixing.mix_sources(spark.createDataFrame(odd, DOCS)).collect()
+    assert len(got) == 90 and all(abs(sum(r["taken"] for r in got if r["source"] == s) - next(r["target"] for r in got if r["source"] == s)) <= 20 for s in "ab")
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(spark.createDataFrame(odd[::-1], DOCS)).collect()))
 
 
 def test_line_dedup(spark):
