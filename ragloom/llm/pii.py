@@ -206,7 +206,8 @@ def find(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """doc_id, counts, base_sha256, spans and the sanitised text of what ``find`` returns."""
+    """doc_id, counts, base_sha256, spans and the sanitised text of what ``find`` returns; n_entities
+    counts all spans but the terms."""
     base = F.flatten(F.array(*[_digest(k, F.col(k)) for k in BASE]))
     more = [k for k in (*KINDS, "term") if k not in BASE]
     return found.select(
@@ -215,6 +216,7 @@ def digest(found: DataFrame) -> DataFrame:
         F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
         F.array_join(F.concat(base, *[_digest(k, F.col(k)) for k in more]), ",").alias("spans"),
         *[F.size(k).cast("long").alias(f"n_{k}") for k in more],
+        sum((F.size(k) for k in KINDS), F.lit(0)).cast("long").alias("n_entities"),
         sanitised().alias("sanitised"),
     )
 

@@ -290,13 +290,14 @@ def _runs(batches):
 
 
 def repeated_passages(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """kind, doc_id, no, start, end, words, first_doc, first_no, copies, removed of every repeated passage.
+    """kind, doc_id, no, start, end, words, first_doc, first_no, copies, removed, long_words of every repeated passage.
 
     kind 'paragraph': no is the line's number, start and end its code points; first_doc and
     first_no name the cluster by its first occurrence, which stays (removed is false).
     kind 'window': start and end are word numbers; first_doc is the smallest document that
     holds the passage's windows outside removed paragraphs; there they stay. Words of a
-    window that stays are in no removed passage.
+    window that stays are in no removed passage. long_words are the passage's words if there are
+    WINDOW or more, else 0: shorter lines also repeat by chance.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -336,4 +337,5 @@ def repeated_passages(docs: DataFrame, num: int = 80, den: int = 100) -> DataFra
         "first_doc", F.lit(None).cast("int").alias("first_no"), "copies", "removed",
     )
     named = [F.when(F.col(c) < _NAMELESS, F.col(c)).alias(c) if c in ("doc_id", "first_doc") else c for c in windows.columns]
-    return paragraphs.drop("at").unionByName(windows).select(named)
+    long_words = F.when(F.col("words") >= WINDOW, F.col("words")).otherwise(0).cast("long").alias("long_words")
+    return paragraphs.drop("at").unionByName(windows).select(*named, long_words)
