@@ -11,12 +11,13 @@ in two steps that together look at every pair a list proposes:
    components; rounds go on among nodes of different components.
 2. A pair whose two nodes are already connected needs no answer of its own: it
    follows from the answers of sets that are highly similar to it. All other
-   pairs of a list are held against exact bounds (size, position), each pair
-   that remains once against the bitmaps, and what is left is verified.
+   pairs of a list are held against exact bounds (size, position, bitmaps folded to
+   SKETCH bytes), each pair that remains once against the whole bitmaps, and what is
+   left is verified.
 
 Within a list only the nodes outside its largest component are held against the others, and
 long lists are dealt out in pairs of slots, so no task holds a whole list: a list of n nodes, m
-of them outside, costs n (1 + m / SLOT) rows. Postings carry no bitmaps.
+of them outside, costs n (1 + m / SLOT) rows. Postings carry no whole bitmaps.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from .common import U64, keep, mix
 SLOT, BLOCK, ROUNDS = 1024, 512, 2
 #: Bytes of a bitmap in a block at most: wider ones are folded, which keeps the bound valid.
 WIDEST = 2048
+#: Bytes of the folded bitmap that travels with a row that is held against the others of its list.
+SKETCH = 32
 
 
 def bitmap_bits(n: int) -> int:
@@ -265,19 +268,37 @@ def _forest(num: int, den: int) -> Callable:
     return run
 
 
+def _sketches(batches):
+    """(node, sketch): the bitmap folded to SKETCH bytes; shorter ones are filled up with zeros."""
+    for b in batches:
+        small = [_fold(np.frombuffer(x.as_buffer(), np.uint8), SKETCH).tobytes().ljust(SKETCH, b"\0") for x in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(small, pa.binary())], ["node", "sketch"])
+
+
+def _matrix(col: pa.ChunkedArray) -> np.ndarray:
+    """The sketches of a column as rows of 64-bit words."""
+    data = b"".join(x.as_buffer() for x in col)
+    return np.frombuffer(data, np.uint64).reshape(-1, SKETCH // 8)
+
+
 #: Groups up to this size are compared in bulk, by the distance of their rows.
 _FEW = 16
 
 
 def _crossing(num: int, den: int, positions: bool) -> Callable:
-    """Streams through (key, s, t, side, node, n, pos, label) sorted by key, s, t, side, n; proposes
-    the pairs of side 0 and side 1 whose labels differ and that size and position do not rule out."""
+    """Streams through (key, s, t, side, node, n, pos, label, sketch) sorted by key, s, t, side, n;
+    proposes the pairs of side 0 and side 1 whose labels differ and that size, position and
+    sketches do not rule out."""
 
-    def able(ni, nj, pi, pj):
+    def able(ni, nj, pi, pj, si, sj):
+        need = _need(ni, nj, num, den)
         ok = (ni * den >= nj * num) & (nj * den >= ni * num)
         if positions:
-            ok &= 1 + np.minimum(ni - 1 - pi, nj - 1 - pj) >= _need(ni, nj, num, den)
-        return ok
+            ok &= 1 + np.minimum(ni - 1 - pi, nj - 1 - pj) >= need
+        apart = np.bitwise_count(si ^ sj)
+        half = np.bitwise_count(si[..., :2] ^ si[..., 2:] ^ sj[..., :2] ^ sj[..., 2:])
+        whole = (ni > SKETCH) == (nj > SKETCH)  # else one fills half of its sketch only, and the other is folded
+        return ok & (np.where(whole, apart.sum(-1, dtype=np.int64), half.sum(-1, dtype=np.int64)) <= ni + nj - 2 * need)
 
     def run(batches):
         for t in _whole_groups(batches, 3):
@@ -285,18 +306,19 @@ def _crossing(num: int, den: int, positions: bool) -> Callable:
             first = _starts(*c[:3])
             size = np.diff(np.append(first, len(c[0])))
             side, node, n, pos, label = c[3:]
+            sk = _matrix(t.column(8))
             found = []
             few = np.repeat(np.where(size <= _FEW, np.arange(len(size)), -1 - np.arange(len(size))), size)
             for d in range(1, min(_FEW, int(size.max()))):
                 i = np.flatnonzero((few[d:] == few[:-d]) & (few[d:] >= 0) & (side[d:] != side[:-d]) & (label[d:] != label[:-d]))
-                i = i[able(n[i], n[i + d], pos[i], pos[i + d])]
+                i = i[able(n[i], n[i + d], pos[i], pos[i + d], sk[i], sk[i + d])]
                 found.append(np.stack([node[i], node[i + d]], 1))
             for g in np.flatnonzero(size > _FEW):
                 lo, hi = first[g], first[g] + size[g]
                 one = lo + int((side[lo:hi] == 0).sum())
                 for p in range(lo, one):  # the other side's block of compatible sizes
                     j = slice(one + np.searchsorted(n[one:hi], -(-n[p] * num // den)), one + np.searchsorted(n[one:hi], n[p] * den // num, "right"))
-                    k = np.flatnonzero((label[j] != label[p]) & able(n[p], n[j], pos[p], pos[j]))
+                    k = np.flatnonzero((label[j] != label[p]) & able(n[p], n[j], pos[p], pos[j], sk[p], sk[j]))
                     found.append(np.stack([np.full(len(k), node[p]), node[j][k]], 1))
             ab = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
             ab = np.sort(ab, axis=1)
@@ -338,6 +360,8 @@ def connect(postings: DataFrame, bitmaps_of: Callable[[DataFrame], DataFrame], s
     bitmaps = keep(bitmaps_of(lists.select("node").distinct()).dropDuplicates(["node"]), "bitmaps")
     narrow = bitmaps.select("node", "n", "bm").mapInArrow(_narrow, "node long, n int, bm binary").select("node", "bm")
 
+    sketches = bitmaps.select("node", "bm").mapInArrow(_sketches, "node long, sketch binary")
+
     def named(label: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """The lists' rows with labels; and of each list with several labels its size, largest label and that one's nodes."""
         if label is None:
@@ -366,12 +390,12 @@ def connect(postings: DataFrame, bitmaps_of: Callable[[DataFrame], DataFrame], s
         rows, sizes = named(label)
         slots = {"s": "S", "t": "T"}
         wide = sizes.select("key", "major", F.ceil(F.col("size") / SLOT).cast("int").alias("S"), F.ceil((F.col("size") - F.col("most")) / SLOT).cast("int").alias("T"))
-        rows = rows.join(wide, "key")
+        rows = rows.join(wide, "key").join(sketches, "node")
 
         def dealt_to(rows: DataFrame, side: int, own: str, other: str) -> DataFrame:
             """Each row goes to its own slot of its side, with every slot of the other side."""
             rows = rows.withColumn(own, F.pmod(F.xxhash64("node"), F.col(slots[own])).cast("int")).withColumn(other, F.explode(F.expr(f"sequence(0, {slots[other]} - 1)")))
-            return rows.select("key", "s", "t", F.lit(side).alias("side"), "node", "n", "pos", "label")
+            return rows.select("key", "s", "t", F.lit(side).alias("side"), "node", "n", "pos", "label", "sketch")
 
         dealt = dealt_to(rows.where("label <> major"), 0, "t", "s").unionByName(dealt_to(rows, 1, "s", "t"))
         runs = dealt.repartition("key", "s", "t").sortWithinPartitions("key", "s", "t", "side", "n")
