@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, language_id, line_dedup, mixing, ngram_join, periodic_runs, pii, quality, substring_dedup, warc
+from . import decontaminate, html_extract, language_id, line_dedup, mixing, ngram_join, periodic_runs, pii, quality, spelling, substring_dedup, warc
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "pages"), docs, docs)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.find_runs(table(spark, sf_dir, "documents"))
 
@@ -70,12 +74,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_source_mixing": op8_source_mixing,
         "op9_line_dedup": op9_line_dedup,
         "op10_language_id": op10_language_id,
+        "op11_spelling_variants": op11_spelling_variants,
         "op12_periodic_runs": op12_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op2_decontamination": OP2_SQL, "op9_line_dedup": OP9_SQL, "op11_spelling_variants": OP11_SQL}
 
 
 OP2_SQL = r"""
@@ -110,3 +115,41 @@ t AS (
 )
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_lines, CAST(k AS BIGINT) AS n_removed, cut AS text FROM t
 """
+
+
+OP11_SQL = r"""
+WITH RECURSIVE
+bits AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS crc
+),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]{7,}')) AS r FROM documents
+),
+low AS (
+  SELECT d, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS n FROM runs GROUP BY 1, 2
+),
+bytes AS (
+  SELECT d, r, n, flatten(list_transform(string_split(d || ':' || r, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, unicode(c) - 64] END)) AS b FROM low
+),
+hashed AS (
+  SELECT r, n, xor(list_reduce(b, lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS h FROM bytes, bits
+),
+made AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, n FROM hashed
+),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS s FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS (
+  SELECT DISTINCT a.word, a.n, b.word AS o, b.n AS o_n FROM cut a JOIN cut b ON a.i = b.i AND a.s = b.s AND a.word <> b.word
+  UNION SELECT c.word, c.n, w.word, w.n FROM cut c JOIN words w ON c.s = w.word
+  UNION SELECT w.word, w.n, c.word, c.n FROM cut c JOIN words w ON c.s = w.word
+),
+best AS (SELECT word, any_value(n) AS n, count(*) AS n_near, min(struct_pack(m := -o_n, o := o)) AS b FROM near GROUP BY word),
+forms AS (SELECT word, n_near, CASE WHEN -b.m >= 10 * n THEN b.o END AS form, CASE WHEN -b.m >= 10 * n THEN -b.m END AS form_n FROM best),
+walk AS (
+  SELECT word, word AS root FROM words
+  UNION ALL SELECT walk.word, forms.form FROM walk JOIN forms ON walk.root = forms.word WHERE forms.form IS NOT NULL
+),
+ends AS (SELECT walk.word, walk.root FROM walk LEFT JOIN forms ON walk.root = forms.word WHERE forms.form IS NULL)
+SELECT w.word, f.form, e.root, w.n, coalesce(f.n_near, 0) AS n_near, f.form_n FROM words w LEFT JOIN forms f USING (word) JOIN ends e USING (word)
+"""
