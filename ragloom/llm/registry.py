@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, language_id, line_dedup, mixing, ngram_join, periodic_runs, pii, quality, spelling, substring_dedup, warc
+from . import decontaminate, html_extract, language_id, language_model, line_dedup, mixing, ngram_join, periodic_runs, pii, quality, spelling, substring_dedup, warc
 from .common import table
 
 
@@ -62,6 +62,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.find_runs(table(spark, sf_dir, "documents"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
@@ -76,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_language_id": op10_language_id,
         "op11_spelling_variants": op11_spelling_variants,
         "op12_periodic_runs": op12_periodic_runs,
+        "op13_lm_scoring": op13_lm_scoring,
     }
 
 
