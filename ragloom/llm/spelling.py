@@ -6,12 +6,13 @@ the smallest total frequency, chosen by dynamic programming over positions. One
 deleted or replaced character leaves one of two disjoint bigrams whole. So of two near words,
 that whose prefix ends earlier in the order has a pivot that stands in the other's prefix.
 Position limits: the one edit is on one side of that pivot, so all that is on its other side is
-equal, and the position shifts by no more than the lengths differ. Pivots and prefix grams
-are therefore joined by their gram together with what precedes it, and with what follows it, which is one
-equi-join of short strings; pairs are then verified by edit distance.
+equal, and the position shifts by no more than the lengths differ; of two pivots, each stands for
+edits up to the other. Pivots and prefix grams are therefore joined by their gram together with
+the equal side of the word (and, where that is short, with the unedited half of the other side), which is
+one equi-join; pairs are then verified by edit distance.
 
 Scale: texts are reduced to counted words before anything is shuffled but these counts. Words
-take some ten rows in the index. There are at most 8,100 bigrams (90 letters), so their
+take some thirty rows in the index. There are at most 8,100 bigrams (90 letters), so their
 frequencies fit in a task's closure. The frequency of forms rises at least tenfold a step, so
 roots take a handful of rounds of path doubling.
 
@@ -34,6 +35,8 @@ from .common import keep
 #: Letters, and the code points and occurrences that a word needs.
 LETTERS = "A-Za-zÀ-ÿ"
 LEAST_LENGTH, LEAST_COUNT = 7, 2
+#: Characters that an equal side of a word needs to be a key by itself.
+LONG = 5
 #: How much more frequent than a word its form must be.
 TIMES = 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -95,11 +98,48 @@ def signatures(found: DataFrame, gram_counts: dict[str, int]) -> DataFrame:
     return found.select("word", "n").mapInArrow(work, "word string, n long, last int, pivots array<int>, prefix array<int>")
 
 
-def _index(signed: DataFrame, positions: str) -> DataFrame:
-    """A row for each gram at ``positions`` and each side of it: the gram with that side of the word."""
-    w, p = F.col("word"), F.col("p")
-    sides = F.array(F.xxhash64(F.lit("before"), w.substr(F.lit(1), p + 2)), F.xxhash64(F.lit("after"), w.substr(p + 1, F.length("word"))))
-    return signed.select("word", "n", "last", F.explode(positions).alias("p")).select("word", "n", "last", F.explode(sides).alias("key"))
+def keys_of(word: str, at: int, reach: tuple[int, int], asking: bool) -> list[str]:
+    """What two near words share if the bigram at ``at`` survived and the edit is on one side of it.
+
+    The other side with the bigram is equal in both. Where that is shorter than LONG, the edited
+    side is split in the middle too: the half without the edit is equal, one way for words of equal length
+    and one for each of a shorter and a longer word. ``reach``: how many characters after and before the
+    bigram the edit may be away from it."""
+    out = []
+    for side, same, rest, far in (("<", word[: at + 2], word[at + 2 :], reach[0]), (">", word[at:], word[:at][::-1], reach[1])):
+        if len(same) >= LONG:
+            out.append(side + same)
+            continue
+        m = len(rest)
+        shorter, longer = (0, 1) if asking else (1, 0)  # the asking word is the shorter of the pair where the other is the longer
+        for kind, size, skip in ((2, m, 0), (shorter, m, 0), (longer, m - 1, 1)):
+            half = size // 2
+            if size < 0:
+                continue
+            head = f"{side}{kind}{size}{same} "
+            out.append(f"{head}b{rest[half + skip :]}")
+            if far > half:
+                out.append(f"{head}a{rest[:half]}")
+    return out
+
+
+def _index(signed: DataFrame, asking: bool) -> DataFrame:
+    """A row (key, word, n, last) for each key of each pivot (of asking words) or prefix bigram (of the others)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = []
+            for w, at in zip(b.column("word").to_pylist(), b.column("pivots" if asking else "prefix").to_pylist(), strict=True):
+                whole = (len(w), len(w))
+                if asking:  # an edit beyond the other pivot leaves that pivot with more of the word
+                    gap = at[1] - at[0]
+                    keys.append([*keys_of(w, at[0], (gap, len(w)), True), *keys_of(w, at[1], (len(w), gap), True)])
+                else:
+                    keys.append([k for p in at for k in keys_of(w, p, whole, False)])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("word", "n", "last")), pa.array(keys, pa.list_(pa.string()))], ["word", "n", "last", "keys"])
+
+    keyed = signed.mapInArrow(work, "word string, n long, last int, keys array<string>")
+    return keyed.select("word", "n", "last", F.explode("keys").alias("key")).select(F.xxhash64("key").alias("key"), "word", "n", "last")
 
 
 def near_pairs(found: DataFrame) -> DataFrame:
@@ -107,8 +147,8 @@ def near_pairs(found: DataFrame) -> DataFrame:
     grams = found.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.col("word").substr(i, F.lit(2)))).alias("g"))
     counts = {r["g"]: r["n"] for r in grams.groupBy("g").agg(F.count("*").alias("n")).collect()}  # 90 letters: 8,100 rows at most
     signed = keep(signatures(found, counts), "signatures")
-    a = _index(signed, "pivots")
-    b = _index(signed, "prefix").select("key", *[F.col(c).alias(f"o_{c}") for c in ("word", "n", "last")])
+    a = _index(signed, True)
+    b = _index(signed, False).select("key", *[F.col(c).alias(f"o_{c}") for c in ("word", "n", "last")])
     near = (F.col("last") <= F.col("o_last")) & (F.abs(F.length("word") - F.length("o_word")) <= 1) & (F.col("word") != F.col("o_word"))
     hits = a.join(b, (a["key"] == b["key"]) & near).where(F.levenshtein("word", "o_word", 1) == 1)
     first = F.col("word") < F.col("o_word")
