@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +29,33 @@ def keywords_frequency(texts: DataFrame, id_col: str, text_col: str, n: int = 12
     return _top(words.groupBy(id_col, "term").agg(F.count("*").alias("n")), id_col, "term", "n", n)
 
 
+def keywords_frequency_rows(texts: DataFrame, id_col: str, text_col: str, n: int = 12) -> DataFrame:
+    """keywords_frequency without a shuffle, where each id is one row: texts are worked off in batches where they are read."""
+    kind = dict(texts.dtypes)[id_col]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            flat = lists.flatten().dictionary_encode()
+            terms, kinds = flat.dictionary, max(1, len(flat.dictionary))
+            place = np.empty(len(terms), np.int64)
+            place[pc.sort_indices(terms).to_numpy()] = np.arange(len(terms))
+            pair, often = np.unique(np.repeat(np.arange(len(size)), size) * kinds + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            row, term = pair // kinds, pair % kinds
+            length = pc.utf8_length(terms).to_numpy(zero_copy_only=False)[term]
+            o = np.lexsort((place[term], -length, -often, row))
+            row, term = row[o], term[o]
+            first = np.searchsorted(row, np.arange(len(size)))
+            best = np.arange(len(row)) - first[row] < n
+            ids = np.flatnonzero(size > 0)
+            edge = np.append(0, np.cumsum(np.bincount(row[best], minlength=len(size))[ids]))
+            found = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), terms.take(pa.array(term[best])))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids)), found], [id_col, "keywords"])
+
+    return texts.select(id_col, candidate_tokens(F.col(text_col)).alias("words")).mapInArrow(count, f"`{id_col}` {kind}, keywords array<string>")
+
+
 def phrases(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, phrase (array of words): maximal runs of candidate tokens inside a sentence, of three
     characters or more together. Built from arrays within the row: a run is what lies between breaks."""

@@ -1,11 +1,12 @@
 """Ranked retrieval for whole tables of queries: lexical, vector, fused; and context packing.
 
-Queries are worked off in blocks of bounded size that every executor holds. A task scores its
-chunks against a block and keeps the k best of each query, so k rows a query and task are
-shuffled, never the pairs that are looked at.
+Queries are worked off in blocks of bounded size. A task scores its chunks against a block and
+keeps the k best of each query, so k rows a query and task are shuffled, never the pairs that
+are looked at. BM25 goes through a stored index (lexical_index).
 
 Scope: ``same`` names columns that queries and chunks share (tenant, workspace, project,
-version ...); only rows that agree in all of them meet, and null agrees with nothing. With
+version ...); only rows that agree in all of them meet, and null agrees with nothing. Chunks and
+queries are then dealt to groups of their scope (dealing.meet), so no pair of two scopes is looked at. With
 ``listed`` a chunk's document_id must also stand in the query's document_ids.
 """
 
@@ -18,18 +19,22 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from ..functions.text import tokens, trim_space
-from ..shared import keep
-
-#: Queries of a block for word and substring scoring; numbers of a block of query vectors; terms of
-#: queries up to which they are broadcast.
-QUERY_BLOCK, VECTOR_BLOCK, BROADCAST_ROWS = 10_000, 4_000_000, 500_000
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from ..functions.text import trim_space
+from ..shared import fresh_path, keep
+from . import lexical_index
+from .dealing import meet, salted, scope_of
+
+#: Queries of a block for word and substring scoring; numbers of a block of query vectors.
+QUERY_BLOCK, VECTOR_BLOCK = 10_000, 4_000_000
+#: Rows of a scope that meet its queries in one task, and rows and queries whose products are made at once.
+SEGMENT, ROWS, COLUMNS = 50_000, 8192, 256
 #: Scored pairs that a task holds before it cuts them to the k best of each query.
 PAIRS = 1_000_000
 #: Characters of a query string that the automaton looks for; the rest is compared where they occur.
 HEAD = 24
-K1, B = 1.2, 0.75
 
 
 def _ranked(hits: DataFrame, k: int, by: Column, tie: str) -> DataFrame:
@@ -52,15 +57,6 @@ def _over_blocks(queries: DataFrame, size: int, answer: Callable[[DataFrame], Da
     return out
 
 
-def _texts(same: tuple[str, ...]) -> list[Column]:
-    return [F.col(c).cast("string") for c in same]
-
-
-def _scope(same: tuple[str, ...]) -> Column:
-    """One string of the scope's columns; null if any is null."""
-    return F.when(~F.exists(F.array(*_texts(same)), lambda v: v.isNull()), F.concat_ws("\x00", *_texts(same)))
-
-
 def _owners(lists: pa.Array) -> np.ndarray:
     """The row of each value of a column of lists."""
     return np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
@@ -72,16 +68,12 @@ def _codes(values: pa.Array, known: pa.Array, other: int = -1) -> np.ndarray:
 
 
 class _Block:
-    """The ids and scopes of a block of queries, and which of its pairs with chunks are allowed."""
+    """The ids of a block of queries and the documents that each may meet."""
 
-    def __init__(self, table: pa.Table, same: tuple[str, ...], listed: bool):
+    def __init__(self, table: pa.Table, listed: bool):
         self.ids = table.column("query_id").combine_chunks()
         self.n = len(self.ids)
-        self.scopes = self.code = self.docs = self.pairs = None
-        if same:
-            scope = table.column("scope").combine_chunks()
-            self.scopes = scope.unique().drop_null()
-            self.code = _codes(scope, self.scopes)
+        self.docs = self.pairs = None
         if listed:
             lists = table.column("document_ids").combine_chunks()
             flat = lists.flatten()
@@ -89,22 +81,15 @@ class _Block:
             at, q = _codes(flat, self.docs), _owners(lists)
             self.pairs = np.unique(q[at >= 0] * max(1, len(self.docs)) + at[at >= 0])
 
-    def chunk_codes(self, b: pa.RecordBatch) -> tuple:
-        def codes(name, values):
-            return None if values is None else _codes(b.column(b.schema.get_field_index(name)), values, -2)
-
-        return codes("scope", self.scopes), codes("document_id", self.docs)
+    def doc_codes(self, b: pa.RecordBatch) -> np.ndarray | None:
+        return None if self.docs is None else _codes(b.column(b.schema.get_field_index("document_id")), self.docs, -2)
 
-    def allowed(self, codes: tuple, row: np.ndarray, q: np.ndarray) -> np.ndarray:
-        ok = np.ones(len(q), bool)
-        scope, doc = codes
-        if scope is not None:
-            ok &= scope[row] == self.code[q]
-        if doc is not None:
-            pair = q * max(1, len(self.docs)) + doc[row]
-            at = np.minimum(np.searchsorted(self.pairs, pair), max(0, len(self.pairs) - 1))
-            ok &= (doc[row] >= 0) & (self.pairs[at] == pair if len(self.pairs) else False)
-        return ok
+    def allowed(self, doc: np.ndarray | None, row: np.ndarray, q: np.ndarray) -> np.ndarray:
+        if doc is None:
+            return np.ones(len(q), bool)
+        pair = q * max(1, len(self.docs)) + doc[row]
+        at = np.minimum(np.searchsorted(self.pairs, pair), max(0, len(self.pairs) - 1))
+        return (doc[row] >= 0) & (self.pairs[at] == pair if len(self.pairs) else False)
 
 
 class _Best:
@@ -174,9 +159,29 @@ def _summed(row, q, s, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return u // n, u % n, np.bincount(inv, s, len(u))
 
 
-def _hits(chunks: DataFrame, queries: DataFrame, run: Callable) -> DataFrame:
+def _hits(chunks: DataFrame, queries: DataFrame, size: int, same: tuple[str, ...], kernel: Callable) -> DataFrame:
+    """query_id, chunk_uid, score by kernel(table of queries)(batches of chunks). With a scope
+    its chunks and queries meet in groups of their own; without, blocks of queries go to all chunks."""
     kinds = dict(queries.dtypes), dict(chunks.dtypes)
-    return chunks.mapInArrow(run, f"query_id {kinds[0]['query_id']}, chunk_uid {kinds[1]['chunk_uid']}, score double")
+    schema = f"query_id {kinds[0]['query_id']}, chunk_uid {kinds[1]['chunk_uid']}, score double"
+    if not same:
+
+        def answer(q: DataFrame) -> DataFrame:
+            return chunks.mapInArrow(kernel(q.toArrow()), schema)  # ``size`` rows
+
+        return _over_blocks(queries, size, answer)
+    arrow, columns = to_arrow_schema(StructType.fromDDL(schema)), [c for c in chunks.columns if c != "scope"]
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return arrow.empty_table()
+        batches = left.select(columns).combine_chunks().to_batches(max_chunksize=ROWS)
+        found = list(kernel(right)(iter(batches)))
+        return pa.Table.from_batches(found).cast(arrow) if found else arrow.empty_table()
+
+    asked = queries.select("scope").distinct()
+    dealt = keep(salted(chunks.join(asked, "scope", "left_semi"), "chunk_uid", SEGMENT), "dealt")
+    return meet(dealt, queries, dealt.select("scope", "salt").distinct(), size, score, schema)
 
 
 def lexical_score_topk(queries: DataFrame, chunks: DataFrame, k: int = 6, same: tuple[str, ...] = (), listed: bool = False) -> DataFrame:
@@ -187,16 +192,14 @@ def lexical_score_topk(queries: DataFrame, chunks: DataFrame, k: int = 6, same:
     block are sought in one pass over each chunk by an automaton.
     """
     q = queries.where(trim_space(F.lower("query_text")) != "")
-    q = q.select("query_id", F.lower("query_text").alias("q"), F.transform(F.coalesce("keywords", F.array()), lambda w: F.lower(w)).alias("words"), *([_scope(same).alias("scope")] if same else []), *(["document_ids"] if listed else []))
-    low = chunks.select("chunk_uid", F.lower("content").alias("low"), *([_scope(same).alias("scope")] if same else []), *(["document_id"] if listed else []))
-
-    def answer(q: DataFrame) -> DataFrame:
-        table = q.toArrow()  # QUERY_BLOCK rows
+    q = q.select("query_id", F.lower("query_text").alias("q"), F.transform(F.coalesce("keywords", F.array()), lambda w: F.lower(w)).alias("words"), *([scope_of(same).alias("scope")] if same else []), *(["document_ids"] if listed else []))
+    low = chunks.select("chunk_uid", F.lower("content").alias("low"), *([scope_of(same).alias("scope")] if same else []), *(["document_id"] if listed else []))
 
+    def kernel(table: pa.Table):
         def run(batches):
             import ahocorasick
 
-            block = _Block(table, same, listed)
+            block = _Block(table, listed)
             texts, words = table.column("q").to_pylist(), table.column("words").combine_chunks()
             parent, flat = _owners(words), words.flatten()
             sought = pa.array([t[:HEAD] for t in texts])
@@ -215,7 +218,7 @@ def lexical_score_topk(queries: DataFrame, chunks: DataFrame, k: int = 6, same:
             found.make_automaton()
             best = None
             for b in batches:
-                uids, codes = b.column(0), block.chunk_codes(b)
+                uids, codes = b.column(0), block.doc_codes(b)
                 best = best or _Best(k, block.n, uids.type)
                 best.start(uids)
                 rows, terms, whole_row, whole_q = [], [], [], []
@@ -248,62 +251,69 @@ def lexical_score_topk(queries: DataFrame, chunks: DataFrame, k: int = 6, same:
             if best is not None:
                 yield best.batch(block.ids)
 
-        return _hits(low, q, run)
+        return run
 
-    return _ranked(_over_blocks(q, QUERY_BLOCK, answer), k, F.desc("score"), "chunk_uid")
+    return _ranked(_hits(low, q, QUERY_BLOCK, same, kernel), k, F.desc("score"), "chunk_uid")
 
 
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 6, same: tuple[str, ...] = (), listed: bool = False) -> DataFrame:
     """query_id, chunk_uid, score, rank by exact cosine similarity over the shorter length.
 
     queries: (query_id, query_vector); vectors: (chunk_uid, embedding). Each Arrow batch is scored
-    against a block of queries at once.
+    against a block of queries at once, by matrix products.
     """
     size = F.max(F.size("query_vector"))
     q = queries.where(F.size("query_vector") > 0)
-    q = q.select("query_id", "query_vector", *([_scope(same).alias("scope")] if same else []), *(["document_ids"] if listed else []))
-    rows = vectors.select("chunk_uid", "embedding", *([_scope(same).alias("scope")] if same else []), *(["document_id"] if listed else []))
-
-    def answer(q: DataFrame) -> DataFrame:
-        table = q.toArrow()  # VECTOR_BLOCK numbers
+    q = q.select("query_id", "query_vector", *([scope_of(same).alias("scope")] if same else []), *(["document_ids"] if listed else []))
+    rows = vectors.select("chunk_uid", "embedding", *([scope_of(same).alias("scope")] if same else []), *(["document_id"] if listed else []))
 
+    def kernel(table: pa.Table):
         def run(batches):
-            block = _Block(table, same, listed)
+            block = _Block(table, listed)
             vecs = [np.asarray(v, np.float32) for v in table.column("query_vector").to_pylist()]
+            lengths = np.array([len(v) for v in vecs])
             best = None
             for b in batches:
-                uids, emb, codes = b.column(0), b.column(1), block.chunk_codes(b)
+                uids, emb, codes = b.column(0), b.column(1), block.doc_codes(b)
                 best = best or _Best(k, block.n, uids.type)
                 best.start(uids)
                 size = pc.fill_null(pc.list_value_length(emb), 0).to_numpy(zero_copy_only=False)
-                found = [[], [], []]
-                held = 0
                 for n in np.unique(size[size > 0]):
                     at = np.flatnonzero(size == n)
-                    m = np.array([emb[i].values.to_numpy(zero_copy_only=False) for i in at.tolist()], np.float32)
-                    for x, v in enumerate(vecs):
-                        ok = block.allowed(codes, at, np.full(len(at), x))
-                        d = min(n, len(v))
-                        pick, a, c = (at, m[:, :d], v[:d]) if ok.all() else (at[ok], m[ok, :d], v[:d])
-                        norm = np.sqrt((a * a).sum(1, dtype=np.float64)) * np.sqrt((c * c).sum(dtype=np.float64))
-                        dot = (a * c).sum(1, dtype=np.float64)
-                        s = np.divide(dot, norm, out=np.zeros(len(dot)), where=norm > 0)
-                        good = np.flatnonzero(s >= best.least[x] - 1e-8)
-                        held += len(good)
-                        for f, y in zip(found, (pick[good], np.full(len(good), x), s[good])):
-                            f.append(y)
-                        if held > PAIRS:
-                            best.add(*map(np.concatenate, found))
-                            found, held = [[], [], []], 0
-                if held:
-                    best.add(*map(np.concatenate, found))
+                    m = emb.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(at), n)
+                    for length in np.unique(lengths):
+                        d = min(n, length)
+                        a = np.ascontiguousarray(m[:, :d])
+                        norm = np.sqrt((a * a).sum(1, dtype=np.float64))
+                        of = np.flatnonzero(lengths == length)
+                        for lo in range(0, len(of), COLUMNS):
+                            best.add(*_near_best(a, norm, at, of[lo : lo + COLUMNS], vecs, best, block, codes))
             if best is not None:
                 yield best.batch(block.ids)
 
-        return _hits(rows, q, run)
+        return run
 
     dims = q.agg(size).first()[0] or 1
-    return _ranked(_over_blocks(q, max(1, VECTOR_BLOCK // dims), answer), k, F.desc(F.round("score", 9)), "chunk_uid")
+    return _ranked(_hits(rows, q, max(1, VECTOR_BLOCK // dims), same, kernel), k, F.desc(F.round("score", 9)), "chunk_uid")
+
+
+def _near_best(a: np.ndarray, norm: np.ndarray, at: np.ndarray, of: np.ndarray, vecs: list[np.ndarray], best: _Best, block: _Block, codes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, query, cosine) of the rows that may be among the k best of the queries ``of``: one matrix
+    product finds them, and theirs alone are summed in full (products in float32, sums in double)."""
+    v = np.stack([vecs[x][: a.shape[1]] for x in of])
+    v_norm = np.sqrt((v * v).sum(1, dtype=np.float64))
+    norms = norm[:, None] * v_norm
+    rough = np.divide(a.astype(np.float64) @ v.T.astype(np.float64), norms, out=np.zeros(norms.shape), where=norms > 0)
+    if codes is not None:
+        ok = block.allowed(codes, np.repeat(at, len(of)), np.tile(of, len(at))).reshape(rough.shape)
+        rough[~ok] = -np.inf
+    least = best.least[of]
+    if len(at) > best.k:
+        least = np.maximum(least, np.partition(rough, len(at) - best.k, axis=0)[len(at) - best.k])
+    r, x = np.nonzero((rough >= least - 1e-6) & (rough > -np.inf))
+    dot = (a[r] * v[x]).sum(1, dtype=np.float64)
+    both = norms[r, x]
+    return at[r], of[x], np.divide(dot, both, out=np.zeros(len(dot)), where=both > 0)
 
 
 def bm25_topk(queries: DataFrame, index: DataFrame, size: int = 24, match_weight: float = 2.0, keyword_weight: float = 1.0, terms_score: float = 1.0, same: tuple[str, ...] = (), listed: bool = False) -> DataFrame:
@@ -311,71 +321,16 @@ def bm25_topk(queries: DataFrame, index: DataFrame, size: int = 24, match_weight
 
     queries: (query_id, query_text, keywords); index: (chunk_uid, text, keywords). Score: twice the
     BM25 of the text, plus the BM25 of the joined keywords, plus one if any query keyword is
-    one of the row's keywords. Statistics are those of the whole index, whatever the scope. They
-    take one pass over the index, and the scores of a block of queries another.
+    one of the row's keywords. Statistics are those of the whole index, whatever the scope. The rows are
+    indexed first; with an index that is kept, call lexical_index.search and ``bm25_ranked``.
     """
-    k = max(1, size)
-    q = queries.where(trim_space(F.coalesce("query_text", F.lit(""))) != "")
-    q = q.select("query_id", F.array_distinct(tokens(F.col("query_text"))).alias("terms"), F.array_distinct(F.coalesce("keywords", F.array())).alias("keys"), *([_scope(same).alias("scope")] if same else []), *(["document_ids"] if listed else []))
-    rows = index.select("chunk_uid", tokens(F.col("text")).alias("t0"), tokens(F.array_join("keywords", " ")).alias("t1"), "keywords", *([_scope(same).alias("scope")] if same else []), *(["document_id"] if listed else []))
-    lengths = rows.agg(*[x for f in ("t0", "t1") for x in (F.count(F.when(F.size(f) > 0, 1)), F.avg(F.when(F.size(f) > 0, F.size(f))))]).first()
-    fields = (("t0", match_weight, *lengths[:2]), ("t1", keyword_weight, *lengths[2:]))
-
-    def answer(q: DataFrame) -> DataFrame:
-        table = q.toArrow()  # QUERY_BLOCK rows
-        asked = q.select(F.explode("terms").alias("term")).distinct()
-        small = F.broadcast if asked.count() <= BROADCAST_ROWS else (lambda d: d)
-        used = rows.select(F.posexplode(F.array("t0", "t1")).alias("field", "t")).select("field", F.explode(F.array_distinct("t")).alias("term"))
-        df = used.join(small(asked), "term", "left_semi").groupBy("field", "term").agg(F.count("*").alias("df")).toArrow()  # the block's terms
-        counts = {(f, t): n for f, t, n in zip(*(df.column(c).to_pylist() for c in ("field", "term", "df")))}
-
-        def run(batches):
-            block = _Block(table, same, listed)
-            terms, keys = table.column("terms").combine_chunks(), table.column("keys").combine_chunks()
-            flat, q_of = terms.flatten(), _owners(terms)
-            scored = []
-            for i, (_, weight, n, avg_len) in enumerate(fields):
-                df = np.array([counts.get((i, t), 0) for t in flat.to_pylist()], np.float64)
-                p = _Postings(flat, q_of, weight * np.log(1 + ((n or 0) - df + 0.5) / (df + 0.5)))
-                scored.append((p, avg_len or 1.0))
-            whole = _Postings(keys.flatten(), _owners(keys), np.ones(len(keys.flatten())))
-            best = None
-
-            def expanded(b, lo, hi):
-                """(row, query, score) of rows lo to hi of a batch, by field."""
-                for i, (p, avg_len) in enumerate(scored):
-                    col = b.column(1 + i).slice(lo, hi - lo)
-                    row, term = _owners(col), _codes(col.flatten(), p.values)
-                    length = np.bincount(row, minlength=hi - lo)
-                    u, tf = np.unique((row * (len(p.values) + 1) + term)[term >= 0], return_counts=True)
-                    row, term = u // (len(p.values) + 1), u % (len(p.values) + 1)
-                    yield from p.expand(row, term, tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / avg_len)))
-                col = b.column(3).slice(lo, hi - lo)
-                row, term = _owners(col), _codes(col.flatten(), whole.values)
-                row, term = row[term >= 0], term[term >= 0]
-                for r, qs, _ in whole.expand(row, term, np.ones(len(row))):
-                    pair = np.unique(r * block.n + qs)
-                    yield pair // block.n, pair % block.n, np.full(len(pair), float(terms_score))
-
-            for b in batches:
-                uids, codes = b.column(0), block.chunk_codes(b)
-                best = best or _Best(k, block.n, uids.type)
-                best.start(uids)
-                step = max(1, min(b.num_rows, PAIRS // max(1, block.n)))
-                for lo in range(0, b.num_rows, step):
-                    parts = list(expanded(b, lo, min(b.num_rows, lo + step)))
-                    if not parts:
-                        continue
-                    r, qs, s = _summed(*(np.concatenate(x) for x in zip(*parts)), block.n)
-                    r += lo
-                    ok = block.allowed(codes, r, qs)
-                    best.add(r[ok], qs[ok], s[ok])
-            if best is not None:
-                yield best.batch(block.ids)
+    stored = lexical_index.write_index(index, fresh_path(index.sparkSession, "lexical-index"), same, listed)
+    return bm25_ranked(lexical_index.search(stored, queries, max(1, size), match_weight, keyword_weight, terms_score), size)
 
-        return _hits(rows, q, run)
 
-    return _ranked(_over_blocks(q, QUERY_BLOCK, answer), k, F.desc(F.round("score", 9)), "chunk_uid")
+def bm25_ranked(hits: DataFrame, size: int = 24) -> DataFrame:
+    """The best rows of all segments."""
+    return _ranked(hits.select("query_id", "chunk_uid", "score"), max(1, size), F.desc(F.round("score", 9)), "chunk_uid")
 
 
 def rrf_fuse(lexical: DataFrame, vector: DataFrame, rrf_k: int = 60, k: int = 6) -> DataFrame:

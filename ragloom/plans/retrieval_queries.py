@@ -33,8 +33,8 @@ def stored_vectors(spark, d):
 
 def index_rows(spark, d):
     """Chunks with their most frequent tokens as keywords; a chunk's vector is that of its document's number."""
-    c = chunks(spark, d)
-    kw = keywords.keywords_frequency(c, "chunk_uid", "content")
+    c = keep(chunks(spark, d), "chunks")
+    kw = keywords.keywords_frequency_rows(c, "chunk_uid", "content")
     v = raw(spark, d, "embeddings").select(F.col("vec_id").alias("document_id"), "embedding")
     return c.select("chunk_uid", "document_id", F.col("content").alias("text")).join(kw, "chunk_uid", "left").join(v, "document_id", "left")
 
@@ -54,9 +54,9 @@ def r2_cosine_builtin(spark, d):
 
 
 def r3_bm25_topk(spark, d):
-    c = chunks(spark, d)
-    rows = c.select("chunk_uid", F.col("content").alias("text")).join(keywords.keywords_frequency(c, "chunk_uid", "content"), "chunk_uid", "left")
-    return retrieval.bm25_topk(questions(spark, d), keep(rows, "index"), 24).select("query_id", "chunk_uid", F.round("score", 5).alias("score"), "rank")
+    c = keep(chunks(spark, d).select("chunk_uid", F.col("content").alias("text")), "chunks")
+    rows = c.join(keywords.keywords_frequency_rows(c, "chunk_uid", "text"), "chunk_uid", "left")
+    return retrieval.bm25_topk(questions(spark, d), rows, 24).select("query_id", "chunk_uid", F.round("score", 5).alias("score"), "rank")
 
 
 def r4_knn_scoped(spark, d):
