@@ -23,7 +23,7 @@ Texts are written once as 2-byte symbols, which training and scoring read again.
 Defined results: words are told apart by 64-bit hashes of their bytes, A-Z lower-cased. A null
 text is empty and has the end as its one token. A null doc_id counts as the empty string in the
 split (learned from). Rows that repeat are scored each, and count as often as they stand there. Equal
-counts at the edge of the short list are taken by hash. Without training texts all counts are
+counts at the edges of the head and the short list are taken by hash. Without training texts all counts are
 0 and the base is 0. An empty table gives no rows. Extra columns are not carried over, whatever
 their names.
 """
@@ -94,6 +94,22 @@ def _summed(words: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return u, np.bincount(inv, weights=np.concatenate(counts)).astype(np.int64)
 
 
+def _split(counts: DataFrame) -> tuple[list, DataFrame]:
+    """About HEAD of the most frequent words, collected by hash, and the rows that hold all others.
+    Eighths of powers of two part the counts (512 of them at most); of the one in which the head ends, words are
+    taken by a hash, so no more than the head itself comes to the driver."""
+    level = F.floor(F.log2("n") * 8)
+    sizes = sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), reverse=True)
+    room, last, share = HEAD, -1, 0.0
+    for r in sizes:
+        if r["words"] > room:
+            last, share = r["level"], 0.9 * room / r["words"]
+            break
+        room -= r["words"]
+    some = F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < int(share * (1 << 30))
+    return sorted(counts.where((level > last) | ((level == last) & some)).collect()), counts.where(level <= last)
+
+
 def encode(docs: DataFrame, head: np.ndarray, counts: np.ndarray, end_count: int, short: int) -> DataFrame:
     """A row per text: its symbols as 2-byte numbers, the hashes of the words beyond ``head`` (sorted
     by hash; of these the ``short`` first by count are symbols), and sums over the words of the head."""
@@ -303,16 +319,12 @@ def score_texts(docs: DataFrame) -> DataFrame:
     n_docs = learned.count()
     total = counts.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
     tokens, kinds = (total["n"] or 0) + n_docs, total["v"] + (n_docs > 0)
-    top = counts.orderBy(F.col("n").desc(), "h").limit(HEAD).collect()  # HEAD rows at most
-    top.sort()
+    top, rare = _split(counts)
     head, head_n = np.array([r["h"] for r in top], np.int64), np.array([r["n"] for r in top], np.int64)
     short = np.sort(np.lexsort((head, -head_n))[:SHORT])
     encoded = keep(encode(docs, head, head_n, n_docs, SHORT), "symbols")
 
     # counts of the words beyond the head: a join on the hash, summed by text
-    # (a word with the count of the last of the head may be in the head or not; encode decides by the hash itself)
-    least = int(head_n.min()) if len(head_n) else 0
-    rare = counts.where(F.col("n") <= least)
     tails = encoded.select("uid", F.explode("tail").alias("h")).join(rare, "h").groupBy("uid").agg(F.count("*").alias("tail_known"), F.sum(F.log10(F.col("n") + 1)).alias("tail_log"))
 
     other = tokens - n_docs - int(head_n[short].sum())
