@@ -136,7 +136,9 @@ def write_index(rows: DataFrame, path: str, same: tuple[str, ...] = (), listed:
     doc = "document_id" if listed else F.lit(0).alias("document_id")
     schema = _SCHEMA.format(uid=kinds["chunk_uid"], doc=kinds["document_id"] if listed else "int")
     keys = F.array_distinct(F.coalesce("keywords", F.array().cast("array<string>")))
-    dealt = salted(rows.select("chunk_uid", doc, "text", "keywords", scope_of(same).alias("scope")), "chunk_uid", SEGMENT)
+    # chunks without a scope count in the statistics, under a name that no question's scope has
+    scope = F.coalesce(scope_of(same), F.lit("\x00" * len(same)))
+    dealt = salted(rows.select("chunk_uid", doc, "text", "keywords", scope.alias("scope")), "chunk_uid", SEGMENT)
     parts = dealt.select("scope", "salt", "chunk_uid", "document_id", tokens(F.col("text")).alias("t0"), tokens(F.array_join("keywords", " ")).alias("t1"), keys.alias("keys"))
     arrow = _arrow_schema(rows.sparkSession, schema)
     parts.groupBy("scope", "salt").applyInArrow(lambda t: _segment(t, arrow), schema).write.partitionBy("field").parquet(path)

@@ -294,7 +294,12 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 6, same: tuple[
         return run
 
     dims = q.agg(size).first()[0] or 1
-    return _ranked(_hits(rows, q, max(1, VECTOR_BLOCK // dims), same, kernel), k, F.desc(F.round("score", 9)), "chunk_uid")
+    return vector_ranked(_hits(rows, q, max(1, VECTOR_BLOCK // dims), same, kernel), k)
+
+
+def vector_ranked(hits: DataFrame, k: int) -> DataFrame:
+    """The best rows of all hits by cosine."""
+    return _ranked(hits.select("query_id", "chunk_uid", "score"), k, F.desc(F.round("score", 9)), "chunk_uid")
 
 
 def _near_best(a: np.ndarray, norm: np.ndarray, at: np.ndarray, of: np.ndarray, vecs: list[np.ndarray], best: _Best, block: _Block, codes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
-from ..operators import chunking, index, keywords, retrieval
+from ..operators import chunking, index, keywords, retrieval, vector_index
 from ..params import Retrieval
-from ..shared import keep
+from ..shared import fresh_path, keep
 from .tables import ctes, raw, view
 from .text_queries import CHUNK_SQL, STOP, TOKENS, TRIM
 
@@ -66,6 +66,13 @@ def r4_knn_scoped(spark, d):
     return retrieval.cosine_topk(q, v, 24, same=("label",)).select("query_id", "chunk_uid", F.round("score", 3).alias("score"), "rank")
 
 
+def r4_vector_index(spark, d):
+    """Every twentieth vector against all vectors, through the stored index."""
+    stored = vector_index.write_index(stored_vectors(spark, d), fresh_path(spark, "vector-index"))
+    hits = vector_index.search(stored, query_vectors(spark, d), 24)
+    return retrieval.vector_ranked(hits, 24).select("query_id", "chunk_uid", F.round("score", 3).alias("score"), "rank")
+
+
 def _two_lists(spark, d):
     """Two rankings of vectors per query: by cosine over all, and within the label."""
     a = retrieval.cosine_topk(query_vectors(spark, d), stored_vectors(spark, d), 24)
@@ -240,6 +247,7 @@ SQL = {
     "r2_cosine_builtin": f"WITH {_cos(10**9, True, 'a')} SELECT query_id, chunk_uid, round(score, 3) AS score FROM a_p",
     "r3_bm25_topk": f"{_CH}, {_bm25_all(24)} SELECT query_id, chunk_uid, round(score, 5) AS score, CAST(rank AS INT) AS rank FROM bm",
     "r4_knn_scoped": f"WITH {_cos(24, True, 'a')} SELECT query_id, chunk_uid, round(score, 3) AS score, CAST(rank AS INT) AS rank FROM a",
+    "r4_vector_index": f"WITH {_cos(24, False, 'a')} SELECT query_id, chunk_uid, round(score, 3) AS score, CAST(rank AS INT) AS rank FROM a",
     "r5_rrf_fuse": f"WITH {_cos(24, True, 'x')}, {_cos(24, False, 'y')}, {_RRF.format(a='x', b='y')} SELECT query_id, chunk_uid, round(score, 9) AS score, CAST(rank AS INT) AS rank FROM rrf",
     "r3_scoped": f"{_CH}, {_bm25_all(24, _SEEN)} SELECT query_id, chunk_uid, round(score, 5) AS score, CAST(rank AS INT) AS rank FROM bm",
     "r4_knn_listed": f"""WITH a_p AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_uid, {_COS.replace('{n}', '7')} AS score FROM embeddings a JOIN embeddings b ON a.vec_id % {PROJECTS} = b.vec_id % {PROJECTS} AND b.vec_id <= 400 * {PROJECTS} + a.vec_id % {PROJECTS} WHERE a.vec_id % 20 = 0),
@@ -265,5 +273,5 @@ SELECT r.*, coalesce(array_to_string(keywords, ' '), '') AS keywords, CAST(CASE
 FROM r LEFT JOIN ck USING (chunk_uid) LEFT JOIN embeddings e ON r.chunk_uid = concat_ws(':', e.vec_id, 1, 0)""",
 }
 QUERIES = {f.__name__: f for f in (
-    r1_lexical_topk, r2_cosine_topk, r2_cosine_builtin, r3_bm25_topk, r3_scoped, r4_knn_scoped, r4_knn_listed, r5_rrf_fuse, r6_hybrid_retrieve, r6_scoped, r7_pack_context, r8_status_messages, r9_augmented_prompt, f1_scope_filter, g5_build_index_rows,
+    r1_lexical_topk, r2_cosine_topk, r2_cosine_builtin, r3_bm25_topk, r3_scoped, r4_knn_scoped, r4_knn_listed, r4_vector_index, r5_rrf_fuse, r6_hybrid_retrieve, r6_scoped, r7_pack_context, r8_status_messages, r9_augmented_prompt, f1_scope_filter, g5_build_index_rows,
 )}
