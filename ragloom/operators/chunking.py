@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from ..functions.text import is_blank, trim_space
 
 
+def _windows(size: int, overlap: int):
+    """The windows of the text in order, blank ones too. The text is cut once into pieces of a stride; a window is
+    made of a piece and what it needs of the next ones, so the work is linear in the text's length."""
+    stride = max(1, size - overlap)
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{stride}}}"), F.lit(0))
+    more = -(-overlap // stride)
+    n = F.expr(f"greatest(0, length(text) - {overlap} - 1) div {stride} + 1").cast("int")
+    window = lambda i: F.array_join(F.slice("pieces", i + 1, more + 1), "").substr(1, size)
+    return pieces, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((i * stride).alias("start"), trim_space(window(i)).alias("content")))
+
+
 def chunk_pages(pages: DataFrame, size: int = 1400, overlap: int = 250) -> DataFrame:
     """(document_id, page_number, text, ...) to one row per chunk.
 
@@ -17,14 +28,10 @@ def chunk_pages(pages: DataFrame, size: int = 1400, overlap: int = 250) -> DataF
     """
     size = max(200, size)
     overlap = max(0, min(overlap, size - 1))
-    stride = max(1, size - overlap)
-    starts = F.expr(f"sequence(0, greatest(0, length(text) - {overlap} - 1), {stride})")
-    windows = F.filter(
-        F.transform(starts, lambda s: F.struct(s.alias("start"), trim_space(F.substring(F.col("text"), s + 1, F.lit(size))).alias("content"))),
-        lambda w: w["content"] != "",
-    )
+    pieces, windows = _windows(size, overlap)
     rest = [c for c in pages.columns if c not in ("text", "content", "start", "chunk_index")]
-    cut = pages.where(~is_blank(F.col("text"))).select(*rest, F.explode(windows).alias("w")).select(*rest, F.col("w.start").alias("start"), F.col("w.content").alias("content"))
+    split = pages.where(~is_blank(F.col("text"))).withColumn("pieces", pieces)
+    cut = split.select(*rest, F.explode(F.filter(windows, lambda w: w["content"] != "")).alias("w")).select(*rest, F.col("w.start").alias("start"), F.col("w.content").alias("content"))
     order = Window.partitionBy("document_id").orderBy("page_number", "start")
     return cut.withColumn("chunk_index", F.row_number().over(order) - 1).withColumn("character_count", F.length("content"))
 
@@ -34,11 +41,10 @@ def chunk_single_pages(documents: DataFrame, size: int = 1400, overlap: int = 25
     place in its own row, so nothing is shuffled."""
     size = max(200, size)
     overlap = max(0, min(overlap, size - 1))
-    stride = max(1, size - overlap)
-    starts = F.expr(f"sequence(0, greatest(0, length(text) - {overlap} - 1), {stride})")
-    windows = F.filter(F.transform(starts, lambda s: trim_space(F.substring(F.col("text"), s + 1, F.lit(size)))), lambda w: w != "")
+    pieces, windows = _windows(size, overlap)
     rest = [c for c in documents.columns if c not in ("text", "content", "chunk_index")]
-    return documents.where(~is_blank(F.col("text"))).select(*rest, F.posexplode(windows).alias("chunk_index", "content")).withColumn("character_count", F.length("content"))
+    split = documents.where(~is_blank(F.col("text"))).withColumn("pieces", pieces)
+    return split.select(*rest, F.posexplode(F.filter(windows, lambda w: w["content"] != "")).alias("chunk_index", "w")).select(*rest, "chunk_index", F.col("w.content").alias("content")).withColumn("character_count", F.length("content"))
 
 
 def embedding_batches(chunks: DataFrame, size: int = 32) -> DataFrame:

@@ -29,13 +29,15 @@ def keywords_frequency(texts: DataFrame, id_col: str, text_col: str, n: int = 12
     return _top(words.groupBy(id_col, "term").agg(F.count("*").alias("n")), id_col, "term", "n", n)
 
 
-def keywords_frequency_rows(texts: DataFrame, id_col: str, text_col: str, n: int = 12) -> DataFrame:
-    """keywords_frequency without a shuffle, where each id is one row: texts are worked off in batches where they are read."""
-    kind = dict(texts.dtypes)[id_col]
+def with_keywords(texts: DataFrame, text_col: str, n: int = 12) -> DataFrame:
+    """``texts`` with keywords: the most frequent candidate tokens of each row, null where there are none. Rows are
+    worked off in batches where they are read."""
+    rows = texts.withColumn("keywords", candidate_tokens(F.col(text_col)))
+    at = len(texts.columns) if "keywords" not in texts.columns else texts.columns.index("keywords")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(1)
+            lists = b.column(at)
             size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             flat = lists.flatten().dictionary_encode()
             terms, kinds = flat.dictionary, max(1, len(flat.dictionary))
@@ -46,14 +48,18 @@ def keywords_frequency_rows(texts: DataFrame, id_col: str, text_col: str, n: int
             length = pc.utf8_length(terms).to_numpy(zero_copy_only=False)[term]
             o = np.lexsort((place[term], -length, -often, row))
             row, term = row[o], term[o]
-            first = np.searchsorted(row, np.arange(len(size)))
-            best = np.arange(len(row)) - first[row] < n
-            ids = np.flatnonzero(size > 0)
-            edge = np.append(0, np.cumsum(np.bincount(row[best], minlength=len(size))[ids]))
-            found = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), terms.take(pa.array(term[best])))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids)), found], [id_col, "keywords"])
-
-    return texts.select(id_col, candidate_tokens(F.col(text_col)).alias("words")).mapInArrow(count, f"`{id_col}` {kind}, keywords array<string>")
+            best = np.arange(len(row)) - np.searchsorted(row, np.arange(len(size)))[row] < n
+            edge = np.append(0, np.cumsum(np.bincount(row[best], minlength=len(size))))
+            found = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), terms.take(pa.array(term[best])), mask=pa.array(size == 0))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) if i != at else found for i in range(b.num_columns))], names=b.schema.names)
+
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes)  # every column may be null
+    return rows.mapInArrow(count, schema)
+
+
+def keywords_frequency_rows(texts: DataFrame, id_col: str, text_col: str, n: int = 12) -> DataFrame:
+    """keywords_frequency without a shuffle, where each id is one row."""
+    return with_keywords(texts.select(id_col, text_col), text_col, n).select(id_col, "keywords").where("keywords is not null")
 
 
 def phrases(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:

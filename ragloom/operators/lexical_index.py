@@ -31,6 +31,8 @@ from .dealing import meet, salted, scope_of
 
 #: Chunks of a segment, chunks of a block, questions of a slot.
 SEGMENT, BLOCK, QUERIES = 8192, 2, 2_000
+#: Terms of questions up to which they are broadcast.
+BROADCAST_TERMS = 300_000
 K1, B = 1.2, 0.75
 #: The fields of a posting: tokens of the text, tokens of the keywords, whole keywords; and the segment's own row.
 TEXT, WORDS, KEYS, CHUNKS = 0, 1, 2, -1
@@ -229,7 +231,9 @@ def search(index: Index, queries: DataFrame, k: int = 24, match_weight: float =
     average = [(stats[1] or 0) / n[0] if n[0] else 1.0, (stats[3] or 0) / n[1] if n[1] else 1.0]
     fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).alias("t")) for f, c in ((TEXT, "terms"), (WORDS, "terms"), (KEYS, "keys"))])
     asked = q.select("query_id", "scope", F.explode(fields).alias("f")).select("query_id", "scope", "f.field", F.explode("f.t").alias("term"))
-    everywhere = index.postings.join(asked.select("field", "term").distinct(), ["field", "term"], "left_semi")
+    terms = asked.select("field", "term").distinct()
+    small = F.broadcast if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else (lambda d: d)
+    everywhere = index.postings.join(small(terms), ["field", "term"], "left_semi")
     df = everywhere.where(F.col("field") != KEYS).groupBy("field", "term").agg(F.sum(F.size("rows")).alias("df"))
     count = F.when(F.col("field") == TEXT, n[0]).otherwise(n[1])
     weight = F.when(F.col("field") == TEXT, match_weight).otherwise(keyword_weight) * F.log(1 + (count - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -237,7 +241,9 @@ def search(index: Index, queries: DataFrame, k: int = 24, match_weight: float =
     weighed = weighed.where("t.weight is not null").groupBy("query_id").agg(F.collect_list("t").alias("asked"))
     questions = q.select("query_id", "scope", *(["document_ids"] if index.listed else [])).join(weighed, "query_id")
     # only the postings that a question of the same scope asks
-    wanted = index.postings.join(asked.select("scope", "field", "term").distinct(), ["scope", "field", "term"], "left_semi")
+    scoped = asked.select("scope", "field", "term").distinct()
+    small = F.broadcast if scoped.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else (lambda d: d)
+    wanted = index.postings.join(small(scoped), ["scope", "field", "term"], "left_semi")
     rows = wanted.select(*index.table.columns).unionByName(index.segments.join(q.select("scope").distinct(), "scope", "left_semi").select(*index.table.columns))
     listed = index.listed
     uid_kind, id_kind = kinds[1]["uids"].removeprefix("array<").removesuffix(">"), kinds[0]["query_id"]

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import access, admission, chunking, containers, history, index, lifecycle, trees, usage
 from ..params import ContainerLimits, UsageLimits
 from ..shared import fresh_path, keep
-from ..streaming import streams
+from ..streaming import stateful, streams
 from .tables import ctes, raw, view
 
 LIMITS = {0: 1, 1: 3}
@@ -336,16 +337,31 @@ def w1_ingest_batch(spark, d):
     return jobs.join(work.select("document_id", F.lit(True).alias("ingest")), "document_id", "left").select("document_id", "result", "state", F.coalesce("ingest", F.lit(False)).alias("ingest"))
 
 
+def _ingest_documents(spark, d):
+    """Documents of the stand-in catalog with their texts: some barred, some without text."""
+    n = F.col("document_id")
+    state = F.when(n % 11 == 0, index.QUARANTINED).when(n % 13 == 0, index.REJECTED).otherwise(index.QUEUED)
+    return view(spark, d, "pages_text").select("document_id", F.lit(1).alias("version"), F.lit(1).alias("index_version"), state.alias("state"), F.when(n % 17 != 0, F.col("text")).alias("text"))
+
+
 def w1_ingest_stream(spark, d):
-    """The stream form: queued ids from a folder, ingested by batches."""
-    docs = view(spark, d, "documents").withColumn("index_version", F.lit(1))
-    queue = keep(raw(spark, d, "events").select(F.col("event_id").alias("document_id")), "queue")
-    ledger = docs.where("document_id % 3 = 0").select("document_id", "version", "index_version")
-    stream = spark.readStream.schema(queue.schema).parquet(_folder(queue))
-    out, checkpoint = fresh_path(spark, "ingested"), fresh_path(spark, "progress")
-    streams.ingest_stream(stream, lambda: docs, lambda: ledger, lambda w: w.select("document_id"), out, checkpoint).trigger(availableNow=True).start().awaitTermination()
-    jobs, work = spark.read.parquet(f"{out}/jobs"), spark.read.parquet(f"{out}/chunks")
-    return jobs.join(work.select("document_id", F.lit(True).alias("ingest")), "document_id", "left").select("document_id", "result", "state", F.coalesce("ingest", F.lit(False)).alias("ingest"))
+    """Two runs of the stream, the second from the first one's state: documents of even number are queued
+    first, then all of them and some unknown ones. What failed is released and tried again."""
+    docs = keep(_ingest_documents(spark, d), "documents")
+    chunks = chunking.chunk_single_pages(docs.withColumn("page_number", F.lit(1)))
+    uid = text.chunk_uid(F.col("document_id"), F.lit(1), F.col("chunk_index"))
+    vectors = keep(chunks.where("document_id % 19 <> 0 or chunk_index <> 0").select(uid.alias("chunk_uid"), F.array(F.lit(1.0).cast("float"), F.length("content").cast("float")).alias("embedding")), "vectors")
+    queue, out, checkpoint = fresh_path(spark, "queue"), fresh_path(spark, "ingested"), fresh_path(spark, "progress")
+    ids = docs.select("document_id", F.lit(False).alias("release"))
+    unknown = ids.where("document_id % 23 = 0").withColumn("document_id", F.col("document_id") + 1_000_000_000)
+    for queued in (ids.where("document_id % 2 = 0"), ids.unionByName(unknown)):
+        queued.write.mode("append").parquet(queue)
+        stream = spark.readStream.schema(ids.schema).option("recursiveFileLookup", "true").parquet(queue)
+        writer = stateful.ingest_stream(stream, docs, lambda w: stateful.ingest_documents(w, vectors), out, checkpoint, f"{queue}/released")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    jobs = spark.read.parquet(f"{out}/jobs").groupBy("document_id", "result", "state").agg(F.count("*").alias("jobs"))
+    made = spark.read.parquet(f"{out}/chunks").groupBy("document_id").agg(F.count("*").alias("chunks"), F.count("embedding").alias("vectors"), F.sum(F.length("content")).alias("characters"))
+    return jobs.join(made, "document_id", "left")
 
 
 def _folder(df):
@@ -372,10 +388,36 @@ def w5_retry_router(spark, d):
     return both.groupBy("route", "next_retry").agg(F.count("*").alias("n"))
 
 
+def _lives(activity):
+    """Projects that begin with their first event and live for 12 to 48 hours, or have no lifetime."""
+    hours = (F.col("project_id") % 5 * 12).cast("int")
+    return activity.groupBy("project_id").agg(F.min("ts").alias("created_at")).withColumn("hours", F.when(hours > 0, hours))
+
+
 def w6_project_lifetimes(spark, d):
     a = raw(spark, d, "events").select(F.col("user_id").alias("project_id"), F.col("ts").cast("timestamp").alias("ts"))
-    p = a.groupBy("project_id").agg(F.min("ts").alias("created_at")).withColumn("hours", (F.col("project_id") % 5 * 12).cast("int")).withColumn("hours", F.when(F.col("hours") > 0, F.col("hours")))
-    return lifecycle.project_lifetimes(p, a).select("project_id", F.unix_micros("lifetime_expires_at").alias("expires_at"))
+    return lifecycle.project_lifetimes(_lives(a), a).select("project_id", F.unix_micros("lifetime_expires_at").alias("expires_at"))
+
+
+#: Hours by which some events of the lifetime stream come too late, and for which it waits.
+LATE, WAIT = 24, 72
+
+
+def w6_expiry_stream(spark, d):
+    """The stream form with timers: events arrive in three parts, a third of them a day late. Lives that end
+    before the last watermark are reported."""
+    events = raw(spark, d, "events").select("event_id", F.col("user_id").alias("project_id"), F.col("ts").cast("timestamp").alias("ts"))
+    projects = keep(_lives(events), "projects")
+    ends = events.agg(F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("b")).first()
+    hour = 3_600_000_000
+    part = F.floor((F.unix_micros("ts") + F.when(F.col("event_id") % 3 == 0, LATE * hour).otherwise(0) - ends["a"]) * 3 / (ends["b"] - ends["a"] + LATE * hour + 1))
+    source, out, checkpoint = fresh_path(spark, "activity"), fresh_path(spark, "expired"), fresh_path(spark, "progress")
+    for k in range(3):
+        events.where(part == k).select("project_id", "ts").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("project_id long, ts timestamp").parquet(source)
+        expired = stateful.expiry_stream(stream, projects, f"{WAIT} hours")
+        stateful.sweep_stream(expired, lambda p: {"projects": p}, out, checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/expired").select("project_id", "expires_at")
 
 
 def _streamed(spark, d, transform, schema_of):
@@ -406,5 +448,5 @@ QUERIES = {f.__name__: f for f in (
     a10_last_owner_guard, a11_job_outcomes, a12_audit_summary, a13_model_usage, k1_recent_chat, k2_prune_chat, k3_prompt_library, k4_prune_prompts, k5_last_used_prompt,
     k6_merge_prompt_usage, k7_latest_invitation, k7_invitation_status, k8_tree_order, u1_prompt_collection, u2_membership_diff, u3_selection_intersect, u4_descendants,
     u5_revoke_closure, u6_reindex_plan, u6_without_model, u7_project_delete_plan, w7_expiry_sweep, q1_admit_entries, q2_free_path, q3_upload_outcomes, q3_audit_rows, w1_ingest_batch,
-    w1_ingest_stream, w2_job_outcome_windows, w3_idempotent_stream, w4_context_dedupe, w5_retry_route, w5_retry_router, w6_project_lifetimes,
+    w1_ingest_stream, w2_job_outcome_windows, w3_idempotent_stream, w4_context_dedupe, w5_retry_route, w5_retry_router, w6_project_lifetimes, w6_expiry_stream,
 )}

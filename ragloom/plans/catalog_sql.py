@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import files
 from .tables import STAND_INS, ctes
-from .text_queries import DECLARED, EXT, MAGIC_HEX, SQL as TEXT_SQL, TRIM, _in
+from .text_queries import CHUNK_SQL, DECLARED, EXT, MAGIC_HEX, SQL as TEXT_SQL, TRIM, _in
 
 US = "CAST(epoch_us({}) AS BIGINT)"
 DATED = "dp AS (SELECT p.*, s.start, s.start + CAST(lifetime_preset AS BIGINT) * 3600000000 AS lifetime_expires_at FROM t_projects p JOIN (SELECT project_id, min(epoch_us(created_at)) AS start FROM t_documents GROUP BY 1) s USING (project_id))"
@@ -141,7 +141,15 @@ SELECT project_id, count(*) AS documents, nullif({DOC_PLAN}, 0) AS keys, any_val
 b AS (SELECT *, t >= coalesce(lag(t) OVER (PARTITION BY p ORDER BY t), c) + h AS late FROM a WHERE h > 0), l AS (SELECT *, bool_or(late) OVER (PARTITION BY p ORDER BY t) AS lost FROM b)
 SELECT p AS project_id, CAST(coalesce(max(t) FILTER (NOT lost), any_value(c)) + any_value(h) AS BIGINT) AS expires_at FROM l GROUP BY 1""",
 }
-SQL["w1_ingest_stream"] = SQL["w1_ingest_batch"]
+SQL["w1_ingest_stream"] = f"""{ctes('pages_text')}, p AS (SELECT * FROM t_pages_text WHERE document_id % 17 <> 0), {CHUNK_SQL.replace('t_pages_text', 'p')},
+made AS (SELECT document_id, count(*) AS chunks, CAST(sum(length(content)) AS BIGINT) AS characters FROM chunks GROUP BY 1),
+k AS (SELECT t.document_id, made.chunks, made.characters, CASE WHEN t.document_id % 11 = 0 OR t.document_id % 13 = 0 THEN 'skipped_security' WHEN chunks IS NULL OR t.document_id % 19 = 0 THEN 'failed' ELSE 'completed' END AS result FROM t_pages_text t LEFT JOIN made USING (document_id)),
+j AS (SELECT document_id, result FROM k WHERE document_id % 2 = 0
+  UNION ALL SELECT document_id, CASE WHEN result = 'completed' AND document_id % 2 = 0 THEN 'already_ingested' ELSE result END FROM k
+  UNION ALL SELECT document_id + 1000000000, 'not_found' FROM k WHERE document_id % 23 = 0)
+SELECT j.document_id, j.result, CAST(CASE WHEN j.result IN ('completed', 'already_ingested') THEN 3 ELSE 4 END AS INT) AS state, count(*) AS jobs, any_value(k.chunks) AS chunks, any_value(k.chunks) AS vectors, any_value(k.characters) AS characters
+FROM j LEFT JOIN (SELECT * FROM k WHERE result = 'completed') k USING (document_id) GROUP BY 1, 2, 3"""
+SQL["w6_expiry_stream"] = f"SELECT * FROM ({SQL['w6_project_lifetimes']}) WHERE expires_at <= (SELECT max(epoch_us(ts)) FROM events) - CAST(72 AS BIGINT) * 3600000000"
 SQL["w5_retry_router"] = f"SELECT * FROM ({SQL['w5_retry_route']}) WHERE route <> 'drop'"
 SQL["q2_free_path"] = """WITH e AS (SELECT CAST(l_orderkey AS BIGINT) AS container_id, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey AS ordinal, CASE WHEN l_partkey % 2 = 0 THEN 'in' ELSE 'in/in' END AS folder,
   CASE WHEN l_suppkey % 2 = 0 THEN 'Doc' ELSE 'doc' END AS base, CASE l_suppkey % 3 WHEN 0 THEN '.txt' WHEN 1 THEN '.TXT' ELSE '' END AS ext FROM lineitem),

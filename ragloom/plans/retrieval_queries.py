@@ -33,10 +33,9 @@ def stored_vectors(spark, d):
 
 def index_rows(spark, d):
     """Chunks with their most frequent tokens as keywords; a chunk's vector is that of its document's number."""
-    c = keep(chunks(spark, d), "chunks")
-    kw = keywords.keywords_frequency_rows(c, "chunk_uid", "content")
+    c = keywords.with_keywords(chunks(spark, d).select("chunk_uid", "document_id", F.col("content").alias("text")), "text")
     v = raw(spark, d, "embeddings").select(F.col("vec_id").alias("document_id"), "embedding")
-    return c.select("chunk_uid", "document_id", F.col("content").alias("text")).join(kw, "chunk_uid", "left").join(v, "document_id", "left")
+    return c.join(v, "document_id", "left")
 
 
 def r1_lexical_topk(spark, d):
@@ -54,8 +53,7 @@ def r2_cosine_builtin(spark, d):
 
 
 def r3_bm25_topk(spark, d):
-    c = keep(chunks(spark, d).select("chunk_uid", F.col("content").alias("text")), "chunks")
-    rows = c.join(keywords.keywords_frequency_rows(c, "chunk_uid", "text"), "chunk_uid", "left")
+    rows = keywords.with_keywords(chunks(spark, d).select("chunk_uid", F.col("content").alias("text")), "text")
     return retrieval.bm25_topk(questions(spark, d), rows, 24).select("query_id", "chunk_uid", F.round("score", 5).alias("score"), "rank")
 
 

@@ -1,9 +1,8 @@
-"""Structured Streaming forms: ingest, outcomes, idempotence, routing of failures, lifetimes."""
+"""Structured Streaming forms of outcomes, idempotence and routing of failures; the batch form of ingest.
+Streams with state of their own (ingest, lifetimes) are in ``stateful``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -23,18 +22,6 @@ def ingest_batch(queued: DataFrame, documents: DataFrame, ledger: DataFrame) ->
     return work, jobs
 
 
-def ingest_stream(queue: DataFrame, documents: Callable[[], DataFrame], ledger: Callable[[], DataFrame], ingest: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> DataStreamWriter:
-    """A stream of document ids to chunks and job rows below ``out``. Batches are written to a folder
-    of their own number, so a batch run again after a failure replaces what it wrote."""
-
-    def batch(df: DataFrame, number: int) -> None:
-        work, jobs = ingest_batch(df, documents(), ledger())
-        ingest(work).write.mode("overwrite").parquet(f"{out}/chunks/batch={number}")
-        jobs.write.mode("overwrite").parquet(f"{out}/jobs/batch={number}")
-
-    return queue.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-
-
 def job_outcome_stream(jobs: DataFrame, window: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:
     """window_start, job_type, result, jobs: tumbling counts; works on streams and on tables."""
     return jobs.withWatermark("ts", delay).groupBy(F.window("ts", window).alias("w"), "job_type", "result").agg(F.count("*").alias("jobs")).select(F.col("w.start").alias("window_start"), "job_type", "result", "jobs")
@@ -65,11 +52,3 @@ def retry_router(failures: DataFrame, out: str, checkpoint: str, max_retries: in
             routed.where(F.col("route") == to).write.mode("overwrite").parquet(f"{out}/{to}/batch={number}")
 
     return failures.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-
-
-def lifetime_sessions(activity: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """(project_id, ts, hours) to sessions: session_end is the expiry that auto-extension reaches. An
-    event exactly at the end does not extend a life, so the gap is a microsecond short."""
-    gap = F.concat(F.col("hours") * 3600 - 1, F.lit(" seconds 999999 microseconds"))
-    s = activity.withWatermark("ts", delay).groupBy(F.session_window("ts", gap).alias("w"), "project_id").agg(F.count("*").alias("events"))
-    return s.select("project_id", F.col("w.start").alias("session_start"), F.timestamp_add("MICROSECOND", F.lit(1), F.col("w.end")).alias("session_end"), "events")
