@@ -188,7 +188,7 @@ def best_of_segment(terms: list[tuple[float, _Found]], keys: list[_Found], bonus
     part = np.concatenate([w * t.part for w, t in terms]) if terms else np.zeros(0)
     of = rows // BLOCK
     key_rows = np.unique(np.concatenate([t.rows for t in keys])) if keys else np.zeros(0, np.int64)
-    best_rows, best, scored, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 0, max(1, -(-2 * k // BLOCK))
+    best_rows, best, scored, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 0, max(1, -(-4 * k // BLOCK))
     while done < len(order):
         least = best[k - 1] - 1e-8 if len(best) >= k else 0.0
         now = order[done : done + step]
@@ -209,7 +209,7 @@ def best_of_segment(terms: list[tuple[float, _Found]], keys: list[_Found], bonus
         o = np.lexsort((place[at], -np.round(s, 9)))[:k]
         best_rows, best = at[o], s[o]
         done += step
-        step *= 2
+        step *= 4
     return best_rows, best, scored
 
 
@@ -258,7 +258,9 @@ def search(index: Index, queries: DataFrame, k: int = 24, match_weight: float =
             place[pc.sort_indices(uids).to_numpy()] = np.arange(len(uids))
             docs = head.column("docs").combine_chunks().flatten() if listed else None
             where = {(f, t): i for i, (f, t) in enumerate(zip(left.column("field").to_pylist(), left.column("term").to_pylist(), strict=True))}
-            columns = {c: left.column(c).combine_chunks() for c in ("rows", "tf", "blocks", "block_tf", "block_len")}
+            columns = [left.column(c).combine_chunks() for c in ("rows", "tf", "blocks", "block_tf", "block_len")]
+            edges = [c.offsets.to_numpy() for c in columns]
+            values = [c.values.to_numpy(zero_copy_only=False) for c in columns]
             known: dict[tuple[int, str], _Found] = {}
 
             def found(f: int, t: str) -> _Found | None:
@@ -266,7 +268,7 @@ def search(index: Index, queries: DataFrame, k: int = 24, match_weight: float =
                 if i is None:
                     return None
                 if (f, t) not in known:
-                    r, tf, blocks, btf, blen = (columns[c][i].values.to_numpy(zero_copy_only=False) for c in columns)
+                    r, tf, blocks, btf, blen = (v[e[i] : e[i + 1]] for v, e in zip(values, edges, strict=True))
                     if f == KEYS:
                         known[f, t] = _Found(r.astype(np.int64), np.ones(len(r)), blocks, np.ones(len(blocks)))
                     else:

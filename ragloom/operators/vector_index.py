@@ -8,7 +8,7 @@ is nearer than max(t - greatest, least - t): angles on the sphere obey the trian
 ``search`` first compares a question with its nearest cells, until they hold SEEDS times k vectors. The
 k-th best cosine found is a limit that the result cannot fall below, so of all other cells only those whose bound
 reaches it are compared, in a second step. Cells and questions meet in co-grouped tasks
-(cells salted to PART vectors, questions to slots), by matrix products. The rows are those of comparing everything.
+(lists salted to PART vectors, questions to slots), by matrix products. The rows are those of comparing everything.
 
 Defined results: as for cosine_topk: a cosine over the shorter length, 0 where a norm is 0. Vectors of another length than
 the index has, or without a norm, are kept apart and always compared; a question of another length is
@@ -30,14 +30,16 @@ from pyspark.sql.types import StructType
 
 from ..shared import keep
 
-#: Vectors of the sample, centroids, rounds of clustering, rings of a centroid; vectors of a part of a cell, questions of a slot.
+#: Vectors of the sample, centroids, rounds of clustering, rings of a centroid; vectors of a part of a list, questions compared at once.
 SAMPLE, LISTS, ROUNDS, RINGS, PART, QUERIES = 20_000, 1024, 6, 64, 8192, 2048
+#: Groups into which the questions of a list are dealt.
+SLOTS = 4
 #: How many times k vectors the first step compares; slack of bounds for rounding.
 SEEDS, SLACK = 8, 1e-6
 
 
 class Index(NamedTuple):
-    """rows: (list, ring, salt, chunk_uid, embedding); cells: (list, ring, least, most, n) of at most
+    """rows: (list, salt, ring, chunk_uid, embedding); cells: (list, ring, least, most, n) of at most
     LISTS * RINGS cells; odd: vectors that are always compared."""
 
     rows: DataFrame
@@ -100,18 +102,18 @@ def write_index(vectors: DataFrame, path: str, dims: int | None = None) -> Index
     cells = placed.groupBy("list", "ring").agg(F.min("angle").alias("least"), F.max("angle").alias("most"), F.count("*").alias("n"))
     cells.write.parquet(f"{path}/cells")
     cells = spark.read.schema(cells.schema).parquet(f"{path}/cells")
-    salts = F.broadcast(cells.select("list", "ring", F.ceil(F.col("n") / PART).cast("int").alias("salts")))  # LISTS * RINGS rows at most
-    rows = placed.join(salts, ["list", "ring"]).select("list", "ring", F.pmod(F.xxhash64("chunk_uid"), F.col("salts")).cast("int").alias("salt"), "chunk_uid", "embedding")
-    rows.repartition("list", "ring", "salt").sortWithinPartitions("list", "ring").write.parquet(f"{path}/rows")
+    salts = F.broadcast(cells.groupBy("list").agg(F.ceil(F.sum("n") / PART).cast("int").alias("salts")))  # LISTS rows at most
+    rows = placed.join(salts, "list").select("list", F.pmod(F.xxhash64("chunk_uid"), F.col("salts")).cast("int").alias("salt"), "ring", "chunk_uid", "embedding")
+    rows.repartition("list", "salt").sortWithinPartitions("list", "ring").write.parquet(f"{path}/rows")
     odd = vectors.where(~even)
     odd.write.parquet(f"{path}/odd")
     return Index(spark.read.schema(rows.schema).parquet(f"{path}/rows"), cells, spark.read.schema(odd.schema).parquet(f"{path}/odd"), c)
 
 
 def _probe(index: Index, queries: DataFrame, k: int, first: bool) -> DataFrame:
-    """(query_id, query_vector, list, ring) of the cells that the first step, or the second one (with the
+    """(query_id, query_vector, list, rings) of the cells that the first step, or the second one (with the
     column ``limit``: a cosine) compares."""
-    cells = index.cells.toArrow()  # LISTS * RINGS rows at most
+    cells = index.cells.orderBy("list", "ring").toArrow()  # LISTS * RINGS rows at most
     which, ring, n = (cells.column(x).to_numpy() for x in ("list", "ring", "n"))
     least, most = cells.column("least").to_numpy(), cells.column("most").to_numpy()
     c, dims = index.centroids, index.centroids.shape[1]
@@ -134,11 +136,14 @@ def _probe(index: Index, queries: DataFrame, k: int, first: bool) -> DataFrame:
                     limit = pc.fill_null(part.column(2), -2.0).to_numpy(zero_copy_only=False)
                     # a vector without a norm has the cosine 0 with all
                     pick = ~seeds & ((bound >= limit[:, None] - SLACK) | ~v.any(1)[:, None])
-                q, cell = np.nonzero(pick)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(q)), part.column(1).take(pa.array(q)), pa.array(which[cell]), pa.array(ring[cell])], ["query_id", "query_vector", "list", "ring"])
+                q, cell = np.nonzero(pick)  # by question, then list
+                first_of = np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (which[cell][1:] != which[cell][:-1]))[: len(q)])
+                rings = pa.ListArray.from_arrays(pa.array(np.append(first_of, len(q)), pa.int32()), pa.array(ring[cell]))
+                ask = pa.array(q[first_of])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(ask), part.column(1).take(ask), pa.array(which[cell][first_of]), rings], ["query_id", "query_vector", "list", "rings"])
 
     columns = ["query_id", "query_vector", *([] if first else ["limit"])]
-    return queries.select(*columns).mapInArrow(near, f"query_id {kind}, query_vector array<float>, list int, ring int")
+    return queries.select(*columns).mapInArrow(near, f"query_id {kind}, query_vector array<float>, list int, rings array<int>")
 
 
 def _compare(index: Index, probes: DataFrame, k: int) -> DataFrame:
@@ -146,13 +151,13 @@ def _compare(index: Index, probes: DataFrame, k: int) -> DataFrame:
     kinds = dict(probes.dtypes), dict(index.rows.dtypes)
     schema = f"query_id {kinds[0]['query_id']}, chunk_uid {kinds[1]['chunk_uid']}, score double, compared long"
     arrow, dims = to_arrow_schema(StructType.fromDDL(schema)), index.centroids.shape[1]
-    probes = probes.withColumn("slot", F.pmod(F.xxhash64("query_id"), F.lit(64)).cast("int"))
-    parts = index.rows.select("list", "ring", "salt").distinct()
-    left = index.rows.join(probes.select("list", "ring", "slot").distinct(), ["list", "ring"])
-    right = probes.join(parts, ["list", "ring"])
-    by = ["list", "ring", "salt", "slot"]
-    left = left.select(*[F.col(c).alias(c) for c in [*by, "chunk_uid", "embedding"]])
-    right = right.select(*[F.col(c).alias(c) for c in [*by, "query_id", "query_vector"]])
+    probes = probes.withColumn("slot", F.pmod(F.xxhash64("query_id"), F.lit(SLOTS)).cast("int"))
+    parts = index.rows.select("list", "salt").distinct()
+    left = index.rows.join(probes.select("list", "slot").distinct(), "list")
+    right = probes.join(parts, "list")
+    by = ["list", "salt", "slot"]
+    left = left.select(*[F.col(c).alias(c) for c in [*by, "ring", "chunk_uid", "embedding"]])
+    right = right.select(*[F.col(c).alias(c) for c in [*by, "query_id", "query_vector", "rings"]])
 
     def score(rows: pa.Table, asks: pa.Table) -> pa.Table:
         if not rows.num_rows or not asks.num_rows:
@@ -160,22 +165,35 @@ def _compare(index: Index, probes: DataFrame, k: int) -> DataFrame:
         uids, ids = rows.column("chunk_uid").combine_chunks(), asks.column("query_id").combine_chunks()
         place = np.empty(len(uids), np.int64)
         place[pc.sort_indices(uids).to_numpy()] = np.arange(len(uids))
-        m, v = _matrix(rows.column("embedding").combine_chunks(), dims), _matrix(asks.column("query_vector").combine_chunks(), dims)
+        m, ring = _matrix(rows.column("embedding").combine_chunks(), dims), rows.column("ring").to_numpy()
+        v, rings = _matrix(asks.column("query_vector").combine_chunks(), dims), asks.column("rings").combine_chunks()
+        probed = np.zeros((len(v), RINGS), bool)
+        probed[np.repeat(np.arange(len(v)), np.diff(rings.offsets.to_numpy())), rings.flatten().to_numpy()] = True
+        compared = probed.astype(np.int64) @ np.bincount(ring, minlength=RINGS)
         norm = np.sqrt((m * m).sum(1, dtype=np.float64))
         out = []
         for lo in range(0, len(v), QUERIES):
             w = v[lo : lo + QUERIES]
-            both = norm[:, None] * np.sqrt((w * w).sum(1, dtype=np.float64))
-            rough = np.divide(m.astype(np.float64) @ w.T.astype(np.float64), both, out=np.zeros(both.shape), where=both > 0)
-            least = np.partition(rough, len(m) - k, axis=0)[len(m) - k] if len(m) > k else np.full(len(w), -2.0)
-            r, x = np.nonzero(rough >= least - SLACK)
-            dot = (m[r] * w[x]).sum(1, dtype=np.float64)
-            s = np.divide(dot, both[r, x], out=np.zeros(len(dot)), where=both[r, x] > 0)
+            best = ([], [], [])
+            for r0 in np.unique(ring):
+                at, of = np.flatnonzero(ring == r0), np.flatnonzero(probed[lo : lo + QUERIES, r0])
+                if not len(of):
+                    continue
+                both = norm[at][:, None] * np.sqrt((w[of] * w[of]).sum(1, dtype=np.float64))
+                rough = np.divide(m[at].astype(np.float64) @ w[of].T.astype(np.float64), both, out=np.zeros(both.shape), where=both > 0)
+                least = np.partition(rough, len(at) - k, axis=0)[len(at) - k] if len(at) > k else np.full(len(of), -2.0)
+                r, x = np.nonzero(rough >= least - SLACK)
+                dot = (m[at[r]] * w[of[x]]).sum(1, dtype=np.float64)
+                for part, new in zip(best, (at[r], of[x], np.divide(dot, both[r, x], out=np.zeros(len(dot)), where=both[r, x] > 0)), strict=True):
+                    part.append(new)
+            if not best[0]:
+                continue
+            r, x, s = (np.concatenate(part) for part in best)
             o = np.lexsort((place[r], -np.round(s, 9), x))
             r, x, s = r[o], x[o], s[o]
             top = np.arange(len(x)) - np.searchsorted(x, np.arange(len(w)))[x] < k
-            out.append(pa.table([ids.take(pa.array(lo + x[top])), uids.take(pa.array(r[top])), pa.array(s[top]), pa.array(np.full(int(top.sum()), len(m)))], names=arrow.names).cast(arrow))
-        return pa.concat_tables(out)
+            out.append(pa.table([ids.take(pa.array(lo + x[top])), uids.take(pa.array(r[top])), pa.array(s[top]), pa.array(compared[lo + x[top]])], names=arrow.names).cast(arrow))
+        return pa.concat_tables(out) if out else arrow.empty_table()
 
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(score, schema)
 

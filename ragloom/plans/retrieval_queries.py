@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from ..functions import text, vectors
 from ..operators import chunking, index, keywords, retrieval, vector_index
 from ..params import Retrieval
-from ..shared import fresh_path, keep
+from ..shared import fresh_path, keep, spread
 from .tables import ctes, raw, view
 from .text_queries import CHUNK_SQL, STOP, TOKENS, TRIM
 
 
 def chunks(spark, d):
-    c = chunking.chunk_single_pages(view(spark, d, "pages_text"))
+    c = chunking.chunk_single_pages(spread(view(spark, d, "pages_text")))
     return c.withColumn("chunk_uid", text.chunk_uid(F.col("document_id"), F.lit(1), F.col("chunk_index")))
 
 
