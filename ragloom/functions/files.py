@@ -183,25 +183,51 @@ def url_host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^(?i)[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]+)", 1))
 
 
+_NUMBER = "(?:0x[0-9a-f]+|[0-9]+)"
+
+
+def _number(part: Column) -> Column:
+    """A part of a numeric address: decimal, octal after 0, hexadecimal after 0x."""
+    hexa, octal = F.conv(F.substring(part, 3, 16), 16, 10), F.conv(part, 8, 10)
+    return F.when(part.startswith("0x"), hexa).when(part.rlike("^0[0-7]+$"), octal).otherwise(part).try_cast("long")
+
+
+def _private_value(v: Column) -> Column:
+    """Whether a 32-bit address is in a private or reserved range."""
+    a, ab = F.shiftright(v, 24), F.shiftright(v, 16)
+    return a.isin(0, 10, 127) | ab.between(0xAC10, 0xAC1F) | (ab == 0xC0A8) | (ab == 0xA9FE)
+
+
 def _private_v4(host: Column) -> Column:
-    quad = F.transform(F.split(host, r"\."), lambda p: p.try_cast("int"))
-    a, b = F.try_element_at(quad, F.lit(1)), F.try_element_at(quad, F.lit(2))
-    return host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & (a.isin(0, 10, 127) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)))
+    """Private addresses in all their numeric spellings: one to four numbers, of which the last fills what is left.
+    Four decimal numbers count as such too when they begin with 0."""
+    parts = F.split(host, r"\.")
+    n = F.transform(parts, _number)
+    k, at = F.size(parts), lambda i: F.try_element_at(n, F.lit(i))
+    high = lambda i, bits: F.shiftleft(at(i), bits)
+    value = F.when(k == 1, at(1)).when(k == 2, high(1, 24) + at(2)).when(k == 3, high(1, 24) + high(2, 16) + at(3)).otherwise(high(1, 24) + high(2, 16) + high(3, 8) + at(4))
+    d = F.transform(parts, lambda p: p.try_cast("int"))
+    plain = F.shiftleft(F.try_element_at(d, F.lit(1)).cast("long"), 24) + F.shiftleft(F.try_element_at(d, F.lit(2)).cast("long"), 16)
+    quad = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & _private_value(plain)
+    return F.coalesce(host.rlike(rf"^{_NUMBER}(\.{_NUMBER}){{0,3}}$") & _private_value(value), F.lit(False)) | F.coalesce(quad, F.lit(False))
 
 
 def _private_v6(host: Column) -> Column:
     """Loopback, link-local fe80::/10, site-local fec0::/10, unique local fc00::/7, and IPv4
-    addresses in IPv6 form that are private."""
+    addresses in IPv6 form (dotted or not) that are private."""
     inside = F.regexp_extract(host, r"^\[([^\]%]*)(?:%[^\]]*)?\]$", 1)
     mapped = F.regexp_extract(inside, r"^(?:0{0,4}:)+ffff:(\d+\.\d+\.\d+\.\d+)$", 1)
-    return inside.rlike("^[0:]*:0{0,3}1$") | inside.rlike("^fe[89a-f][0-9a-f]:") | inside.rlike("^f[cd][0-9a-f]{2}:") | _private_v4(mapped)
+    words = r"^(?:0{0,4}:)+ffff:([0-9a-f]{1,4}):([0-9a-f]{1,4})$"
+    value = F.shiftleft(F.conv(F.regexp_extract(inside, words, 1), 16, 10).try_cast("long"), 16) + F.conv(F.regexp_extract(inside, words, 2), 16, 10).try_cast("long")
+    hexed = F.coalesce(inside.rlike(words) & _private_value(value), F.lit(False))
+    return inside.rlike("^[0:]*:0{0,3}1$") | inside.rlike("^fe[89a-f][0-9a-f]:") | inside.rlike("^f[cd][0-9a-f]{2}:") | hexed | _private_v4(mapped)
 
 
 def url_gate(url: Column, allow_http: bool = False) -> Column:
     """'ok', or why an address is refused. Names are not resolved; a bracketed host that is no IPv6
     address is refused like one that is private."""
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    host = url_host(url)
+    host = F.regexp_replace(url_host(url), r"(?<=[^.])\.$", "")  # a name may end with the root's dot
     bracket = host.startswith("[")
     strange = bracket & ~host.rlike(r"^\[(?=[^\]]*:)[0-9a-f:.]*(?:%[^\]]*)?\]$")
     return (

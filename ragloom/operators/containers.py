@@ -5,8 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..functions.files import ARCHIVE_EXTENSIONS, CONTENT_TYPES, MAIL_EXTENSIONS, SUPPORTED_EXTENSIONS
 from ..params import ContainerLimits
@@ -31,7 +30,7 @@ def _split(path: str) -> tuple[str, str, str]:
     """Folder with its slash, base and extension of a path."""
     folder, slash, name = path.rpartition("/")
     dot = name.rfind(".")
-    base, ext = (name[:dot], name[dot:]) if 0 <= dot < len(name) - 1 else (name.rstrip(".") if dot == len(name) - 1 else name, "")
+    base, ext = (name[:dot], name[dot:]) if 0 <= dot < len(name) - 1 else (name[:-1] if name.endswith(".") else name, "")
     return (folder + slash if folder else ""), base, ext
 
 
@@ -51,13 +50,15 @@ def free_path(path: str, known: set[str], tried: dict[str, int]) -> str:
     return candidate
 
 
-_NUMBERED = re.compile(r"(?: \([0-9]+\))+$")
+_NUMBERED = re.compile(r"(?: \([0-9]+\))+(?=\.|$)")
 
 
 def _family(path: str) -> str:
-    """What all paths share that may stand in each other's way."""
-    folder, base, ext = _split(path.lower())
-    return "\x00".join((folder, _NUMBERED.sub("", base), ext))
+    """What all paths share that may stand in each other's way: the path without the numbers before its dots
+    and its end, and without dots at the end. A number that is put before an extension changes nothing of it, wherever
+    the extension of the other name begins."""
+    folder, slash, name = path.lower().rpartition("/")
+    return folder + slash + _NUMBERED.sub("", name).rstrip(".")
 
 
 def unique_paths(entries: DataFrame) -> DataFrame:
@@ -178,14 +179,9 @@ def admit_container_entries(entries: DataFrame, limits: ContainerLimits | None =
 
     entries: root_id, container_id, container_order, container_path, container_level, ordinal, path,
     size_bytes, is_encrypted, root_files and root_bytes (what the root holds already), stored_paths.
-    Archives and mails share the rules. Per container only the first entries can matter: with every
-    admitted or blocked entry counting as a file, those past the limit and the ones skipped are cut
-    before the fold, and a task holds the rows of one root at a time, max_files at most.
+    Archives and mails share the rules. The limits are tested before an entry is looked at, so blank and
+    stored entries past them warn too: every entry goes through the fold, in a stream; a task
+    holds the rows of one root at a time, max_files at most.
     """
     limits = (limits or ContainerLimits()).floored()
-    order = Window.partitionBy("root_id", "container_id").orderBy("ordinal")
-    counts = F.col("path").isNotNull() & (F.regexp_replace("path", r"[\\/\s]", "") != "")
-    composed = F.lower(F.when(F.coalesce("container_path", F.lit("")) == "", F.regexp_replace(F.trim(F.regexp_replace("path", r"\\", "/")), "^/+", "")).otherwise(F.lit(None)))
-    fresh = counts & ~F.coalesce(F.array_contains(F.transform("stored_paths", lambda p: F.lower(p)), composed), F.lit(False))
-    ranked = entries.where(fresh).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= limits.max_files + 1 + F.coalesce(F.size("stored_paths"), F.lit(0))).drop("__n")
-    return ranked.repartition("root_id").sortWithinPartitions("root_id", "container_order", "ordinal").mapInPandas(_admitted(limits), CHILD)
+    return entries.repartition("root_id").sortWithinPartitions("root_id", "container_order", "ordinal").mapInPandas(_admitted(limits), CHILD)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import files, text, vectors
 from ..operators import chunking, keywords
 from ..shared import fresh_path
-from ..sources import readers, sinks
+from ..sources import bucketed, readers, sinks
 from .tables import ctes, raw, view
 
 W, WL = text.SPACE, text.SPACE_IN_LINE
@@ -260,6 +260,37 @@ def s7_upsert_index(spark, d):
     return sinks.upsert_index(old, new).groupBy((F.col("tag") < 0).alias("replaced")).agg(F.count("*").alias("n"), F.sum("tag").alias("tags"))
 
 
+def _bucketed(spark, rows, key):
+    table = bucketed.BucketTable(fresh_path(spark, "buckets"), key, 32, ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes))
+    table.create(rows)
+    return table
+
+
+def s4_replace_buckets(spark, d):
+    """s4 in a table of buckets by document."""
+    old = view(spark, d, "chunks").select("document_id", "chunk_index", F.col("tag").cast("long").alias("tag"), "index_version")
+    table = _bucketed(spark, old, "document_id")
+    table.replace(old.where("document_id % 5 = 0").withColumn("tag", F.col("tag") + 1).withColumn("index_version", F.lit(9)))
+    return table.read(spark).groupBy("index_version").agg(F.count("*").alias("n"), F.sum("tag").alias("tags"))
+
+
+def s6_delete_buckets(spark, d):
+    """s6 in a table of buckets by document."""
+    rows = view(spark, d, "chunks").join(view(spark, d, "documents").select("document_id", "project_id"), "document_id").select("project_id", "document_id", "index_version", "chunk_index")
+    table = _bucketed(spark, rows, "document_id")
+    table.delete(rows.where("document_id % 3 = 0 and index_version = 1").select("project_id", "document_id", "index_version"))
+    return table.read(spark).groupBy("index_version").agg(F.count("*").alias("n"), F.sum("document_id").alias("ids"))
+
+
+def s7_upsert_buckets(spark, d):
+    """s7 in a table of buckets by chunk."""
+    uid, tag = text.chunk_uid(F.col("document_id"), F.lit(1), F.col("chunk_index")).alias("chunk_uid"), F.col("tag").cast("long")
+    old = view(spark, d, "chunks").groupBy(uid).agg(F.max(tag).alias("tag"), F.lit(0).cast("long").alias("updated_at"))
+    table = _bucketed(spark, old, "chunk_uid")
+    table.upsert(view(spark, d, "chunks").where("document_id % 4 = 0").select(uid, (-tag).alias("tag"), (tag + 1).alias("updated_at")))
+    return table.read(spark).groupBy((F.col("tag") < 0).alias("replaced")).agg(F.count("*").alias("n"), F.sum("tag").alias("tags"))
+
+
 TITLE = TRIM.format(_decoded("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))
 _C = ctes("chunks")
 _P = ctes("pages_text")
@@ -330,9 +361,10 @@ SELECT id, string_agg(p, '|' ORDER BY k) AS keywords FROM k WHERE k <= 12 GROUP
 SQL["s5_export_files"] = f"SELECT value FROM ({SQL['s5_export_bulk']})"
 SQL["g4_keywords_rake"] = SQL["g4_keywords_rake_rows"] = _RAKE
 
+SQL |= {f"{k}_buckets": SQL[twin] for k, twin in (("s4_replace", "s4_replace_chunks"), ("s6_delete", "s6_delete_index_rows"), ("s7_upsert", "s7_upsert_index"))}
 QUERIES = {f.__name__: f for f in (
     t1_normalize_inline, t2_normalize_structured, t3_strip_html, t4_html_title, t5_chunk_uid, t6_content_hash, t7_context_cache_key, t8_preview, t9_content_type,
     t10_container_kind, t11_supported, t12_route_extractor, t13_sniff, t14_url_gate, t15_pad_vector, t16_vector_bytes, t17_lifetime_expiry, g1_chunk_pages, g2_tokenize,
     g3_keywords_frequency, g4_keywords_rake, g4_keywords_rake_rows, g6_attach_vectors, g7_embedding_batches, g8_transcript, s1_read_documents, s1_read_files, s2_read_html_pages,
-    s3_read_catalog, s4_replace_chunks, s5_export_bulk, s5_export_files, s6_delete_index_rows, s7_upsert_index,
+    s3_read_catalog, s4_replace_chunks, s5_export_bulk, s5_export_files, s6_delete_index_rows, s7_upsert_index, s4_replace_buckets, s6_delete_buckets, s7_upsert_buckets,
 )}

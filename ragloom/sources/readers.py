@@ -27,8 +27,19 @@ def read_html_pages(pages: DataFrame) -> DataFrame:
     return rows.where(~is_blank(F.col("text")))
 
 
-def read_catalog(spark: SparkSession, kind: str, path: str, **jdbc: str) -> DataFrame:
-    """A hierarchy table from Parquet (``path``/``kind``.parquet) or, with a url among the options, by JDBC."""
-    if "url" in jdbc:
-        return spark.read.format("jdbc").options(dbtable=kind, **jdbc).load()
-    return spark.read.parquet(f"{path.rstrip('/')}/{kind}.parquet")
+def read_catalog(spark: SparkSession, kind: str, path: str, split_by: str | None = None, parts: int = 8, **jdbc: str) -> DataFrame:
+    """A hierarchy table from Parquet (``path``/``kind``.parquet) or, with a url among the options, by JDBC.
+
+    ``split_by``: a numeric column by whose range, asked of the database first, a table is read in ``parts``
+    partitions. Filters and columns are pushed to the database."""
+    if "url" not in jdbc:
+        return spark.read.parquet(f"{path.rstrip('/')}/{kind}.parquet")
+    reader = spark.read.format("jdbc").options(**jdbc)
+    if split_by is None:
+        return reader.option("dbtable", kind).load()
+    column = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(jdbc["url"]).quoteIdentifier(split_by)
+    ends = reader.option("query", f"SELECT MIN({column}) AS a, MAX({column}) AS b FROM {kind}").load().first()
+    if ends is None or ends[0] is None:
+        return spark.read.format("jdbc").options(**jdbc).option("dbtable", kind).load()
+    bounds = {"partitionColumn": split_by, "lowerBound": str(int(ends[0])), "upperBound": str(int(ends[1]) + 1), "numPartitions": str(parts)}
+    return spark.read.format("jdbc").options(**jdbc, dbtable=kind, **bounds).load()

@@ -82,13 +82,13 @@ def test_container_admission_equals_a_literal_fold(spark):
         files, total, warn, out, names, stopped = 3, 2 * mb, False, [], {}, set()
         for _, c, _, folder, level, i, path, size, locked, _, _, stored in sorted((r for r in rows if r[0] == root), key=lambda r: (r[2], r[5])):
             path = (path or "").replace("\\", "/").strip().lstrip("/")
-            if c in stopped or (not path and files < 20 and total < 90 * mb):
+            if c in stopped:
                 continue
-            if files >= 20 or total >= 90 * mb:
-                # only entries that could be admitted reach the fold; blank ones never do
-                if path:
-                    stopped.add(c)
-                    warn = True
+            if files >= 20 or total >= 90 * mb:  # tested before the entry is looked at
+                stopped.add(c)
+                warn = True
+                continue
+            if not path:
                 continue
             path = f"{folder}/{path}" if folder else path
             if path.lower() in {x.lower() for x in stored}:
@@ -117,16 +117,18 @@ def test_container_admission_equals_a_literal_fold(spark):
 def test_unique_paths_equal_a_literal_fold(spark):
     rng = random.Random(4)
     names = ["a.txt", "A.TXT", "a (2).txt", "a (2) (2).txt", "a", "a.", "A (3)", "b/a.txt", "B\\a.txt", "/b/a (2).txt", " ", None, ".x", "a (2)"]
-    rows = [(c, i, rng.choice(names)) for c in range(4) for i in range(40)]
+    dotted = ["a.b (2)", "a.b.", "a.b", "a (2).b", "a (2).b.", "a..", "a. (2)", "a (2)..", "...", " (2)", "x. (2).b (3)"]
+    rows = [(c, i, rng.choice(names if c < 4 else dotted)) for c in range(8) for i in range(40)]
+    rows += [(8, i, p) for i, p in enumerate(["a.b (2)", "a.b.", "a.b."])]
     got = {(r["container_id"], r["ordinal"]): r["unique_path"] for r in containers.unique_paths(spark.createDataFrame(rows, "container_id long, ordinal long, path string")).collect()}
-    want, known = {}, {c: set() for c in range(4)}
+    want, known = {}, {c: set() for c in range(9)}
     for c, i, p in rows:
         p = (p or "").replace("\\", "/").strip().lstrip("/")
         if not p:
             continue
         folder, name = p.rsplit("/", 1) if "/" in p else ("", p)
-        base, ext = re.fullmatch(r"(.*?)(\.[^.]+|\.*)", name).groups()
-        ext = "" if not ext.strip(".") else ext
+        base, dot, ext = name.rpartition(".")
+        base, ext = (base, dot + ext if ext else "") if dot else (name, "")
         q, n = p, 1
         while q.lower() in known[c]:
             n += 1
@@ -134,6 +136,22 @@ def test_unique_paths_equal_a_literal_fold(spark):
         known[c].add(q.lower())
         want[c, i] = q
     assert got == want
+    assert [got[8, i] for i in range(3)] == ["a.b (2)", "a.b.", "a.b (3)"]
+    assert len({(c, q.lower()) for (c, _), q in got.items()}) == len(got)
+
+
+def one_container(spark, paths, stored, limit):
+    types = "root_id long, container_id long, container_order long, container_path string, container_level int, ordinal long, path string, size_bytes long, is_encrypted boolean, root_files long, root_bytes long, stored_paths array<string>"
+    rows = [(1, 1, 1, "", 0, i, p, 1, False, 0, 0, stored) for i, p in enumerate(paths)]
+    return [(r["container_path"], r["has_warnings"]) for r in containers.admit_container_entries(spark.createDataFrame(rows, types), ContainerLimits(max_files=limit)).collect()]
+
+
+def test_skipped_entries_hide_no_later_one_and_warn_past_the_limit(spark):
+    for n in (30, 60):
+        assert one_container(spark, ["a.txt"] * n + ["b.txt"], ["a.txt"], 40) == [("b.txt", False)]
+    assert one_container(spark, ["a.txt", " "], [], 1) == [("a.txt", True)]
+    assert one_container(spark, ["a.txt", "old.txt"], ["old.txt"], 1) == [("a.txt", True)]
+    assert one_container(spark, [" ", "a.txt"], [], 1) == [("a.txt", False)]
 
 
 def test_upload_outcomes(spark):
@@ -177,6 +195,28 @@ def test_revoke_closure_ends_on_cycles(spark):
     assert sorted(r["user_id"] for r in trees.revoke_closure(g, s).collect()) == [1, 2, 3]
 
 
+def test_revoke_closure_rounds_grow_with_the_logarithm(spark, monkeypatch):
+    rounds = []
+    cut = trees._cut
+    monkeypatch.setattr(trees, "_cut", lambda df: rounds.append(1) or cut(df))
+    chain = [(1, i, i - 1 if i else None) for i in range(2000)] + [(2, i, i - 1 if i else None) for i in range(50)]
+    g = spark.createDataFrame(chain, "tenant_id long, user_id long, granted_by long")
+    s = spark.createDataFrame([(1, 3), (2, 40), (3, 7)], "tenant_id long, user_id long")
+    got = {tuple(r) for r in trees.revoke_closure(g, s).collect()}
+    assert got == {(1, i) for i in range(3, 2000)} | {(2, i) for i in range(40, 50)} | {(3, 7)} and len(rounds) <= 13
+
+
+def test_revoke_closure_with_several_granters(spark):
+    rng = random.Random(6)
+    g = [(t, rng.randrange(40), rng.randrange(40)) for t in range(2) for _ in range(60)]
+    start = [(0, 1), (0, 2), (1, 5)]
+    want = set(start)
+    while more := {(t, u) for t, u, by in g if (t, by) in want} - want:
+        want |= more
+    got = trees.revoke_closure(spark.createDataFrame(g, "tenant_id long, user_id long, granted_by long"), spark.createDataFrame(start, "tenant_id long, user_id long"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 def test_tree_order(spark):
     t = spark.createDataFrame([(1, 1, None, "b"), (1, 2, 1, "z"), (1, 3, None, "a"), (1, 4, 1, "y"), (1, 5, 4, "x"), (1, 6, 99, "c")], "project_id long, document_id long, parent_id long, file_name string")
     assert [r["document_id"] for r in trees.tree_order(t).orderBy("project_id", "path").collect()] == [3, 1, 4, 5, 2, 6]
@@ -226,12 +266,9 @@ def test_ingest_stream_and_router(spark, tmp_path):
     docs = spark.createDataFrame([(1, 0, 1, 1), (2, index.REJECTED, 1, 1), (3, 0, 1, 1)], "document_id long, state int, version int, index_version int")
     ledger = docs.where("document_id = 3")
     queue = spark.createDataFrame([(1,), (1,), (2,), (3,)], "document_id long")
-    queue.write.parquet(str(tmp_path / "q"))
-    s = spark.readStream.schema(queue.schema).parquet(str(tmp_path / "q"))
-    out = str(tmp_path / "out")
-    streams.ingest_stream(s, lambda: docs, lambda: ledger, lambda w: w.select("document_id"), out, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
-    assert [r["document_id"] for r in spark.read.parquet(f"{out}/chunks").collect()] == [1]
-    assert {(r["document_id"], r["result"]) for r in spark.read.parquet(f"{out}/jobs").collect()} == {(1, "completed"), (2, "skipped_security"), (3, "completed")}
+    work, jobs = streams.ingest_batch(queue, docs, ledger)  # the stream form: test_stateful
+    assert [r["document_id"] for r in work.collect()] == [1]
+    assert {(r["document_id"], r["result"]) for r in jobs.collect()} == {(1, "completed"), (2, "skipped_security"), (3, "completed")}
     f = spark.createDataFrame([(1, 0), (2, 3), (None, 0)], "document_id long, retry int")
     assert [r["route"] for r in streams.retry_route(f).collect()] == ["retry", "dead_letter", "drop"]
 
