@@ -23,9 +23,10 @@ def scope_of(same: tuple[str, ...]) -> Column:
     return F.when(~F.exists(F.array(*texts), lambda v: v.isNull()), F.concat_ws("\x00", *texts)) if same else F.lit("")
 
 
-def salted(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """``rows`` with a scope, and the salt of each: about ``size`` rows a salt."""
-    sizes = rows.where("scope is not null").groupBy("scope").agg(F.ceil(F.count("*") / size).cast("int").alias("salts"))
+def salted(rows: DataFrame, key: str, size: int, counted: DataFrame | None = None) -> DataFrame:
+    """``rows`` with a scope, and the salt of each: about ``size`` rows a salt. ``counted``: a frame with the same
+    scopes that is cheaper to count."""
+    sizes = (rows if counted is None else counted).where("scope is not null").groupBy("scope").agg(F.ceil(F.count("*") / size).cast("int").alias("salts"))
     few = F.broadcast(sizes) if sizes.limit(BROADCAST_SCOPES + 1).count() <= BROADCAST_SCOPES else sizes
     return rows.join(few, "scope").withColumn("salt", F.pmod(F.xxhash64(key), F.col("salts")).cast("int")).drop("salts")
 

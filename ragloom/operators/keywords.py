@@ -29,11 +29,13 @@ def keywords_frequency(texts: DataFrame, id_col: str, text_col: str, n: int = 12
     return _top(words.groupBy(id_col, "term").agg(F.count("*").alias("n")), id_col, "term", "n", n)
 
 
-def with_keywords(texts: DataFrame, text_col: str, n: int = 12) -> DataFrame:
+def with_keywords(texts: DataFrame, text_col: str, n: int = 12, tokens_as: str | None = None) -> DataFrame:
     """``texts`` with keywords: the most frequent candidate tokens of each row, null where there are none. Rows are
-    worked off in batches where they are read."""
-    rows = texts.withColumn("keywords", candidate_tokens(F.col(text_col)))
-    at = len(texts.columns) if "keywords" not in texts.columns else texts.columns.index("keywords")
+    worked off in batches where they are read. With ``tokens_as`` all tokens, in a column of that name, take the text's
+    place, so that what follows need not find them again."""
+    rows = texts.drop("keywords").withColumn(tokens_as or "keywords", tokens(F.col(text_col)))
+    rows = rows.drop(text_col) if tokens_as else rows
+    at, stop = len(rows.columns) - 1, pa.array(STOP_WORDS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -41,19 +43,23 @@ def with_keywords(texts: DataFrame, text_col: str, n: int = 12) -> DataFrame:
             size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             flat = lists.flatten().dictionary_encode()
             terms, kinds = flat.dictionary, max(1, len(flat.dictionary))
+            candidate = np.append(pc.and_(pc.greater_equal(pc.utf8_length(terms), 3), pc.invert(pc.is_in(terms, value_set=stop))).to_numpy(zero_copy_only=False), False)
             place = np.empty(len(terms), np.int64)
             place[pc.sort_indices(terms).to_numpy()] = np.arange(len(terms))
             pair, often = np.unique(np.repeat(np.arange(len(size)), size) * kinds + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
             row, term = pair // kinds, pair % kinds
+            row, term, often = row[candidate[term]], term[candidate[term]], often[candidate[term]]
             length = pc.utf8_length(terms).to_numpy(zero_copy_only=False)[term]
             o = np.lexsort((place[term], -length, -often, row))
             row, term = row[o], term[o]
             best = np.arange(len(row)) - np.searchsorted(row, np.arange(len(size)))[row] < n
-            edge = np.append(0, np.cumsum(np.bincount(row[best], minlength=len(size))))
-            found = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), terms.take(pa.array(term[best])), mask=pa.array(size == 0))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) if i != at else found for i in range(b.num_columns))], names=b.schema.names)
+            each = np.bincount(row[best], minlength=len(size))
+            found = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(each)), pa.int32()), terms.take(pa.array(term[best])), mask=pa.array(each == 0))
+            kept = b.columns if tokens_as else b.columns[:at]
+            yield pa.RecordBatch.from_arrays([*kept, found], names=[*b.schema.names[: len(kept)], "keywords"])
 
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes)  # every column may be null
+    names = rows if tokens_as else rows.drop("keywords")
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in [*names.dtypes, ("keywords", "array<string>")])  # every column may be null
     return rows.mapInArrow(count, schema)
 
 

@@ -30,7 +30,7 @@ from ..functions.text import tokens, trim_space
 from .dealing import meet, salted, scope_of
 
 #: Chunks of a segment, chunks of a block, questions of a slot.
-SEGMENT, BLOCK, QUERIES = 8192, 2, 2_000
+SEGMENT, BLOCK, QUERIES = 4096, 2, 2_000
 #: Terms of questions up to which they are broadcast.
 BROADCAST_TERMS = 300_000
 K1, B = 1.2, 0.75
@@ -131,17 +131,21 @@ def _segment(t: pa.Table, schema: pa.Schema) -> pa.Table:
     return pa.concat_tables([table(d) for d in out])
 
 
-def write_index(rows: DataFrame, path: str, same: tuple[str, ...] = (), listed: bool = False) -> Index:
-    """The index of ``rows`` (chunk_uid, text, keywords, the columns of ``same``, and document_id if
-    ``listed``), written below ``path``."""
+def write_index(rows: DataFrame, path: str, same: tuple[str, ...] = (), listed: bool = False, counted: DataFrame | None = None) -> Index:
+    """The index of ``rows`` (chunk_uid, text or its tokens, keywords, the columns of ``same``, and document_id if
+    ``listed``), written below ``path``. ``counted``: the same rows in a form that is cheaper to count (with the
+    columns of ``same``)."""
     kinds = dict(rows.dtypes)
     doc = "document_id" if listed else F.lit(0).alias("document_id")
     schema = _SCHEMA.format(uid=kinds["chunk_uid"], doc=kinds["document_id"] if listed else "int")
     keys = F.array_distinct(F.coalesce("keywords", F.array().cast("array<string>")))
     # chunks without a scope count in the statistics, under a name that no question's scope has
     scope = F.coalesce(scope_of(same), F.lit("\x00" * len(same)))
-    dealt = salted(rows.select("chunk_uid", doc, "text", "keywords", scope.alias("scope")), "chunk_uid", SEGMENT)
-    parts = dealt.select("scope", "salt", "chunk_uid", "document_id", tokens(F.col("text")).alias("t0"), tokens(F.array_join("keywords", " ")).alias("t1"), keys.alias("keys"))
+    sizes = None if counted is None else counted.select(scope.alias("scope"))
+    text = "tokens" if "tokens" in rows.columns else "text"
+    found = F.coalesce("tokens", F.array().cast("array<string>")) if text == "tokens" else tokens(F.col("text"))
+    dealt = salted(rows.select("chunk_uid", doc, text, "keywords", scope.alias("scope")), "chunk_uid", SEGMENT, sizes)
+    parts = dealt.select("scope", "salt", "chunk_uid", "document_id", found.alias("t0"), tokens(F.array_join("keywords", " ")).alias("t1"), keys.alias("keys"))
     arrow = _arrow_schema(rows.sparkSession, schema)
     parts.groupBy("scope", "salt").applyInArrow(lambda t: _segment(t, arrow), schema).write.partitionBy("field").parquet(path)
     return read_index(rows.sparkSession, path, schema, same, listed)

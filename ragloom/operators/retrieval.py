@@ -321,7 +321,7 @@ def _near_best(a: np.ndarray, norm: np.ndarray, at: np.ndarray, of: np.ndarray,
     return at[r], of[x], np.divide(dot, both, out=np.zeros(len(dot)), where=both > 0)
 
 
-def bm25_topk(queries: DataFrame, index: DataFrame, size: int = 24, match_weight: float = 2.0, keyword_weight: float = 1.0, terms_score: float = 1.0, same: tuple[str, ...] = (), listed: bool = False) -> DataFrame:
+def bm25_topk(queries: DataFrame, index: DataFrame, size: int = 24, match_weight: float = 2.0, keyword_weight: float = 1.0, terms_score: float = 1.0, same: tuple[str, ...] = (), listed: bool = False, counted: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_uid, score, rank.
 
     queries: (query_id, query_text, keywords); index: (chunk_uid, text, keywords). Score: twice the
@@ -329,7 +329,7 @@ def bm25_topk(queries: DataFrame, index: DataFrame, size: int = 24, match_weight
     one of the row's keywords. Statistics are those of the whole index, whatever the scope. The rows are
     indexed first; with an index that is kept, call lexical_index.search and ``bm25_ranked``.
     """
-    stored = lexical_index.write_index(index, fresh_path(index.sparkSession, "lexical-index"), same, listed)
+    stored = lexical_index.write_index(index, fresh_path(index.sparkSession, "lexical-index"), same, listed, counted)
     return bm25_ranked(lexical_index.search(stored, queries, max(1, size), match_weight, keyword_weight, terms_score), size)
 
 

@@ -53,8 +53,8 @@ def r2_cosine_builtin(spark, d):
 
 
 def r3_bm25_topk(spark, d):
-    rows = keywords.with_keywords(chunks(spark, d).select("chunk_uid", F.col("content").alias("text")), "text")
-    return retrieval.bm25_topk(questions(spark, d), rows, 24).select("query_id", "chunk_uid", F.round("score", 5).alias("score"), "rank")
+    c = chunks(spark, d).select("chunk_uid", F.col("content").alias("text"))
+    return retrieval.bm25_topk(questions(spark, d), keywords.with_keywords(c, "text", tokens_as="tokens"), 24, counted=c).select("query_id", "chunk_uid", F.round("score", 5).alias("score"), "rank")
 
 
 def r4_knn_scoped(spark, d):
