@@ -36,6 +36,7 @@ _TAG = re.compile(
 )
 _ATTR = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 _WORD = re.compile(r"[A-Za-z]+")
+_GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b")
 _DIGITS = re.compile(r"[0-9]+")
 _SPACES = re.compile(r"\s+")
 _PUNCT = re.compile(r"[.,;:!?…。，、！？]")
@@ -66,7 +67,10 @@ NAMES = frozenset(
 )
 HEADER_NAMES = NAMES | {"header", "topbar"}
 #: Words beside such names that change nothing, and words that make them speak of something else.
-NEUTRAL = frozenset("list area box section block container wrapper wrap item items bar site page top bottom left right link links post main content inner outer article entry blog body div".split())
+NEUTRAL = frozenset(
+    "list box section block container wrapper wrap item items bar site page top bottom left right link links post main content inner outer article entry blog body div "
+    "slot unit thread prompt message policy posts panel zone group area feed".split()
+)
 OTHER = frozenset("has no with without overflow not is".split())
 #: Weight of an element that is named as furniture and nothing else, and of what stands outside the articles.
 NAMED, OUTSIDE = 0.03, 0.3
@@ -98,7 +102,7 @@ def _attributes(attrs: str, names: frozenset[str]) -> tuple[float, bool, str]:
     share, hidden, label = 0.0, False, ""
     for m in _ATTR.finditer(attrs):
         k, v = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if k == "hidden" or (k == "aria-hidden" and v == "true"):
+        if k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and _GONE.search(v)):
             hidden = True
         elif k in ("class", "id", "role"):
             if k != "id":
@@ -107,7 +111,9 @@ def _attributes(attrs: str, names: frozenset[str]) -> tuple[float, bool, str]:
                 words = _WORD.findall(part)
                 hits = sum(w in names for w in words)
                 if hits and not OTHER.intersection(words):
-                    share = max(share, hits / (hits + sum(w not in names and w not in NEUTRAL for w in words)))
+                    # what a compound names is its last word: reader comments are comments, side effects no side
+                    head = next((w for w in reversed(words) if w not in NEUTRAL), "")
+                    share = 1.0 if head in names else max(share, hits / (hits + sum(w not in names and w not in NEUTRAL for w in words)))
     return share, hidden, label
 
 

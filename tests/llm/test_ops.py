@@ -569,6 +569,20 @@ def test_html_names_only_weigh():
     assert "no" == html_extract.extract("<p>no</p><div hidden>gone</div>")
 
 
+def test_html_compound_names_mean_their_last_word():
+    talk = "<p>I think, as a reader, that this is quite wrong. It should say more, and better.</p>"
+    gone = "reader-comments user-comments comment-thread google-ad ad-slot sticky-ads related-posts subscribe-prompt cookie-policy cookie-message copyright-footer"
+    for name in gone.split():
+        for page in (f"<article>{BODY}<div class='{name}'>{talk}</div></article>", f"<div>{BODY}<div class='{name}'>{talk}</div></div>", f"<article>{BODY}</article><div class='{name}'>{talk}</div>"):
+            assert "reader" not in html_extract.extract(page), (name, page)
+    for name in ("side-effects", "advert-law", "comment-of-the-editor"):
+        for page in (f"<article>{BODY}<div class='{name}'>{talk}</div></article>", f"<div>{BODY}<div class='{name}'>{talk}</div></div>"):
+            assert "reader" in html_extract.extract(page), (name, page)
+    for style in ("display:none", "color: red; DISPLAY : none;", "visibility:hidden"):
+        assert "reader" not in html_extract.extract(f'<article>{BODY}<div style="{style}">{talk}</div></article>')
+    assert "reader" in html_extract.extract(f'<article>{BODY}<div style="display:block">{talk}</div></article>')
+
+
 def test_html_returns_all_that_is_selected():
     teaser = "<article><p>A teaser of the next story, with marks. It goes on, and on, and on, for a while. It is long, too, and has more, as teasers do.</p></article>"
     got = html_extract.extract(f"<body><div id=lead><p>The lead of the story, with marks. It says what follows, in short.</p></div><div id=c>{BODY}</div>{teaser * 3}</body>")
