@@ -15,6 +15,7 @@ from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulP
 
 from ..operators import chunking, keywords
 from ..operators.index import COMPLETED, EXTRACTED, EXTRACTION_FAILED, FAILED, QUARANTINED, REJECTED
+from ..shared import keep
 
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -74,10 +75,13 @@ def ingest_documents(work: DataFrame, vectors: DataFrame, size: int = 1400, over
 
     blank = is_blank(F.coalesce("text", F.lit("")))
     chunks = chunking.chunk_single_pages(work.where(~blank).withColumn("page_number", F.lit(1)), size, overlap)
-    chunks = chunks.withColumn("chunk_uid", chunk_uid(F.col("document_id"), F.col("index_version"), F.col("chunk_index")))
-    words = keywords.keywords_frequency_rows(chunks, "chunk_uid", "content")
-    good, failed = chunking.attach_vectors(chunks.join(words, "chunk_uid", "left"), vectors)
+    chunks = chunks.select(chunk_uid(F.col("document_id"), F.col("index_version"), F.col("chunk_index")).alias("chunk_uid"), "document_id", "version", "index_version", "chunk_index", "content")
+    # failures first, from ids alone: keywords are found for the chunks that stay only
+    _, failed = chunking.attach_vectors(chunks.select("chunk_uid", "document_id"), vectors)
     errors = work.where(blank).select("document_id", F.lit("no text").alias("error")).unionByName(failed.select("document_id", F.lit("chunks without a vector").alias("error")))
+    errors = keep(errors, "errors")
+    good = keywords.with_keywords(chunks.join(errors.select("document_id"), "document_id", "left_anti"), "content")
+    good = good.join(vectors.select("chunk_uid", "embedding"), "chunk_uid")
     return good.select("chunk_uid", "document_id", "version", "index_version", "chunk_index", "content", "keywords", "embedding"), errors
 
 
