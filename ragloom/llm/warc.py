@@ -38,6 +38,7 @@ DATE = "2024-01-01T00:00:00Z"
 PER_FILE = 2000
 _MAGIC = b"\x1f\x8b\x08"
 _LINE = re.compile(rb"WARC/[01]\.\d\r?\n")
+_NEXT = re.compile(rb"\nWARC/[01]\.\d\r?\n")
 _END = re.compile(rb"\r?\n\r?\n")
 
 
@@ -88,7 +89,10 @@ def _parse(data: bytes, at: int) -> tuple[Record, int] | str:
     line = _LINE.match(data, at)
     if not line:
         return "no version line"
-    end = _END.search(data, line.end() - 2 if data[line.end() - 2 : line.end()] == b"\r\n" else line.end() - 1)
+    # no header goes beyond the next version line, so the search for its end is no longer than the way there
+    further = _NEXT.search(data, line.end() - 1)
+    begin = line.end() - 2 if data[line.end() - 2 : line.end()] == b"\r\n" else line.end() - 1
+    end = _END.search(data, begin, further.start() + 1 if further else len(data))
     if not end:
         return "header without end"
     headers = {}

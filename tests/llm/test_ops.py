@@ -731,3 +731,11 @@ def test_language_beyond_a_prefix_and_many_languages(spark):
     rows = language_id.identify(p, d, d).collect()
     assert len(codes) > 64 and {r["doc_id"]: r["lang"] for r in rows if r["kind"] == "document"} == dict(enumerate(codes * 2))
     assert [r["declared"] for r in rows if r["kind"] == "page"] == ["zzh"]
+
+
+def test_header_search_is_linear():
+    for lines in (8_000, 80_000):
+        data = b"WARC/1.0\r\n" * lines + b"\r\n"
+        began = time.time()
+        assert [type(x).__name__ for x in warc.salvage(data)] == ["Gap"]
+        assert time.time() - began < 5
