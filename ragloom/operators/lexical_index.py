@@ -67,6 +67,15 @@ def _owners(lists: pa.Array) -> np.ndarray:
     return np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
 
 
+def _split(joined: pa.Array) -> pa.Array:
+    """Lists of tokens from tokens joined by blanks; an empty string has none."""
+    lists = pc.split_pattern(joined, " ")
+    flat = lists.flatten()
+    some = pc.not_equal(flat, "")
+    each = np.bincount(_owners(lists)[some.to_numpy(zero_copy_only=False)], minlength=len(lists))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(each)), pa.int32()), flat.filter(some))
+
+
 def _counted(lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """(terms, row, term number, frequency) of a column of lists, each pair once."""
     flat = lists.flatten().dictionary_encode()
@@ -93,6 +102,7 @@ def _segment(t: pa.Table, schema: pa.Schema) -> pa.Table:
     t = t.combine_chunks()
     n = t.num_rows
     col = {c: t.column(c).chunk(0) if t.column(c).num_chunks else pa.array([], t.schema.field(c).type) for c in ("t0", "t1", "keys")}
+    col |= {c: _split(col[c]) for c in ("t0", "t1")}
     counted = [_counted(col[c]) for c in ("t0", "t1", "keys")]
     place = _neighbours(counted[0][1], counted[0][2], n)
     order = np.argsort(place)
@@ -145,7 +155,8 @@ def write_index(rows: DataFrame, path: str, same: tuple[str, ...] = (), listed:
     text = "tokens" if "tokens" in rows.columns else "text"
     found = F.coalesce("tokens", F.array().cast("array<string>")) if text == "tokens" else tokens(F.col("text"))
     dealt = salted(rows.select("chunk_uid", doc, text, "keywords", scope.alias("scope")), "chunk_uid", SEGMENT, sizes)
-    parts = dealt.select("scope", "salt", "chunk_uid", "document_id", found.alias("t0"), tokens(F.array_join("keywords", " ")).alias("t1"), keys.alias("keys"))
+    # tokens travel as one string, which is far smaller than an array of them
+    parts = dealt.select("scope", "salt", "chunk_uid", "document_id", F.array_join(found, " ").alias("t0"), F.coalesce(F.array_join(tokens(F.array_join("keywords", " ")), " "), F.lit("")).alias("t1"), keys.alias("keys"))
     arrow = _arrow_schema(rows.sparkSession, schema)
     parts.groupBy("scope", "salt").applyInArrow(lambda t: _segment(t, arrow), schema).write.partitionBy("field").parquet(path)
     return read_index(rows.sparkSession, path, schema, same, listed)
