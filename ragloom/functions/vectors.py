@@ -15,6 +15,11 @@ def pad_vector(c: Column, dims: int) -> Column:
     return F.slice(F.concat(c.cast("array<float>"), F.array_repeat(F.lit(0.0).cast("float"), n)), 1, n)
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """Rounded as doubles are: what is below zero keeps its sign where it becomes zero."""
+    return F.signum(c) * F.abs(F.round(c, digits))
+
+
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_vector(data: pd.Series) -> pd.Series:
     """Little-endian float32 bytes to an array; a length that is no multiple of 4 is an error."""

@@ -150,7 +150,7 @@ def t14_url_gate(spark, d):
 
 
 def t15_pad_vector(spark, d):
-    return raw(spark, d, "embeddings").select("vec_id", *[F.transform(vectors.pad_vector(F.col("embedding"), n), lambda x: F.round(x.cast("double"), 5)).alias(f"v{n}") for n in (4, 80)])
+    return raw(spark, d, "embeddings").select("vec_id", *[F.transform(vectors.pad_vector(F.col("embedding"), n), lambda x: vectors.rounded(x.cast("double"), 5)).alias(f"v{n}") for n in (4, 80)])
 
 
 def t16_vector_bytes(spark, d):

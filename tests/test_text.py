@@ -91,6 +91,11 @@ def test_vectors(spark):
     assert all(r["x"] == r["b"] for r in back)
 
 
+def test_rounding_keeps_the_sign_of_zero(spark):
+    df = spark.createDataFrame([(-1e-7, 1e-7, -0.0, -1.23456789, 2.5e-5)], "a double, b double, c double, d double, e double")
+    assert [repr(x) for x in df.select(*[vectors.rounded(F.col(c), 5) for c in "abcde"]).first()] == ["-0.0", "0.0", "-0.0", "-1.23457", "3e-05"]
+
+
 def test_content_types(spark):
     df = spark.createDataFrame([("x.TAR.GZ", None), ("a.docx", "application/octet-stream"), ("a", " Text/HTML ; q"), (".zip", ""), ("a.", None)], "n string, t string")
     got = [r[0] for r in df.select(files.guess_content_type(F.col("n"), F.col("t"))).collect()]
