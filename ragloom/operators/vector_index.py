@@ -146,7 +146,7 @@ def _probe(index: Index, queries: DataFrame, k: int, first: bool) -> DataFrame:
     return queries.select(*columns).mapInArrow(near, f"query_id {kind}, query_vector array<float>, list int, rings array<int>")
 
 
-def _compare(index: Index, probes: DataFrame, k: int) -> DataFrame:
+def _compare(index: Index, probes: DataFrame, k: int, digits: int = 9) -> DataFrame:
     """query_id, chunk_uid, score, compared: the k best vectors of every part of a cell for the questions that probe it."""
     kinds = dict(probes.dtypes), dict(index.rows.dtypes)
     schema = f"query_id {kinds[0]['query_id']}, chunk_uid {kinds[1]['chunk_uid']}, score double, compared long"
@@ -182,14 +182,14 @@ def _compare(index: Index, probes: DataFrame, k: int) -> DataFrame:
                 both = norm[at][:, None] * np.sqrt((w[of] * w[of]).sum(1, dtype=np.float64))
                 rough = np.divide(m[at].astype(np.float64) @ w[of].T.astype(np.float64), both, out=np.zeros(both.shape), where=both > 0)
                 least = np.partition(rough, len(at) - k, axis=0)[len(at) - k] if len(at) > k else np.full(len(of), -2.0)
-                r, x = np.nonzero(rough >= least - SLACK)
+                r, x = np.nonzero(rough >= least - max(SLACK, 10.0 ** (1 - digits)))
                 dot = (m[at[r]] * w[of[x]]).sum(1, dtype=np.float64)
                 for part, new in zip(best, (at[r], of[x], np.divide(dot, both[r, x], out=np.zeros(len(dot)), where=both[r, x] > 0)), strict=True):
                     part.append(new)
             if not best[0]:
                 continue
             r, x, s = (np.concatenate(part) for part in best)
-            o = np.lexsort((place[r], -np.round(s, 9), x))
+            o = np.lexsort((place[r], -np.round(s, digits), x))
             r, x, s = r[o], x[o], s[o]
             top = np.arange(len(x)) - np.searchsorted(x, np.arange(len(w)))[x] < k
             out.append(pa.table([ids.take(pa.array(lo + x[top])), uids.take(pa.array(r[top])), pa.array(s[top]), pa.array(compared[lo + x[top]])], names=arrow.names).cast(arrow))
@@ -198,19 +198,20 @@ def _compare(index: Index, probes: DataFrame, k: int) -> DataFrame:
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(score, schema)
 
 
-def search(index: Index, queries: DataFrame, k: int = 6) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int = 6, digits: int = 9) -> DataFrame:
     """query_id, chunk_uid, score, compared: among them the k best vectors of every question (query_id,
-    query_vector). ``compared``: how many vectors the question met where the row was found."""
+    query_vector). ``compared``: how many vectors the question met where the row was found.
+    Scores that are equal when rounded to ``digits`` are ties."""
     from .retrieval import cosine_topk
 
     dims = index.centroids.shape[1]
     q = queries.select("query_id", F.col("query_vector").cast("array<float>").alias("query_vector")).where(F.size("query_vector") > 0)
     fits = F.size("query_vector") == dims
-    first = keep(_compare(index, _probe(index, q.where(fits), k, True), k), "first-hits")
+    first = keep(_compare(index, _probe(index, q.where(fits), k, True), k, digits), "first-hits")
     ranked = first.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), False).alias("s"))  # k rows a cell of the first step
     limit = ranked.select("query_id", F.get("s", F.lit(k - 1)).alias("limit"))
-    second = _compare(index, _probe(index, q.where(fits).join(limit, "query_id", "left"), k, False), k)
-    other = [cosine_topk(q.where(~fits), index.rows, k), cosine_topk(q, index.odd, k)]
+    second = _compare(index, _probe(index, q.where(fits).join(limit, "query_id", "left"), k, False), k, digits)
+    other = [cosine_topk(q.where(~fits), index.rows, k, digits=digits), cosine_topk(q, index.odd, k, digits=digits)]
     hits = first.unionByName(second)
     for x in other:
         hits = hits.unionByName(x.select("query_id", "chunk_uid", "score", F.lit(None).cast("long").alias("compared")))
