@@ -23,11 +23,16 @@ def chunks_with_hierarchy(chunks: DataFrame, documents: DataFrame, projects: Dat
     return chunks.join(d, "document_id").join(p, "project_id").join(w, "workspace_id")
 
 
-def build_index_rows(chunks: DataFrame, documents: DataFrame, projects: DataFrame, workspaces: DataFrame, keywords: DataFrame, vectors: DataFrame, dims: int) -> DataFrame:
-    """One row per chunk for the index: ids of the hierarchy, keywords, padded vector, version, state."""
+def build_index_rows(chunks: DataFrame, documents: DataFrame, projects: DataFrame, workspaces: DataFrame, keywords: DataFrame | None, vectors: DataFrame, dims: int) -> DataFrame:
+    """One row per chunk for the index: ids of the hierarchy, keywords, padded vector, version, state. Without
+    ``keywords`` (chunk_uid, keywords) the chunks hold their own."""
+    if keywords is not None:
+        chunks = chunks.drop("keywords")
     rows = chunks_with_hierarchy(chunks, documents, projects, workspaces)
     rows = rows.withColumn("index_version", F.col("project_index_version")).withColumn("chunk_uid", chunk_uid(F.col("document_id"), F.col("index_version"), F.col("chunk_index")))
-    rows = rows.join(keywords, "chunk_uid", "left").join(vectors, "chunk_uid", "left")
+    if keywords is not None:
+        rows = rows.join(keywords, "chunk_uid", "left")
+    rows = rows.join(vectors, "chunk_uid", "left")
     return rows.select(
         "chunk_uid", "tenant_id", "workspace_id", "project_id", "document_id", "file_name", "chunk_index", "page_number", "source_type",
         F.col("content").alias("text"), F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"),
