@@ -176,7 +176,7 @@ def g2_tokenize(spark, d):
 
 
 def g3_keywords_frequency(spark, d):
-    return keywords.keywords_frequency(raw(spark, d, "documents"), "doc_id", "text").select("doc_id", F.array_join("keywords", "|").alias("keywords"))
+    return keywords.keywords_frequency_rows(raw(spark, d, "documents"), "doc_id", "text").select("doc_id", F.array_join("keywords", "|").alias("keywords"))
 
 
 def g4_keywords_rake(spark, d):
