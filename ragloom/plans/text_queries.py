@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import files, text, vectors
 from ..operators import chunking, keywords
-from ..shared import fresh_path
+from ..shared import fresh_path, keep
 from ..sources import bucketed, readers, sinks
 from .tables import ctes, raw, view
 
@@ -189,6 +189,7 @@ def g4_keywords_rake_rows(spark, d):
 
 def g6_attach_vectors(spark, d):
     chunks = chunks_of(spark, d).withColumn("chunk_uid", text.chunk_uid(F.col("document_id"), F.lit(1), F.col("chunk_index")))
+    chunks = keep(chunks.select("document_id", "chunk_uid"), "chunk_ids")  # the texts are cut once
     vecs = raw(spark, d, "embeddings").withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(2)))).select(text.chunk_uid(F.col("vec_id"), F.lit(1), F.col("n")).alias("chunk_uid"), "embedding")
     good, failed = chunking.attach_vectors(chunks, vecs)
     ok = good.groupBy("document_id").agg(F.count("*").alias("chunks"), F.count("embedding").alias("vectors")).withColumn("failed", F.lit(False))
