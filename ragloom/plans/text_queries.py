@@ -214,7 +214,8 @@ def s1_read_files(spark, d):
     path = fresh_path(spark, "files")
     docs = raw(spark, d, "documents").where("text is not null").groupBy(F.floor(F.col("doc_id") / 20).alias("part"))
     one = docs.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    one.repartition("part").write.partitionBy("part").text(path)
+    # a part is one row and so one file; tasks put their files in place themselves
+    one.write.partitionBy("part").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
     pages = readers.read_documents(spark, f"{path}/*")
     return pages.select(F.regexp_extract("document_id", "part=(-?[0-9]+)", 1).cast("long").alias("part"), "page_number", "source_type", F.length("text").cast("long").alias("chars"), F.md5("text").alias("text_md5"))
 
