@@ -97,8 +97,8 @@ def _neighbours(row: np.ndarray, term: np.ndarray, n_rows: int) -> np.ndarray:
     return place
 
 
-def _segment(t: pa.Table, schema: pa.Schema) -> pa.Table:
-    """The posting rows of a segment's chunks."""
+def _segment(t: pa.Table, schema: pa.Schema, asked: pa.Array | None) -> pa.Table:
+    """The posting rows of a segment's chunks, of all terms or the asked ones."""
     t = t.combine_chunks()
     n = t.num_rows
     col = {c: t.column(c).chunk(0) if t.column(c).num_chunks else pa.array([], t.schema.field(c).type) for c in ("t0", "t1", "keys")}
@@ -107,10 +107,19 @@ def _segment(t: pa.Table, schema: pa.Schema) -> pa.Table:
     place = _neighbours(counted[0][1], counted[0][2], n)
     order = np.argsort(place)
     lengths = [np.bincount(_owners(col[c]), minlength=n)[order] for c in ("t0", "t1", "keys")]
+    if asked is not None:
+        lengths[0] = t.column("n0").to_numpy()[order]
     out = []
     for field, (terms, row, term, tf) in enumerate(counted):
         if not len(row):
             continue
+        if asked is not None:  # the other terms' rows would never be read
+            known = pc.index_in(terms, value_set=asked)
+            at_term = np.cumsum(known.is_valid().to_numpy(zero_copy_only=False)) - 1
+            some = known.is_valid().to_numpy(zero_copy_only=False)[term]
+            terms, row, term, tf = terms.filter(known.is_valid()), row[some], at_term[term[some]], tf[some]
+            if not len(row):
+                continue
         at = place[row]
         o = np.lexsort((at, term))
         at, term, tf = at[o], term[o], tf[o]
@@ -141,10 +150,11 @@ def _segment(t: pa.Table, schema: pa.Schema) -> pa.Table:
     return pa.concat_tables([table(d) for d in out])
 
 
-def write_index(rows: DataFrame, path: str, same: tuple[str, ...] = (), listed: bool = False, counted: DataFrame | None = None) -> Index:
+def write_index(rows: DataFrame, path: str, same: tuple[str, ...] = (), listed: bool = False, counted: DataFrame | None = None, asked: pa.Array | None = None) -> Index:
     """The index of ``rows`` (chunk_uid, text or its tokens, keywords, the columns of ``same``, and document_id if
     ``listed``), written below ``path``. ``counted``: the same rows in a form that is cheaper to count (with the
-    columns of ``same``)."""
+    columns of ``same``). With ``asked`` the index is one for these terms alone: rows then hold the asked ones of their
+    tokens and the number of all, n_tokens, so statistics and scores are those of the whole index."""
     kinds = dict(rows.dtypes)
     doc = "document_id" if listed else F.lit(0).alias("document_id")
     schema = _SCHEMA.format(uid=kinds["chunk_uid"], doc=kinds["document_id"] if listed else "int")
@@ -154,11 +164,12 @@ def write_index(rows: DataFrame, path: str, same: tuple[str, ...] = (), listed:
     sizes = None if counted is None else counted.select(scope.alias("scope"))
     text = "tokens" if "tokens" in rows.columns else "text"
     found = F.coalesce("tokens", F.array().cast("array<string>")) if text == "tokens" else tokens(F.col("text"))
-    dealt = salted(rows.select("chunk_uid", doc, text, "keywords", scope.alias("scope")), "chunk_uid", SEGMENT, sizes)
+    count = [] if asked is None else ["n_tokens"]
+    dealt = salted(rows.select("chunk_uid", doc, text, "keywords", *count, scope.alias("scope")), "chunk_uid", SEGMENT, sizes)
     # tokens travel as one string, which is far smaller than an array of them
-    parts = dealt.select("scope", "salt", "chunk_uid", "document_id", F.array_join(found, " ").alias("t0"), F.coalesce(F.array_join(tokens(F.array_join("keywords", " ")), " "), F.lit("")).alias("t1"), keys.alias("keys"))
+    parts = dealt.select("scope", "salt", "chunk_uid", "document_id", F.array_join(found, " ").alias("t0"), F.coalesce(F.array_join(tokens(F.array_join("keywords", " ")), " "), F.lit("")).alias("t1"), keys.alias("keys"), *([] if asked is None else [F.col("n_tokens").alias("n0")]))
     arrow = _arrow_schema(rows.sparkSession, schema)
-    parts.groupBy("scope", "salt").applyInArrow(lambda t: _segment(t, arrow), schema).write.partitionBy("field").parquet(path)
+    parts.groupBy("scope", "salt").applyInArrow(lambda t: _segment(t, arrow, asked), schema).write.partitionBy("field").parquet(path)
     return read_index(rows.sparkSession, path, schema, same, listed)
 
 
@@ -169,6 +180,13 @@ def _arrow_schema(spark, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
+def asked_terms(queries: DataFrame) -> pa.Array | None:
+    """The distinct tokens and keywords of the questions, where they are at most BROADCAST_TERMS."""
+    every = F.concat(tokens(F.col("query_text")), F.coalesce("keywords", F.array().cast("array<string>")))
+    terms = queries.select(F.explode(every).alias("term")).where("term is not null").distinct().limit(BROADCAST_TERMS + 1).toArrow().column(0).combine_chunks()
+    return terms.cast(pa.string()) if len(terms) <= BROADCAST_TERMS else None
+
+
 def read_index(spark, path: str, schema: str, same: tuple[str, ...] = (), listed: bool = False) -> Index:
     return Index(spark.read.schema(schema).parquet(path), same, listed)
 
