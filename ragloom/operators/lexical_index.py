@@ -231,7 +231,7 @@ def best_of_segment(terms: list[tuple[float, _Found]], keys: list[_Found], bonus
         chosen = np.zeros(len(blocks), bool)
         chosen[now] = True
         hit = chosen[of]
-        total = np.bincount(rows[hit], part[hit], n)
+        total = np.bincount(rows[hit], part[hit], n).astype(np.float64)  # of nothing it makes integers
         mine = key_rows[chosen[key_rows // BLOCK]]
         total[mine] += bonus
         if allowed is not None:
