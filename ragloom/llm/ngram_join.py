@@ -16,6 +16,7 @@ read whole; an empty table gives no rows; other columns of the input are ignored
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -149,21 +150,44 @@ def shingle_components(docs: DataFrame, num: int = 80, den: int = 100) -> DataFr
     )
 
 
+def _told(kept, gone):
+    """Of a row's 64 bits: 1 stays, 0 goes, 2 may do either, as it is in both filters."""
+
+    @F.pandas_udf("int")
+    def run(row: pd.Series) -> pd.Series:
+        ids = row.to_numpy()
+        stays, goes = (member(np.frombuffer(x.value, np.uint8), ids) for x in (kept, gone))
+        return pd.Series(np.where(goes, np.where(stays, 2, 0), 1).astype(np.int32))
+
+    return run
+
+
 def one_per_component(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component one row stays, that with the
     smallest doc_id (of several the first by a hash of the text; rows without doc_id come last).
-    Rows without words are like no other and stay."""
+    Rows without words are like no other and stay.
+
+    Every row with words is in one of two tables of ids, the rows that stay and those that go. A row
+    that is not in the filter of the latter stays, so of the texts only those in both filters (false
+    positives) are joined with the ids.
+    """
+    sc = docs.sparkSession.sparkContext
     facts, named = _components(docs, 80, 100)
     rows = facts.where("n > 0").groupBy("fp", "doc_id", "row").agg(F.count("*").alias("uses")).join(named.select("fp", "label"), "fp")
     rows = keep(rows.select("label", "doc_id", "row", "uses"), "rows")
     lowest = rows.groupBy("label").agg(F.min("doc_id").alias("lowest"))
     able = rows.join(lowest, "label").where("doc_id <=> lowest")
     first = keep(able.groupBy("label").agg(F.min_by(F.struct("row", "uses"), "row").alias("x")).select(F.col("x.row").alias("__row"), F.col("x.uses").alias("uses")), "firsts")
+    once, again = (first.where(x).select("__row") for x in ("uses = 1", "uses > 1"))
+    gone = keep(rows.select(F.col("row").alias("__row")).join(once, "__row", "left_anti"), "gone")
+    told = _told(*(sc.broadcast(membership(x, "__row")) for x in (once, gone)))
+    blank = ~F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     named_rows = docs.withColumn("__row", _row())
-    blank = docs.where(~F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    out = named_rows.join(first.where("uses = 1").select("__row"), "__row", "left_semi").select(docs.columns).unionByName(blank)
-    again = first.where("uses > 1").select("__row")
+    marked = named_rows.withColumn("__told", F.when(blank, 1).otherwise(told("__row")))
+    out = marked.where("__told = 1").select(docs.columns)
+    out = out.unionByName(marked.where("__told = 2").join(once, "__row", "left_semi").select(docs.columns))
     if again.isEmpty():
         return out
     # rows that repeat both id and text
-    return out.unionByName(named_rows.join(again, "__row", "left_semi").dropDuplicates(["__row"]).select(docs.columns))
+    likely = named_rows.where(_told(sc.broadcast(membership(gone, "__row")), sc.broadcast(membership(again, "__row")))("__row") != 1)
+    return out.unionByName(likely.join(again, "__row", "left_semi").dropDuplicates(["__row"]).select(docs.columns))

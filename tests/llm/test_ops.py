@@ -119,6 +119,43 @@ def test_one_per_component_without_or_with_repeated_ids(spark):
     assert [sum(out[x] for x in g) for g in groups] == [1] * len(groups) and sum(out.values()) == len(groups)
 
 
+def test_one_per_component_shuffles_few_texts(spark):
+    """Rows that stay are told by filters of ids: their texts are not shuffled to be joined."""
+    rng = random.Random(41)
+    texts = [" ".join(rng.randbytes(1500).hex() for _ in range(6)) for _ in range(400)]
+    docs = docs_of(spark, texts + texts[:10]).repartition(4)
+    docs = ngram_join.keep(docs, "t")
+    summary = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        summary.listenerBus().waitUntilEmpty()
+        return summary.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    was, name = shuffled(), "spark.sql.autoBroadcastJoinThreshold"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, "-1")  # as if the ids were many
+    try:
+        got = sorted(r["doc_id"] for r in ngram_join.one_per_component(docs).collect())
+    finally:
+        spark.conf.set(name, usual)
+    assert got == list(range(400))
+    assert shuffled() - was < 0.2 * sum(map(len, texts))
+
+
+def test_one_per_component_with_full_filters(spark, corpus, monkeypatch):
+    """Filters that admit every id cost a join of the texts, not rows."""
+    rng = random.Random(42)
+    a, b = prose(rng, 70), prose(rng, 90)
+    texts = [*corpus, None, " "]
+    d = docs_of(spark, texts, extra=True)
+    d = d.unionByName(d.where("doc_id in (3, 8)")).unionByName(docs_of(spark, [a, near(rng, b, 1), b, a], extra=True).withColumn("doc_id", F.col("doc_id") + 1000))
+    usual = Counter(map(repr, ngram_join.one_per_component(d).collect()))
+    monkeypatch.setattr(ngram_join, "member", lambda bits, ids: np.ones(len(ids), bool))
+    assert Counter(map(repr, ngram_join.one_per_component(d).collect())) == usual
+    sets = {i: shingle_set(t) for i, t in enumerate(corpus)}
+    assert sum(usual.values()) == len(set(brute_components(sets, range(len(corpus))).values())) + 4
+
+
 def test_decontamination_equals_brute_force(spark, corpus):
     rng = random.Random(9)
     items = [None, " ", "tiny", prose(rng, 12), prose(rng, 40), prose(rng, 58)]
